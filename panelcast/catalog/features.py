@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +11,19 @@ from panelcast.functions import windows as WF
 from panelcast.operators import carry, clean, features, profile
 from panelcast.operators.joins import lookup_join, scalars
 from panelcast.sources import panel as P
+from panelcast.session import new_path
 from panelcast.sources import tables
 from panelcast.spec import DEFAULT
 
 KEY = ["store", "dept", "date"]
 
 
-def scratch(data: Data, name: str) -> str:
-    """A new folder below the session's checkpoint folder, shared by executors."""
-    base = data.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"panelcast-{name}-{uuid.uuid4().hex}")
-
-
 # --- sources ---------------------------------------------------------------
 
 
 @query("s1_csv_scan", "SELECT store, dept, date, weekly_sales, is_holiday FROM train")
 def csv_scan(data: Data) -> DataFrame:
-    path = scratch(data, "csv")
+    path = new_path(data.spark, "csv")
     out = data.train().withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     out.write.option("header", True).csv(path)
     schema = tables.TRAIN_SCHEMA.replace("dept int", "dept string")

@@ -293,13 +293,13 @@ def promo_counts(data: Data) -> DataFrame:
 
 _ROLL = """sum(weekly_sales) AS weekly_sales, max(CAST(is_holiday AS INTEGER)) AS is_holiday,
     avg(temperature) AS temperature, avg(fuel_price) AS fuel_price, avg(cpi) AS cpi, avg(unemployment) AS unemployment"""
-_ROLL_R4 = "weekly_sales temperature fuel_price cpi unemployment markdown1 markdown2 markdown3 markdown4 markdown5"
+_ROLL_ROUND = "weekly_sales temperature fuel_price cpi unemployment markdown1 markdown2 markdown3 markdown4 markdown5"
 
 
 @query(
     "a15_rollup_date",
     f"SELECT date, {_ROLL}, {', '.join(f'sum({c}) AS {c}' for c in PROMOS)}, max(size) AS size FROM panel GROUP BY date",
-    r4=_ROLL_R4,
+    r6=_ROLL_ROUND,
 )
 def rollup_date(data: Data) -> DataFrame:
     return rollup.rollup_panel(data.panel(), ["date"])
@@ -309,7 +309,7 @@ def rollup_date(data: Data) -> DataFrame:
     "a15_rollup_store_date",
     f"SELECT store, date, {_ROLL}, {', '.join(f'avg({c}) AS {c}' for c in PROMOS)}, max(size) AS size "
     "FROM panel GROUP BY store, date",
-    r4=_ROLL_R4,
+    r6=_ROLL_ROUND,
 )
 def rollup_store_date(data: Data) -> DataFrame:
     return rollup.rollup_panel(data.panel(), ["store", "date"], promo="mean")
@@ -344,7 +344,7 @@ def weekly_resample(data: Data) -> DataFrame:
     t AS (SELECT store, dept, date, sum(weekly_sales) AS y, grouping(store, dept) AS g FROM train
       GROUP BY GROUPING SETS ((date), (store, date), (store, dept, date))),
     n AS (SELECT DISTINCT g, store, dept FROM t)
-    SELECT CASE n.g WHEN 3 THEN 'Total' WHEN 1 THEN 'Store' ELSE 'Store_Dept' END AS level, n.store, n.dept, d.date,
+    SELECT CASE n.g WHEN 3 THEN 'Total' WHEN 1 THEN 'Store' ELSE 'Store_Department' END AS level, n.store, n.dept, d.date,
       coalesce(t.y, 0) AS y
     FROM n CROSS JOIN d LEFT JOIN t ON t.g = n.g AND t.date = d.date AND t.store IS NOT DISTINCT FROM n.store
       AND t.dept IS NOT DISTINCT FROM n.dept""",
@@ -490,12 +490,6 @@ def validation_start(data: Data) -> DataFrame:
 # --- splits, scaling, imputation ----------------------------------------------------------
 
 
-define_cte(
-    "cut",
-    "SELECT min(date) AS start FROM (SELECT DISTINCT date FROM train ORDER BY date DESC LIMIT 8)",
-)
-
-
 @query(
     "c4_time_split",
     """SELECT CASE WHEN date < start THEN 'train' ELSE 'validation' END AS part, count(*) AS n, min(date) AS "first",

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.session import stage
 from panelcast.sources import panel as P
 from panelcast.sources.tables import read_table
 
@@ -39,6 +40,13 @@ class Data:
     def panel(self) -> DataFrame:
         return P.panel(self.spark, self.folder, self.site)
 
+    def staged_train(self) -> DataFrame:
+        """The fact table, written once for queries that read it several times."""
+        return stage(self.train(), "train")
+
+    def staged_panel(self) -> DataFrame:
+        return stage(self.panel(), "panel")
+
 
 CTES = {
     "train": """
@@ -56,7 +64,7 @@ FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_r
     "features": """
 SELECT store, date, AVG(l_quantity) AS temperature,
   2 + AVG(floor(100 * l_tax + 0.5::DOUBLE)) AS fuel_price,
-  AVG(floor(l_extendedprice / l_quantity + 0.5::DOUBLE)) / 10 AS cpi,
+  AVG(floor(l_extendedprice / l_quantity + 0.5::DOUBLE)) / 7 AS cpi,
   3 + AVG(floor(100 * l_discount + 0.5::DOUBLE)) AS unemployment,
   SUM(CASE WHEN date >= DATE '1998-06-05' AND l_returnflag = 'A' THEN promo END) AS markdown1,
   SUM(CASE WHEN date >= DATE '1998-06-05' AND l_returnflag = 'N' THEN promo END) AS markdown2,
@@ -73,6 +81,8 @@ SELECT t.*, f.temperature, f.fuel_price, f.cpi, f.unemployment,
   f.markdown1, f.markdown2, f.markdown3, f.markdown4, f.markdown5, s.type, s.size
 FROM train t LEFT JOIN features f ON t.store = f.store AND t.date = f.date
 LEFT JOIN stores s ON t.store = s.store""",
+    "cut": """
+SELECT min(date) AS start FROM (SELECT DISTINCT date FROM train ORDER BY date DESC LIMIT 8)""",
 }
 
 
@@ -108,8 +118,8 @@ def with_tables(sql: str, site: str = "nation") -> str:
     return f"WITH {head}\n{body}"
 
 
-def _places(r2: str, r4: str, r6: str) -> dict[str, int]:
-    return {c: n for n, cols in ((2, r2), (4, r4), (6, r6)) for c in cols.split()}
+def _places(r2: str, r4: str, r6: str, r12: str) -> dict[str, int]:
+    return {c: n for n, cols in ((2, r2), (4, r4), (6, r6), (12, r12)) for c in cols.split()}
 
 
 def round_columns(df: DataFrame, places: dict[str, int]) -> DataFrame:
@@ -129,14 +139,20 @@ def round_sql(sql: str, places: dict[str, int]) -> str:
 
 
 def query(
-    name: str, sql: str | None = None, site: str = "nation", r2: str = "", r4: str = "", r6: str = ""
+    name: str,
+    sql: str | None = None,
+    site: str = "nation",
+    r2: str = "",
+    r4: str = "",
+    r6: str = "",
+    r12: str = "",
 ):
     """Register ``fn(data) -> DataFrame`` under a name, with its SQL if any.
 
-    ``r2``, ``r4`` and ``r6`` name the columns both sides round to that many
+    ``r2`` to ``r12`` name the columns both sides round to that many
     places, since sums of doubles depend on the order of addition.
     """
-    places = _places(r2, r4, r6)
+    places = _places(r2, r4, r6, r12)
 
     def register(fn: Callable[[Data], DataFrame]):
         if name in QUERIES:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import windows as WF
 from panelcast.operators.joins import lookup_join
-from panelcast.session import materialize
+from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
 RANGES = 256
@@ -24,8 +24,8 @@ def ordered_carry(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) ->
     the first known value of all later series (``*_after``).
 
     Range partitioning on the whole key balances the ranges even if one top key
-    owns most series. The range number is checkpointed: every reader, also
-    after the loss of an executor, sees the same one.
+    owns most series. The range number is written with the rows: every reader,
+    also after the loss of an executor, sees the same one.
     """
     keys, time = list(spec.keys), spec.time
     aggs = []
@@ -33,7 +33,7 @@ def ordered_carry(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) ->
         when = F.when(F.col(c).isNotNull(), F.col(time))
         aggs += [F.max_by(c, when).alias(f"_l_{c}"), F.min_by(c, when).alias(f"_f_{c}")]
     ends = df.groupBy(*keys).agg(*aggs).repartitionByRange(RANGES, *keys)
-    ends = materialize(ends.withColumn("_range", F.spark_partition_id()))
+    ends = stage(ends.withColumn("_range", F.spark_partition_id()), "ranges")
     names = [n for c in cols for n in (f"_l_{c}", f"_f_{c}")]
     key = F.struct(*keys)
     per_range = ends.groupBy("_range").agg(

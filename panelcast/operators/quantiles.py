@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelcast.operators.joins import lookup_join
+from panelcast.session import stage
 
 ACCURACY = 10_000
 
@@ -27,7 +28,8 @@ def exact_quantiles(
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).where("_v is not null")
     brackets = _brackets(rows, probs, by, accuracy)
     if by:
-        marked = lookup_join(rows, brackets, by, "inner")
+        # Written once: the size check and the join then read a small table.
+        marked = lookup_join(rows, stage(brackets, "brackets"), by, "inner")
     else:
         marked = rows.withColumn("_b", brackets.select("_b").scalar())
     # Values under a bracket collapse into one NULL value, counted per task.

@@ -53,6 +53,16 @@ def resample_weekly(
     return filled.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in gaps})
 
 
+def level_of(grouping_id: Column, spec: PanelSpec = DEFAULT) -> Column:
+    """Level name from the grouping id of the series keys: the deeper keys are
+    grouped away first, so the id is 0 on the lowest level."""
+    name = F.lit(spec.level(len(spec.keys)))
+    for depth in range(len(spec.keys)):
+        rolled = 2 ** (len(spec.keys) - depth) - 1
+        name = F.when(grouping_id == rolled, spec.level(depth)).otherwise(name)
+    return name
+
+
 def hierarchy_totals(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Target by date for every node of the hierarchy, 0 where a date is missing.
 
@@ -63,10 +73,9 @@ def hierarchy_totals(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     grouped = df.groupingSets([[*s, spec.time] for s in sets], *spec.keys, spec.time).agg(
         F.sum(spec.target).alias("y"), F.grouping_id().alias("_g")
     )
-    levels = F.create_map(
-        *[x for i in range(len(sets)) for x in (F.lit(2 * (2 ** (len(spec.keys) - i) - 1)), F.lit(level_name(i, spec)))]
-    )
-    totals = grouped.withColumn("level", levels[F.col("_g").cast("int")]).drop("_g")
+    # The time column is the lowest bit of the grouping id and never grouped away.
+    level = level_of(F.shiftright("_g", 1), spec)
+    totals = grouped.withColumn("level", level).drop("_g")
     dates = df.select(spec.time).distinct().agg(F.collect_list(spec.time).alias("d")).scalar()
     nodes = totals.select("level", *spec.keys).distinct().withColumn(spec.time, F.explode(dates))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("level", *spec.keys, spec.time)]
@@ -76,8 +85,3 @@ def hierarchy_totals(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     joined = nodes.alias("a").join(totals.alias("b"), cond, "left")
     cols = [F.col(f"a.{c}") for c in ("level", *spec.keys, spec.time)]
     return joined.select(*cols, F.coalesce("b.y", F.lit(0.0)).alias("y"))
-
-
-def level_name(i: int, spec: PanelSpec = DEFAULT) -> str:
-    """'Total', then the keys' names joined: 'Store', 'Store_Dept'."""
-    return "Total" if i == 0 else "_".join(k.capitalize() for k in spec.keys[:i])

@@ -1,8 +1,9 @@
-"""Session helpers: a tuned builder for local runs, and lineage cuts."""
+"""Session helpers: a tuned builder for local runs, and tables staged between jobs."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ def local_session(cores: int | str = "*", app: str = "panelcast") -> SparkSessio
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
@@ -20,19 +22,30 @@ def local_session(cores: int | str = "*", app: str = "panelcast") -> SparkSessio
     )
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local
+    session without that setting gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="panelcast-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    a session without one (a plain local run) gets a folder of its own.
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/panelcast/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back.
+
+    The costly part (scan, joins, first aggregation of the raw rows) then runs
+    once, whatever happens to an executor later, and each branch reads only the
+    columns it needs.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="panelcast-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

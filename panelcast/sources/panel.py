@@ -102,7 +102,7 @@ def features(spark: SparkSession, folder: str, site: str = "nation") -> DataFram
         {
             "temperature": F.avg("l_quantity"),
             "fuel_price": 2 + F.avg(whole(100 * F.col("l_tax"))),
-            "cpi": F.avg(whole(F.col("l_extendedprice") / F.col("l_quantity"))) / 10,
+            "cpi": F.avg(whole(F.col("l_extendedprice") / F.col("l_quantity"))) / 7,
             "unemployment": 3 + F.avg(whole(100 * F.col("l_discount"))),
             "markdown1": promo_sum("l_returnflag = 'A'"),
             "markdown2": promo_sum("l_returnflag = 'N'"),

@@ -30,11 +30,16 @@ class PanelSpec:
     size: str | None = "size"
     type: str | None = "type"
     step_days: int = 7
+    labels: tuple[str, ...] = ("Store", "Department")
 
     @property
     def top(self) -> str:
         return self.keys[0]
 
+    def level(self, depth: int) -> str:
+        """Name of a hierarchy level: 'Total', 'Store', 'Store_Department'."""
+        return "_".join(self.labels[:depth]) or "Total"
+
     def required(self) -> list[str]:
         return [*self.keys, self.time, self.target]
 
