@@ -121,7 +121,7 @@ def products(data: Data) -> DataFrame:
     r6="stress_index",
 )
 def stress(data: Data) -> DataFrame:
-    return features.add_stress_index(data.panel()).select(*KEY, "stress_index")
+    return features.add_stress_index(data.staged_panel()).select(*KEY, "stress_index")
 
 
 @query(
@@ -161,7 +161,7 @@ def known_target(data: Data) -> DataFrame:
     WHERE dept IN (SELECT dept FROM d) AND store IN (SELECT store FROM s)""",
 )
 def top_sets(data: Data) -> DataFrame:
-    return profile.in_top_sets(data.train(), {"dept": 3, "store": 8}).select(*KEY, "weekly_sales")
+    return profile.in_top_sets(data.staged_train(), {"dept": 3, "store": 8}).select(*KEY, "weekly_sales")
 
 
 @query(
@@ -293,21 +293,18 @@ def inner_stores(data: Data) -> DataFrame:
     """SELECT store, dept, date, avg(weekly_sales) OVER (PARTITION BY type) AS type_mean,
     avg(weekly_sales) OVER (PARTITION BY dept) AS dept_mean,
     avg(weekly_sales) OVER (PARTITION BY store, dept) AS series_mean FROM panel""",
-    r4="type_mean dept_mean series_mean",
 )
 def group_means(data: Data) -> DataFrame:
-    return features.add_group_means(data.panel()).select(*KEY, "type_mean", "dept_mean", "series_mean")
+    return features.add_group_means(data.staged_panel()).select(*KEY, "type_mean", "dept_mean", "series_mean")
 
 
 @query(
     "j4_group_means_fit_on_train",
-    """WITH cut AS (SELECT min(date) AS d FROM (SELECT DISTINCT date FROM train ORDER BY date DESC LIMIT 8)),
-    m AS (SELECT store, dept, avg(weekly_sales) AS series_mean FROM train, cut WHERE date < d GROUP BY store, dept)
+    """WITH m AS (SELECT store, dept, avg(weekly_sales) AS series_mean FROM train, cut WHERE date < start GROUP BY store, dept)
     SELECT t.store, t.dept, t.date, m.series_mean FROM train t LEFT JOIN m ON t.store = m.store AND t.dept = m.dept""",
-    r4="series_mean",
 )
 def group_means_train(data: Data) -> DataFrame:
-    fact = data.train()
+    fact = data.staged_train()
     fit, _ = clean.time_split(fact)
     return features.add_group_means(fact, fit_on=fit).select(*KEY, "series_mean")
 
@@ -420,7 +417,7 @@ def difference(data: Data) -> DataFrame:
     AS change FROM train""",
 )
 def difference_cross(data: Data) -> DataFrame:
-    return carry.difference_across(data.train(), "weekly_sales").select(*KEY, "change")
+    return carry.difference_across(data.staged_train(), "weekly_sales").select(*KEY, "change")
 
 
 @query(
@@ -463,7 +460,7 @@ def interpolate(data: Data) -> DataFrame:
     r6="temperature",
 )
 def fill_global(data: Data) -> DataFrame:
-    lined = clean.interpolate(data.panel(), ["temperature"])
+    lined = clean.interpolate(data.staged_panel(), ["temperature"])
     return carry.fill_across(lined, ["temperature"]).select(*KEY, "temperature")
 
 
@@ -526,4 +523,4 @@ def trend_slope(data: Data) -> DataFrame:
 
 @query("fe_all_features")
 def all_features(data: Data) -> DataFrame:
-    return features.engineer(data.panel())
+    return features.engineer(data.staged_panel())

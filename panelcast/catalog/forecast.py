@@ -676,8 +676,7 @@ def business_relevance(data: Data) -> DataFrame:
     """SELECT model, stddev_pop(c) AS volatility, avg(c) AS mean_change, max(abs(c)) AS max_change,
     1 / (1 + stddev_pop(c) / avg(predicted)) AS smoothness FROM (SELECT model, predicted,
       predicted - lag(predicted) OVER (PARTITION BY model, store, dept ORDER BY date) AS c FROM results) GROUP BY model""",
-    r4="volatility mean_change max_change",
-    r6="smoothness",
+    r6="volatility mean_change max_change smoothness",
 )
 def smoothness(data: Data) -> DataFrame:
     return evaluate.smoothness(results(data))

@@ -65,7 +65,7 @@ DESCRIBED = ("weekly_sales", "temperature", "cpi", "markdown1")
     r4="mean std min max q25 q50 q75",
 )
 def describe(data: Data) -> DataFrame:
-    return profile.describe(data.panel(), DESCRIBED)
+    return profile.describe(data.staged_panel(), DESCRIBED)
 
 
 @query(
@@ -120,7 +120,7 @@ def event_impact(data: Data) -> DataFrame:
     r4="median",
 )
 def event_medians(data: Data) -> DataFrame:
-    return profile.event_medians(data.train())
+    return profile.event_medians(data.staged_train())
 
 
 _GROUP_SQL = (
@@ -275,7 +275,7 @@ def volatile_stores(data: Data) -> DataFrame:
     r4="total mean event_mean regular_mean",
 )
 def headline(data: Data) -> DataFrame:
-    return profile.headline(data.panel())
+    return profile.headline(data.staged_panel())
 
 
 @query(
@@ -334,7 +334,7 @@ def rollup_store_date(data: Data) -> DataFrame:
 )
 def weekly_resample(data: Data) -> DataFrame:
     return rollup.resample_weekly(
-        data.panel(), DEFAULT, ["store", "dept"], ["weekly_sales"], ["temperature"], ["is_holiday"]
+        data.staged_panel(), DEFAULT, ["store", "dept"], ["weekly_sales"], ["temperature"], ["is_holiday"]
     )
 
 
@@ -351,7 +351,7 @@ def weekly_resample(data: Data) -> DataFrame:
     r4="y",
 )
 def hierarchy_totals(data: Data) -> DataFrame:
-    return rollup.hierarchy_totals(data.train())
+    return rollup.hierarchy_totals(data.staged_train())
 
 
 @query("a18_series_list", "SELECT DISTINCT store, dept FROM train")
@@ -365,7 +365,7 @@ def series_list(data: Data) -> DataFrame:
     r6="pct",
 )
 def value_counts(data: Data) -> DataFrame:
-    return profile.value_counts(data.panel(), "type")
+    return profile.value_counts(data.staged_panel(), "type")
 
 
 @query(
@@ -378,7 +378,7 @@ def value_counts(data: Data) -> DataFrame:
     r4="mean",
 )
 def pivot_means(data: Data) -> DataFrame:
-    return profile.pivot_means(data.train(), {"store": 8, "dept": 15})
+    return profile.pivot_means(data.staged_train(), {"store": 8, "dept": 15})
 
 
 @query(
@@ -412,7 +412,7 @@ def histogram_sql(source: str, col: str, bins: int) -> str:
 
 @query("a22_histogram_target", histogram_sql("train", "weekly_sales", 50), r4="left_edge")
 def histogram_target(data: Data) -> DataFrame:
-    return profile.histogram(data.train(), "weekly_sales", 50)
+    return profile.histogram(data.staged_train(), "weekly_sales", 50)
 
 
 @query(
@@ -421,13 +421,13 @@ def histogram_target(data: Data) -> DataFrame:
     r4="left_edge",
 )
 def histogram_log(data: Data) -> DataFrame:
-    logs = data.train().where("weekly_sales > 0").select(F.log1p("weekly_sales").alias("l"))
+    logs = data.staged_train().where("weekly_sales > 0").select(F.log1p("weekly_sales").alias("l"))
     return profile.histogram(logs, "l", 30)
 
 
 @query("a22_histogram_size", histogram_sql("panel", "size", 20), r4="left_edge")
 def histogram_size(data: Data) -> DataFrame:
-    return profile.histogram(data.panel(), "size", 20)
+    return profile.histogram(data.staged_panel(), "size", 20)
 
 
 @query(
@@ -441,7 +441,7 @@ def histogram_size(data: Data) -> DataFrame:
     r4="q25 median q75 low_fence high_fence min max",
 )
 def box_plot(data: Data) -> DataFrame:
-    return profile.box_plot(data.panel(), "weekly_sales", "type")
+    return profile.box_plot(data.staged_panel(), "weekly_sales", "type")
 
 
 @query(
@@ -454,7 +454,7 @@ def box_plot(data: Data) -> DataFrame:
     r4="value",
 )
 def quantiles_by_supplier(data: Data) -> DataFrame:
-    return exact_quantiles(data.train(), "weekly_sales", [0.05, 0.5, 0.95], ["store"])
+    return exact_quantiles(data.staged_train(), "weekly_sales", [0.05, 0.5, 0.95], ["store"])
 
 
 @query(
@@ -497,7 +497,7 @@ def validation_start(data: Data) -> DataFrame:
     r4="total",
 )
 def time_split(data: Data) -> DataFrame:
-    fit, val = clean.time_split(data.train())
+    fit, val = clean.time_split(data.staged_train())
     both = fit.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("validation")))
     return both.groupBy("part").agg(
         F.count("*").alias("n"),
@@ -518,7 +518,7 @@ def time_split(data: Data) -> DataFrame:
     r4="total",
 )
 def folds(data: Data) -> DataFrame:
-    fact = data.train()
+    fact = data.staged_train()
     rows = clean.assign_folds(fact, clean.walk_forward_folds(fact))
     return rows.groupBy("fold", "role").agg(
         F.count("*").alias("n"), F.max("date").alias("last"), F.sum("weekly_sales").alias("total")
@@ -533,7 +533,7 @@ def folds(data: Data) -> DataFrame:
 )
 def mean_impute(data: Data) -> DataFrame:
     cols = ["temperature", "markdown1"]
-    return clean.mean_impute(data.panel(), cols).select(*KEY, *cols)
+    return clean.mean_impute(data.staged_panel(), cols).select(*KEY, *cols)
 
 
 @query(
@@ -544,7 +544,7 @@ def mean_impute(data: Data) -> DataFrame:
     r6="weekly_sales_scaled temperature_scaled",
 )
 def scale(data: Data) -> DataFrame:
-    panel = data.panel()
+    panel = data.staged_panel()
     fit, _ = clean.time_split(panel)
     out = clean.scale(panel, ["weekly_sales", "temperature"], fit_on=fit)
     return out.select(*KEY, "weekly_sales_scaled", "temperature_scaled")
@@ -586,7 +586,8 @@ def impute_global(data: Data) -> DataFrame:
 
 
 def _imputed(data: Data, across: bool) -> DataFrame:
-    lagged = FE.add_lags(data.panel(), (4,))
+    panel = data.staged_panel() if across else data.panel()
+    lagged = FE.add_lags(panel, (4,))
     out = clean.impute(lagged, ["weekly_sales_lag_4"], ["temperature"], across)
     return out.select(*KEY, "markdown1", "weekly_sales_lag_4", "temperature")
 

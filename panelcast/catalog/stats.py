@@ -112,7 +112,7 @@ MATRIX = ["weekly_sales", *COVARIATES, "size", "markdown1"]
     r6="r",
 )
 def imputed_matrix(data: Data) -> DataFrame:
-    return stats.correlation_matrix(clean.mean_impute(data.panel(), MATRIX), MATRIX)
+    return stats.correlation_matrix(clean.mean_impute(data.staged_panel(), MATRIX), MATRIX)
 
 
 CLASSED = [*PROMOS, "size"]
@@ -371,4 +371,4 @@ def top_features(data: Data) -> DataFrame:
     r6="stress",
 )
 def stress_by_store(data: Data) -> DataFrame:
-    return FE.add_stress_index(data.panel()).groupBy("store").agg(F.avg("stress_index").alias("stress"))
+    return FE.add_stress_index(data.staged_panel()).groupBy("store").agg(F.avg("stress_index").alias("stress"))

@@ -65,7 +65,7 @@ def _neighbours(df: DataFrame, w, cols: list[str], name: str) -> DataFrame:
 def fill_across(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) -> DataFrame:
     """Forward fill over the whole ordered table, then backward, then 0."""
     w = WF.series_window(spec.keys, spec.time)
-    out = lookup_join(df, ordered_carry(df, cols, spec), list(spec.keys), "left")
+    out = lookup_join(df, ordered_carry(df, cols, spec), list(spec.keys), "left", computed=True)
 
     def value(c: str) -> Column:
         forward = F.coalesce(WF.fill_forward(F.col(c), w), F.col(f"{c}_before"))
@@ -82,7 +82,7 @@ def difference_across(df: DataFrame, col: str, name: str = "change", spec: Panel
     """First difference over the whole ordered table: the first row of a series
     is compared with the last row of the series before it."""
     w = WF.series_window(spec.keys, spec.time)
-    out = lookup_join(df, ordered_carry(df, [col], spec), list(spec.keys), "left")
+    out = lookup_join(df, ordered_carry(df, [col], spec), list(spec.keys), "left", computed=True)
     first = F.row_number().over(w) == 1
     previous = F.when(first, F.col(f"{col}_before")).otherwise(F.lag(col, 1).over(w))
     return out.withColumn(name, F.col(col) - previous).select(*df.columns, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.functions import scalars as S
 from panelcast.functions import windows as WF
 from panelcast.operators.joins import lookup_join, scalars
+from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
 LAGS = (1, 2, 4, 8, 12, 52)
@@ -124,16 +125,23 @@ def add_rolling(
 def add_group_means(
     df: DataFrame, spec: PanelSpec = DEFAULT, fit_on: DataFrame | None = None
 ) -> DataFrame:
-    """Mean target of the row's type, lowest key and series, mapped back."""
+    """Mean target of the row's type, lowest key and series, mapped back. One
+    pass with GROUPING SETS computes the means of all groups."""
     base = df if fit_on is None else fit_on
     groups = {"series_mean": list(spec.keys)}
     if len(spec.keys) > 1:
         groups = {f"{spec.keys[-1]}_mean": [spec.keys[-1]], **groups}
     if spec.type and spec.type in df.columns:
         groups = {"type_mean": [spec.type], **groups}
+    cols = list(dict.fromkeys(c for by in groups.values() for c in by))
+    sets = base.groupingSets(list(groups.values()), *cols)
+    table = stage(sets.agg(F.avg(spec.target).alias("_mean"), F.grouping_id().alias("_g")), "means")
     out = df
     for name, by in groups.items():
-        out = lookup_join(out, base.groupBy(*by).agg(F.avg(spec.target).alias(name)), by, "left")
+        # Bits of the grouping id mark the columns grouped away.
+        away = sum(2 ** (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in by)
+        means = table.where(F.col("_g") == away).select(*by, F.col("_mean").alias(name))
+        out = lookup_join(out, means, by, "left")
     return out
 
 
@@ -154,7 +162,7 @@ def add_trend(
     from window sums on the sort the lags already use; with ``fit_on`` it is
     looked up."""
     if fit_on is not None:
-        return lookup_join(df, trend_slopes(fit_on, spec), list(spec.keys), "left")
+        return lookup_join(df, trend_slopes(fit_on, spec), list(spec.keys), "left", computed=True)
     from pyspark.sql import Window as W
 
     w = WF.series_window(spec.keys, spec.time)

@@ -143,7 +143,7 @@ class SeasonalRegression:
         span = fit.agg(F.struct(F.min(spec.time).alias("lo"), F.max(spec.time).alias("hi"))).scalar()
         level = fit.groupBy(*spec.keys).agg(F.avg(F.log(spec.target)).alias("_level"))
         scaled = clean.scale(panel, list(covariates), fit)
-        leveled = lookup_join(scaled, level, list(spec.keys), "inner")
+        leveled = lookup_join(scaled, level, list(spec.keys), "inner", computed=True)
         rows, names = self.design(leveled, calendar, span, covariates, spec)
         rows = assemble(rows, names).withColumn("_in", F.col(spec.time) < start)
         known = rows.where(F.col("_in") & (F.col(spec.target) > 0))

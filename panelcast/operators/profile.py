@@ -267,7 +267,7 @@ def box_plot(df: DataFrame, col: str, by: str) -> DataFrame:
     q = quantile_columns(df, col, names, [by])
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     fences = q.withColumns({"low_fence": F.col("q25") - reach, "high_fence": F.col("q75") + reach})
-    rows = lookup_join(df.select(by, F.col(col).alias("_v")), fences, [by], "inner")
+    rows = lookup_join(df.select(by, F.col(col).alias("_v")), fences, [by], "inner", computed=True)
     outside = (F.col("_v") < F.col("low_fence")) | (F.col("_v") > F.col("high_fence"))
     return rows.groupBy(by, *names, "low_fence", "high_fence").agg(
         F.min("_v").alias("min"), F.max("_v").alias("max"), F.count_if(outside).alias("n_outside")

@@ -1,9 +1,11 @@
 """Exact quantiles without collecting a group.
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-a bounded sketch first brackets each quantile, and only values inside a bracket
-are counted and ordered: about ``6 / ACCURACY`` of a group, ties collapsed. The
-rest of the rows only contribute a count, combined on the map side.
+a bounded sketch first brackets each quantile; only values inside a bracket are
+counted and ordered, about ``6 / ACCURACY`` of a group, ties collapsed. All
+other rows only add to a count, combined on the map side. Where the brackets
+still hold many values, they are cut into slices and only the slice with the
+wanted rank is ordered.
 """
 
 from __future__ import annotations
@@ -18,25 +20,33 @@ from panelcast.operators.joins import lookup_join
 from panelcast.session import stage
 
 ACCURACY = 10_000
+ORDERED_ROWS = 2_000_000
+SLICES = 4_096
 
 
 def exact_quantiles(
-    df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
+    df: DataFrame,
+    col: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    accuracy: int = ACCURACY,
+    ordered_rows: int = ORDERED_ROWS,
 ) -> DataFrame:
     """Linear-interpolated quantiles: rows ``(by..., prob, value)``."""
     by = list(by)
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).where("_v is not null")
     brackets = _brackets(rows, probs, by, accuracy)
     if by:
-        # Written once: the size check and the join then read a small table.
-        marked = lookup_join(rows, stage(brackets, "brackets"), by, "inner")
+        marked = lookup_join(rows, brackets, by, "inner", computed=True)
     else:
         marked = rows.withColumn("_b", brackets.select("_b").scalar())
     # Values under a bracket collapse into one NULL value, counted per task.
     each = marked.select(*by, "_v", F.explode("_b").alias("b")).where("_v <= b.hi")
     value = F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_v")
-    group = [*by, F.col("b.prob").alias("prob"), F.col("b.h").alias("h")]
-    counts = each.groupBy(*group, value).agg(F.count("*").alias("n"))
+    group = [*by, *[F.col(f"b.{c}").alias(c) for c in ("prob", "h", "lo", "hi")]]
+    counts = stage(each.groupBy(*group, value).agg(F.count("*").alias("n")), "counts")
+    if counts.count() > ordered_rows:
+        counts = _wanted_slices(counts, by)
     order = W.partitionBy(*by, "prob").orderBy(F.col("_v").asc_nulls_first())
     upto = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
 
@@ -70,6 +80,28 @@ def _brackets(rows: DataFrame, probs: Sequence[float], by: list[str], accuracy:
     return sketch.select(*by, F.array(*structs).alias("_b"))
 
 
+def _wanted_slices(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Keep the values of the slices that hold a wanted rank; the slices below
+    them become one NULL value with their count."""
+    bounded = (F.col("lo") > float("-inf")) & (F.col("hi") > F.col("lo"))
+    at = F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)
+    number = F.when(F.col("_v").isNull(), -1).when(bounded, at).otherwise(0).cast("int")
+    sliced = counts.withColumn("_s", number)
+    totals = sliced.groupBy(*by, "prob", "h", "_s").agg(F.sum("n").alias("n"))
+    order = W.partitionBy(*by, "prob").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
+    upto = totals.withColumn("upto", F.sum("n").over(order))
+
+    def holds(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("_s")))
+
+    wanted = upto.groupBy(*by, "prob").agg(
+        holds(F.floor("h")).alias("_first"), holds(F.ceil("h")).alias("_last")
+    )
+    kept = lookup_join(sliced, wanted, [*by, "prob"], "inner", computed=True).where("_s <= _last")
+    value = F.when(F.col("_s") >= F.col("_first"), F.col("_v")).alias("_v")
+    return kept.groupBy(*by, "prob", "h", value).agg(F.sum("n").alias("n"))
+
+
 def quantile_columns(
     df: DataFrame, col: str, names: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
