@@ -239,6 +239,17 @@ def renames(data: Data) -> DataFrame:
     return by_date.withColumnsRenamed({"date": "ds", "weekly_sales": "y", "is_holiday": "holiday"})
 
 
+@query(
+    "p22_rounding",
+    "SELECT dept, round(avg(weekly_sales), 2) AS mean, round(sum(weekly_sales), 2) AS total FROM train GROUP BY dept",
+)
+def rounding(data: Data) -> DataFrame:
+    by_dept = data.train().groupBy("dept")
+    return by_dept.agg(
+        F.round(F.avg("weekly_sales"), 2).alias("mean"), F.round(F.sum("weekly_sales"), 2).alias("total")
+    )
+
+
 @query(
     "p23_entity_keys",
     """SELECT DISTINCT 'Store_' || store AS parent, 'Store_' || store || '_Dept_' || dept AS leaf,

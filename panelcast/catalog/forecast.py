@@ -9,6 +9,7 @@ from panelcast.catalog.registry import Data, define_cte, query
 from panelcast.catalog.stats import ANALYSED, analysis
 from panelcast.operators import clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
 from panelcast.operators import features as FE
+from panelcast.plans import forecasting, interpretation
 from panelcast.session import new_path, stage
 from panelcast.sources import panel as P
 from panelcast.sources import sinks
@@ -720,6 +721,17 @@ def suitable_models(data: Data) -> DataFrame:
     return evaluate.suitable_models(evaluate.business_relevance(stage(totals, "totals")))
 
 
+@query("f1_forecast_run")
+def forecast_run(data: Data) -> DataFrame:
+    """The whole forecast plan; ranks all base models and the reconciled ensemble."""
+    return forecasting.run(data.train()).ranking
+
+
+@query("f2_future_forecasts")
+def future_forecasts(data: Data) -> DataFrame:
+    return forecasting.score_future(data.train())
+
+
 # --- insight --------------------------------------------------------------------------------
 
 
@@ -819,22 +831,19 @@ define_cte(
 )
 
 
-def driver_scores(corr: DataFrame, domain: DataFrame) -> DataFrame:
-    combined = insight.domain_importance(corr, domain).select("feature", F.col("importance").alias("score"))
-    return combined.unionByName(corr.where("r is not null").select("feature", F.abs("r").alias("score")))
-
-
 @query("i7_key_drivers", "SELECT * FROM drivers", r6="mean_score consistency")
 def key_drivers(data: Data) -> DataFrame:
     corr = stage(site_correlations(data), "correlations")
-    scores = driver_scores(corr, insight.domain_table(data.spark))
+    domain = insight.domain_importance(corr, insight.domain_table(data.spark))
+    scores = interpretation.driver_scores(corr, domain)
     return insight.key_drivers(scores, insight.control_table(data.spark))
 
 
 @query("i11_controllable_drivers", "SELECT feature, control FROM drivers WHERE control IN ('High', 'Medium')")
 def controllable_drivers(data: Data) -> DataFrame:
     corr = stage(site_correlations(data), "correlations")
-    scores = driver_scores(corr, insight.domain_table(data.spark))
+    domain = insight.domain_importance(corr, insight.domain_table(data.spark))
+    scores = interpretation.driver_scores(corr, domain)
     table = insight.key_drivers(scores, insight.control_table(data.spark))
     return table.where(F.col("control").isin("High", "Medium")).select("feature", "control")
 
@@ -854,29 +863,10 @@ define_cte(
 
 def finding_metrics(data: Data) -> DataFrame:
     sites = stage(analysis(data), "analysis")
-    corr = stats.correlations(sites, "weekly_sales", ANALYSED)
-    table = evaluate.accuracy(results(data))
-    ranks = evaluate.rank_models(evaluate.to_metrics(table.drop("model_type")), ["weighted_rmse"])
-    season = stats.month_seasonality(sites, ["weekly_sales"], "date")
+    corr = stage(stats.correlations(sites, "weekly_sales", ANALYSED), "correlations")
+    accuracy = stage(evaluate.accuracy(results(data)), "accuracy")
     domain = insight.domain_importance(corr, insight.domain_table(data.spark))
-
-    def rows(df: DataFrame, subject: str, metric: str, value) -> DataFrame:
-        return df.select(
-            F.col(subject).alias("subject"), F.lit(metric).alias("metric"), value.cast("double").alias("value")
-        )
-
-    parts = [
-        rows(domain, "feature", "importance", F.col("importance")),
-        rows(corr.where("r is not null"), "feature", "abs_r", F.abs("r")),
-        rows(table, "model", "mape", F.col("mape")),
-        rows(ranks, "model", "weighted_rmse_rank", F.col("rank")),
-        rows(stats.event_lift(sites, ["weekly_sales"]), "feature", "lift_pct", F.col("lift_pct")),
-        rows(season, "feature", "peak_month", F.col("peak_month")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return interpretation.long_metrics(sites, corr, domain, accuracy)
 
 
 _RULE_COLUMNS = (
@@ -922,20 +912,15 @@ def surrogate_ridge(data: Data) -> DataFrame:
     return insight.top_importances(insight.surrogate_ridge(_surrogate_rows(data), "p", ANALYSED), "coefficient")
 
 
+def _report(data: Data) -> DataFrame:
+    return interpretation.run(data.staged_panel(), results(data))["report"]
+
+
 @query("i10_summary_report")
 def summary_report(data: Data) -> DataFrame:
     return _report(data)
 
 
-def _report(data: Data) -> DataFrame:
-    corr = stage(site_correlations(data), "correlations")
-    scores = driver_scores(corr, insight.domain_table(data.spark))
-    drivers = insight.key_drivers(scores, insight.control_table(data.spark))
-    found = insight.findings(finding_metrics(data), insight.rule_table(data.spark))
-    theory = insight.theory_check(corr, insight.theory_table(data.spark))
-    return insight.summary_report(evaluate.accuracy(results(data)), scores, drivers, found, theory)
-
-
 @query("s4_json_report")
 def json_report(data: Data) -> DataFrame:
     """The report written as JSON, read back as text."""

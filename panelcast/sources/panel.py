@@ -15,6 +15,14 @@ from panelcast.spec import DEFAULT, PanelSpec
 EVENT_WEEKS = {"Super Bowl": 6, "Labor Day": 36, "Thanksgiving": 47, "Christmas": 52}
 PROMO_START = "1998-06-05"
 
+# The event dates of the published weekly retail panel.
+EVENT_DATES = {
+    "Super Bowl": ("2010-02-12", "2011-02-11", "2012-02-10", "2013-02-08"),
+    "Labor Day": ("2010-09-10", "2011-09-09", "2012-09-07", "2013-09-06"),
+    "Thanksgiving": ("2010-11-26", "2011-11-25", "2012-11-23", "2013-11-29"),
+    "Christmas": ("2010-12-31", "2011-12-30", "2012-12-28", "2013-12-27"),
+}
+
 
 def cells(raw: DataFrame, keys: list[str], time: str, measures: Mapping[str, Column]) -> DataFrame:
     """One row per (keys, time) from raw rows.
@@ -133,6 +141,14 @@ def panel(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
     )
 
 
+def listed_calendar(spark: SparkSession, dates: Mapping[str, tuple[str, ...]] = EVENT_DATES) -> DataFrame:
+    """Event name by date, from a list of dates per event."""
+    rows = [(name, d) for name, days in dates.items() for d in days]
+    return spark.createDataFrame(rows, "holiday string, date string").withColumn(
+        "date", F.col("date").cast("date")
+    )
+
+
 def event_calendar(spark: SparkSession, first_year: int = 1995, last_year: int = 2001) -> DataFrame:
     """Event name by date: the Friday of each event's ISO week, per year."""
     weeks = spark.createDataFrame(list(EVENT_WEEKS.items()), "holiday string, week int")
