@@ -184,7 +184,13 @@ def flag_after_merge(data: Data) -> DataFrame:
     return merged.select(*KEY, "is_holiday")
 
 
-@query("p17_feature_columns")
+@query(
+    "p17_feature_columns",
+    "\nUNION ALL ".join(
+        f"SELECT '{c}' AS feature, count({c}) AS non_null FROM panel"
+        for c in ("is_holiday", *DEFAULT.covariates, *DEFAULT.promos, "size")
+    ),
+)
 def feature_columns(data: Data) -> DataFrame:
     panel = data.panel()
     names = set(DEFAULT.feature_columns(panel, numeric_only=True))
@@ -263,7 +269,11 @@ def entity_keys(data: Data) -> DataFrame:
     return keys.withColumns({"parsed_store": store, "parsed_dept": dept})
 
 
-@query("p24_sample_rows")
+SAMPLE_SQL = """SELECT store, dept, date, weekly_sales, is_holiday FROM train
+    ORDER BY md5(concat_ws('|', store, dept, date)), store, dept, date LIMIT {n}"""
+
+
+@query("p24_sample_rows", SAMPLE_SQL.format(n=5000))
 def sample_rows(data: Data) -> DataFrame:
     return clean.bounded_sample(data.train(), 5000, KEY)
 
@@ -532,6 +542,34 @@ def trend_slope(data: Data) -> DataFrame:
     return features.trend_slopes(data.train())
 
 
-@query("fe_all_features")
+_PANEL_KEPT = "store, dept, date, weekly_sales, is_holiday, temperature, fuel_price, cpi, unemployment, type, size"
+_FILLED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in DEFAULT.promos)
+_ACTIVE = ", ".join(f"CAST({c} > 0 AS INTEGER) AS {c}_active" for c in DEFAULT.promos)
+_FEATURE_SQL = f"""WITH b AS (SELECT {_PANEL_KEPT}, {_FILLED},
+      row_number() OVER (PARTITION BY store, dept ORDER BY date) AS rn FROM panel),
+    s AS (SELECT avg(unemployment) AS mu, stddev_samp(unemployment) AS su, avg(fuel_price) AS mf, stddev_samp(fuel_price) AS sf FROM b)
+    SELECT b.* EXCLUDE (rn), CASE WHEN is_holiday THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS event_weight,
+      coalesce(lead(CAST(is_holiday AS INTEGER)) OVER w, 0) AS pre_event,
+      coalesce(lag(CAST(is_holiday AS INTEGER)) OVER w, 0) AS post_event,
+      CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(weekofyear(date) AS INTEGER) AS week,
+      CAST(quarter(date) AS INTEGER) AS quarter, CAST(dayofyear(date) AS INTEGER) AS day_of_year,
+      sin(2*pi()*month(date)/12) AS month_sin, cos(2*pi()*month(date)/12) AS month_cos,
+      sin(2*pi()*weekofyear(date)/52) AS week_sin, cos(2*pi()*weekofyear(date)/52) AS week_cos, {_ACTIVE},
+      markdown1 + markdown2 + markdown3 + markdown4 + markdown5 AS promo_total,
+      (markdown1 + markdown2 + markdown3 + markdown4 + markdown5) / (size + 1) AS promo_intensity,
+      {LAG_SQL}, {ROLL_SQL},
+      avg(weekly_sales) OVER (PARTITION BY type) AS type_mean, avg(weekly_sales) OVER (PARTITION BY dept) AS dept_mean,
+      avg(weekly_sales) OVER v AS series_mean,
+      unemployment * temperature AS unemployment_x_temperature, cpi * fuel_price AS cpi_x_fuel_price,
+      (unemployment - mu) / su + (fuel_price - mf) / sf AS stress_index,
+      CASE WHEN count(*) OVER v >= 3 THEN covar_pop(weekly_sales, rn) OVER v / var_pop(rn) OVER v ELSE 0 END AS trend_slope
+    FROM b, s WINDOW w AS (PARTITION BY store, dept ORDER BY date), v AS (PARTITION BY store, dept), {ROLL_FRAMES}"""
+_FEATURE_DOUBLES = (
+    "temperature fuel_price cpi unemployment month_sin month_cos week_sin week_cos promo_intensity "
+    "unemployment_x_temperature cpi_x_fuel_price stress_index"
+)
+
+
+@query("fe_all_features", _FEATURE_SQL, r4=" ".join([*ROLL_NAMES, "trend_slope"]), r6=_FEATURE_DOUBLES)
 def all_features(data: Data) -> DataFrame:
     return features.engineer(data.staged_panel())

@@ -22,23 +22,26 @@ MODELS = list(forecast.MODELS)
 LEVEL_SQL = "CASE grouping(store, dept) WHEN 3 THEN 'Total' WHEN 1 THEN 'Store' ELSE 'Store_Department' END"
 
 
-def _forecast_ctes(suffix: str, h: int) -> None:
+def _forecast_ctes(suffix: str, h: int, future: bool = False) -> None:
     repeated = ", ".join(
         f"coalesce(sum(weekly_sales) FILTER (back = {h - i}), 0)" for i in range(1, h + 1)
     )
-    if suffix:
+    if suffix and not future:
         last = f"SELECT DISTINCT date FROM train ORDER BY date DESC LIMIT {h}"
         define_cte(f"cut{suffix}", f"SELECT min(date) AS start FROM ({last})")
+    before = "" if future else f", cut{suffix} WHERE date < start"
     define_cte(
         f"fit{suffix}",
         f"""SELECT t.*, pos, n, n - 1 - pos AS back FROM train t JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos,
-      count(*) OVER () AS n FROM (SELECT DISTINCT date FROM train, cut{suffix} WHERE date < start)) d USING (date)""",
-    )
-    define_cte(
-        f"steps{suffix}",
-        f"""SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS step, date
-      FROM (SELECT DISTINCT date FROM train, cut{suffix} WHERE date >= start)""",
+      count(*) OVER () AS n FROM (SELECT DISTINCT date FROM train{before})) d USING (date)""",
     )
+    if future:
+        steps = f"""SELECT CAST(i AS INTEGER) AS step, CAST((SELECT max(date) FROM train) + CAST(7 * i AS INTEGER) AS DATE) AS date
+      FROM range(1, {h + 1}) g(i)"""
+    else:
+        steps = f"""SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS step, date
+      FROM (SELECT DISTINCT date FROM train, cut{suffix} WHERE date >= start)"""
+    define_cte(f"steps{suffix}", steps)
     define_cte(
         f"node_stats{suffix}",
         f"""SELECT {LEVEL_SQL} AS level, store, dept, max(n) AS n, sum(weekly_sales) AS total, count(*) AS rows,
@@ -67,6 +70,7 @@ def _forecast_ctes(suffix: str, h: int) -> None:
 
 _forecast_ctes("", HORIZON)
 _forecast_ctes("12", SCORED)
+_forecast_ctes("_next", HORIZON, future=True)
 define_cte(
     "results",
     """SELECT u.model, CASE u.model WHEN 'ensemble' THEN 'Ensemble' WHEN 'historical_mean' THEN 'Baseline'
@@ -181,10 +185,22 @@ def differenced_autoregression(data: Data) -> DataFrame:
     return models.differenced_autoregression(stage(weekly, "weekly"), ["store"], [*covariates, "is_holiday"])
 
 
-@query("m9_sequence_sets")
+@query(
+    "m9_sequence_sets",
+    """WITH r AS (SELECT store, date, sum(weekly_sales) AS weekly_sales, max(CAST(is_holiday AS INTEGER)) AS h,
+      avg(cpi) AS cpi FROM panel GROUP BY store, date),
+    m AS (SELECT avg(weekly_sales) AS ms, stddev_pop(weekly_sales) AS ss, avg(cpi) AS mc, stddev_pop(cpi) AS sc
+      FROM r, cut WHERE date < start)
+    SELECT store, date, weekly_sales AS label, CASE WHEN h = 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+      CASE WHEN date < start THEN 'train' ELSE 'validation' END AS part,
+      (lag(weekly_sales, 5) OVER w - ms) / ss AS first_sales, coalesce((lag(cpi, 1) OVER w - mc) / sc, 0) AS last_cpi
+    FROM r, m, cut WINDOW w AS (PARTITION BY store ORDER BY date) QUALIFY row_number() OVER w > 5""",
+    r6="first_sales last_cpi",
+)
 def sequence_sets(data: Data) -> DataFrame:
-    sets = models.sequence_sets(data.staged_panel(), ["weekly_sales", *DEFAULT.covariates])
-    return sets.withColumn("sequence", F.to_json("sequence"))
+    sets = models.sequence_sets(data.staged_panel(), ["weekly_sales", "cpi"])
+    cells = [F.col("sequence")[0][0].alias("first_sales"), F.col("sequence")[4][1].alias("last_cpi")]
+    return sets.select("store", "date", "label", "weight", "part", *cells)
 
 
 @query(
@@ -210,29 +226,42 @@ def sequences(data: Data) -> DataFrame:
 # --- hierarchy ------------------------------------------------------------------------
 
 
-define_cte(
-    "tree_s",
-    """SELECT l.store, l.step, count(*) AS n, sum(l.ensemble) AS sy, max(s.ensemble) AS ys, max(t.ensemble) AS yt
-    FROM node_forecasts l JOIN node_forecasts s ON s.level = 'Store' AND s.store = l.store AND s.step = l.step
-    JOIN node_forecasts t ON t.level = 'Total' AND t.step = l.step
+def _tree_ctes(suffix: str) -> None:
+    """The closed form of the reconciliation, for a tree of two levels below the Total."""
+    define_cte(
+        f"tree_s{suffix}",
+        f"""SELECT l.store, l.step, count(*) AS n, sum(l.ensemble) AS sy, max(s.ensemble) AS ys, max(t.ensemble) AS yt
+    FROM node_forecasts{suffix} l JOIN node_forecasts{suffix} s ON s.level = 'Store' AND s.store = l.store AND s.step = l.step
+    JOIN node_forecasts{suffix} t ON t.level = 'Total' AND t.step = l.step
     WHERE l.level = 'Store_Department' GROUP BY l.store, l.step""",
-)
-define_cte(
-    "tree_t",
-    """SELECT step, sum((sy + n * (ys + yt)) / (1 + n)) AS v, sum(n / (1 + n)) AS u FROM tree_s GROUP BY step""",
-)
-define_cte(
-    "reconciled_leaves",
-    """SELECT l.store, l.dept, l.step, l.ensemble + s.ys + s.yt - (s.sy + s.n * (s.ys + s.yt)) / (1 + s.n)
+    )
+    define_cte(
+        f"tree_t{suffix}",
+        f"SELECT step, sum((sy + n * (ys + yt)) / (1 + n)) AS v, sum(n / (1 + n)) AS u FROM tree_s{suffix} GROUP BY step",
+    )
+    define_cte(
+        f"reconciled_leaves{suffix}",
+        f"""SELECT l.store, l.dept, l.step, l.date, l.ensemble + s.ys + s.yt - (s.sy + s.n * (s.ys + s.yt)) / (1 + s.n)
       - 1 / (1 + s.n) * t.v / (1 + t.u) AS reconciled
-    FROM node_forecasts l JOIN tree_s s ON s.store = l.store AND s.step = l.step JOIN tree_t t ON t.step = l.step
-    WHERE l.level = 'Store_Department'""",
-)
-define_cte(
-    "reconciled_nodes",
-    f"""SELECT {LEVEL_SQL} AS level, store, dept, step, sum(reconciled) AS reconciled FROM reconciled_leaves
+    FROM node_forecasts{suffix} l JOIN tree_s{suffix} s ON s.store = l.store AND s.step = l.step
+    JOIN tree_t{suffix} t ON t.step = l.step WHERE l.level = 'Store_Department'""",
+    )
+    define_cte(
+        f"reconciled_nodes{suffix}",
+        f"""SELECT {LEVEL_SQL} AS level, store, dept, step, sum(reconciled) AS reconciled FROM reconciled_leaves{suffix}
     GROUP BY GROUPING SETS ((step), (store, step), (store, dept, step))""",
-)
+    )
+    define_cte(
+        f"prediction_rows{suffix}",
+        f"""SELECT s.date, level AS hierarchy_level, CASE level WHEN 'Total' THEN 'Total' WHEN 'Store' THEN 'Store_' || store
+      ELSE 'Store_' || store || '_Dept_' || dept END AS entity_key, step AS forecast_period,
+      reconciled AS predicted_sales, store AS store_id, dept AS department_id
+    FROM reconciled_nodes{suffix} JOIN steps{suffix} s USING (step)""",
+    )
+
+
+_tree_ctes("")
+_tree_ctes("_next")
 
 
 def reconciled(data: Data, staged: bool = False) -> DataFrame:
@@ -336,15 +365,6 @@ def event_weights(data: Data) -> DataFrame:
     return forecast.event_weights(data.train())
 
 
-define_cte(
-    "prediction_rows",
-    """SELECT s.date, level AS hierarchy_level, CASE level WHEN 'Total' THEN 'Total' WHEN 'Store' THEN 'Store_' || store
-      ELSE 'Store_' || store || '_Dept_' || dept END AS entity_key, step AS forecast_period,
-      reconciled AS predicted_sales, store AS store_id, dept AS department_id
-    FROM reconciled_nodes JOIN steps s USING (step)""",
-)
-
-
 def predictions(data: Data) -> DataFrame:
     fact = data.staged_train()
     fit, val = clean.time_split(fact, HORIZON)
@@ -596,7 +616,7 @@ def summary_picks(data: Data) -> DataFrame:
     r6="t",
 )
 def residual_t(data: Data) -> DataFrame:
-    return evaluate.residual_t_tests(results(data)).drop("p_value")
+    return evaluate.residual_t_tests(results(data), sorted(MODELS)).drop("p_value")
 
 
 _PROFILE_QS = ((0.1, "q10"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.9, "q90"))
@@ -721,13 +741,37 @@ def suitable_models(data: Data) -> DataFrame:
     return evaluate.suitable_models(evaluate.business_relevance(stage(totals, "totals")))
 
 
-@query("f1_forecast_run")
+_RUN_MODELS = ", ".join(MODELS)
+_RUN_METRICS = {
+    "weighted_rmse": f"sqrt(sum(weight * {_E} * {_E}) / sum(weight))",
+    "event_rmse": f"coalesce(sqrt(avg({_E} * {_E}) FILTER (weight > 1)), 0)",
+    "mape": f"100 * avg({_APE})",
+    "r2": f"coalesce(1 - avg({_E} * {_E}) / nullif(var_pop(actual), 0), 0)",
+}
+
+
+@query(
+    "f1_forecast_run",
+    f"""WITH l AS (SELECT n.*, r.reconciled FROM node_forecasts n JOIN reconciled_leaves r
+      ON r.store = n.store AND r.dept = n.dept AND r.step = n.step WHERE n.level = 'Store_Department'),
+    u AS (SELECT u.model, t.weekly_sales AS actual, u.predicted, w.weight FROM
+      (UNPIVOT (SELECT store, dept, date, {_RUN_MODELS}, reconciled FROM l)
+        ON {_RUN_MODELS}, reconciled INTO NAME model VALUE predicted) u
+      JOIN train t ON t.store = u.store AND t.dept = u.dept AND t.date = u.date
+      JOIN (SELECT date, CASE WHEN bool_or(is_holiday) THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+        FROM train GROUP BY date) w ON w.date = u.date),
+    m AS ("""
+    + " UNION ALL ".join(f"SELECT '{n}' AS metric, model, {e} AS value FROM u GROUP BY model" for n, e in _RUN_METRICS.items())
+    + """) SELECT metric, model, value, CAST(rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'r2' THEN -value
+      ELSE value END, model) AS INTEGER) AS rank FROM m""",
+    r4="value",
+)
 def forecast_run(data: Data) -> DataFrame:
     """The whole forecast plan; ranks all base models and the reconciled ensemble."""
     return forecasting.run(data.train()).ranking
 
 
-@query("f2_future_forecasts")
+@query("f2_future_forecasts", "SELECT * FROM prediction_rows_next", r4="predicted_sales")
 def future_forecasts(data: Data) -> DataFrame:
     return forecasting.score_future(data.train())
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.catalog.features import SAMPLE_SQL
 from panelcast.catalog.registry import Data, define_cte, query
 from panelcast.operators import clean, profile, rollup
 from panelcast.operators import features as FE
@@ -592,7 +593,7 @@ def _imputed(data: Data, across: bool) -> DataFrame:
     return out.select(*KEY, "markdown1", "weekly_sales_lag_4", "temperature")
 
 
-@query("c7_bounded_sample")
+@query("c7_bounded_sample", SAMPLE_SQL.format(n=200))
 def bounded_sample(data: Data) -> DataFrame:
     return clean.bounded_sample(data.train(), 200, KEY)
 

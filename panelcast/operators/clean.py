@@ -123,5 +123,7 @@ def unscale(df: DataFrame, cols: list[str], fit_on: DataFrame) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """The same ``n`` rows on every run: those with the smallest key hash."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    """The same ``n`` rows on every run: those whose keys have the smallest
+    digest. Each task keeps its own first ``n`` only."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(digest, *keys).limit(n)

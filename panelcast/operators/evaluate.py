@@ -190,22 +190,26 @@ def summary_picks(table: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def residual_t_tests(results: DataFrame) -> DataFrame:
-    """Two-sample t tests (pooled variance) of the residuals of each model pair."""
-    stats = results.groupBy("model").agg(
-        F.avg(error()).alias("m"), F.var_samp(error()).alias("v"), F.count("*").alias("n")
-    )
-    a, b = stats.alias("a"), stats.alias("b")
-    pairs = a.join(b, F.col("a.model") < F.col("b.model"))
-    na, nb = F.col("a.n"), F.col("b.n")
-    pooled = ((na - 1) * F.col("a.v") + (nb - 1) * F.col("b.v")) / (na + nb - 2)
-    t = S.ratio(F.col("a.m") - F.col("b.m"), F.sqrt(pooled * (1 / na + 1 / nb)))
-    out = pairs.select(
-        F.col("a.model").alias("model_a"),
-        F.col("b.model").alias("model_b"),
-        t.alias("t"),
-        (na + nb - 2).alias("df"),
-    )
+def residual_t_tests(results: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Two-sample t tests (pooled variance) of the residuals of each model pair,
+    from one aggregate row."""
+    sums = []
+    for i, m in enumerate(models):
+        e = F.when(F.col("model") == m, error())
+        sums += [F.avg(e).alias(f"m{i}"), F.var_samp(e).alias(f"v{i}"), F.count(e).alias(f"n{i}")]
+    one = results.agg(*sums)
+
+    def pair(i: int, j: int) -> Column:
+        na, nb = F.col(f"n{i}"), F.col(f"n{j}")
+        df = na + nb - 2
+        pooled = S.ratio((na - 1) * F.col(f"v{i}") + (nb - 1) * F.col(f"v{j}"), df)
+        spread = F.sqrt(pooled * (S.ratio(F.lit(1), na) + S.ratio(F.lit(1), nb)))
+        t = S.ratio(F.col(f"m{i}") - F.col(f"m{j}"), spread)
+        names = [F.lit(models[i]).alias("model_a"), F.lit(models[j]).alias("model_b")]
+        return F.struct(*names, t.alias("t"), df.alias("df"))
+
+    pairs = [pair(i, j) for i in range(len(models)) for j in range(i + 1, len(models))]
+    out = one.select(F.inline(F.array(*pairs)))
     return out.withColumn("p_value", special.t_p_value(F.col("t"), F.col("df")))
 
 

@@ -193,5 +193,5 @@ def engineer(
     out = add_rolling(out, spec=spec, exclude_current=exclude_current)
     out = add_group_means(out, spec, fit_on)
     out = add_products(out)
-    out = add_stress_index(out, fit_on=fit_on)
+    out = add_stress_index(out, fit_on=panel if fit_on is None else fit_on)
     return add_trend(out, spec, fit_on)
