@@ -2,7 +2,8 @@
 
 The order is (series keys, time). A value from an earlier series reaches a later
 one through a table with one row per series, cut into key ranges: first within
-each range, then between the ranges, of which there are at most ``RANGES``.
+each range, then between the ranges, of which there are as many as shuffle
+partitions.
 """
 
 from __future__ import annotations
@@ -16,9 +17,6 @@ from panelcast.operators.joins import lookup_join
 from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
-RANGES = 256
-
-
 def ordered_carry(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) -> DataFrame:
     """Per series: the last known value of all earlier series (``*_before``) and
     the first known value of all later series (``*_after``).
@@ -32,7 +30,8 @@ def ordered_carry(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) ->
     for c in cols:
         when = F.when(F.col(c).isNotNull(), F.col(time))
         aggs += [F.max_by(c, when).alias(f"_l_{c}"), F.min_by(c, when).alias(f"_f_{c}")]
-    ends = df.groupBy(*keys).agg(*aggs).repartitionByRange(RANGES, *keys)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = df.groupBy(*keys).agg(*aggs).repartitionByRange(ranges, *keys)
     ends = stage(ends.withColumn("_range", F.spark_partition_id()), "ranges")
     names = [n for c in cols for n in (f"_l_{c}", f"_f_{c}")]
     key = F.struct(*keys)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.operators.joins import lookup_join
+from panelcast.session import stage
 from panelcast.sources.tables import read_table
 from panelcast.spec import DEFAULT, PanelSpec
 
@@ -62,21 +63,26 @@ def whole(c: Column) -> Column:
     return F.floor(c + 0.5).cast("double")
 
 
-def train(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
-    """Fact table: sales by site (nation or supplier), product type and week."""
-    part = read_table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("dept"))
-    lines = sales_lines(spark, folder, site)
+def sales_amount() -> Column:
     sign = F.when(F.col("l_returnflag") == "R", -0.25).otherwise(1.0)
-    amount = sign * whole(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    fact = cells(
-        lines.join(part, lines["l_partkey"] == part["p_partkey"]),
-        ["store", "dept"],
-        "date",
-        {"weekly_sales": F.sum(amount)},
-    )
+    return F.sum(sign * whole(F.col("l_extendedprice") * (1 - F.col("l_discount"))))
+
+
+def with_department(lines: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    part = read_table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("dept"))
+    return lines.join(part, lines["l_partkey"] == part["p_partkey"])
+
+
+def with_event_flag(fact: DataFrame) -> DataFrame:
     return fact.withColumn("is_holiday", F.weekofyear("date").isin(*EVENT_WEEKS.values()))
 
 
+def train(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
+    """Fact table: sales by site (nation or supplier), product type and week."""
+    lines = with_department(sales_lines(spark, folder, site), spark, folder)
+    return with_event_flag(cells(lines, ["store", "dept"], "date", {"weekly_sales": sales_amount()}))
+
+
 def stores(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
     """Site dimension: type A, B or C and a size."""
     nation = read_table(spark, folder, "nation")
@@ -94,33 +100,52 @@ def stores(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
     )
 
 
-def features(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
-    """Covariates and promotions by site and week; some weeks are left out."""
+def covariate_sums() -> dict[str, Column]:
+    """Sums and counts the covariates and promotions are made of; they add up
+    over departments, so one pass over the lines serves both grains."""
     promo = whole(F.col("l_extendedprice") * F.col("l_discount"))
-
-    def promo_sum(cond: str) -> Column:
-        started = F.col("date") >= F.lit(PROMO_START).cast("date")
-        return F.sum(F.when(started & F.expr(cond), promo))
-
-    lines = sales_lines(spark, folder, site).where((F.col("store") + F.weekofyear("date")) % 17 != 0)
-    return cells(
-        lines,
-        ["store"],
+    started = F.col("date") >= F.lit(PROMO_START).cast("date")
+    kinds = {
+        "markdown1": F.col("l_returnflag") == "A",
+        "markdown2": F.col("l_returnflag") == "N",
+        "markdown3": F.col("l_returnflag") == "R",
+        "markdown4": F.col("l_linestatus") == "F",
+        "markdown5": F.col("l_linestatus") == "O",
+    }
+    return {
+        "n_lines": F.count("*"),
+        "quantity": F.sum("l_quantity"),
+        "tax": F.sum(whole(100 * F.col("l_tax"))),
+        "price": F.sum(whole(F.col("l_extendedprice") / F.col("l_quantity"))),
+        "discount": F.sum(whole(100 * F.col("l_discount"))),
+        **{name: F.sum(F.when(started & cond, promo)) for name, cond in kinds.items()},
+    }
+
+
+def covariates(sums: DataFrame) -> DataFrame:
+    """Covariates and promotions by site and week, from their sums at any finer
+    grain; some weeks are left out."""
+    kept = sums.where((F.col("store") + F.weekofyear("date")) % 17 != 0)
+    names = [c for c in covariate_sums()]
+    total = kept.groupBy("store", "date").agg(*[F.sum(c).alias(c) for c in names])
+    n = F.col("n_lines")
+    return total.select(
+        "store",
         "date",
-        {
-            "temperature": F.avg("l_quantity"),
-            "fuel_price": 2 + F.avg(whole(100 * F.col("l_tax"))),
-            "cpi": F.avg(whole(F.col("l_extendedprice") / F.col("l_quantity"))) / 7,
-            "unemployment": 3 + F.avg(whole(100 * F.col("l_discount"))),
-            "markdown1": promo_sum("l_returnflag = 'A'"),
-            "markdown2": promo_sum("l_returnflag = 'N'"),
-            "markdown3": promo_sum("l_returnflag = 'R'"),
-            "markdown4": promo_sum("l_linestatus = 'F'"),
-            "markdown5": promo_sum("l_linestatus = 'O'"),
-        },
+        (F.col("quantity") / n).alias("temperature"),
+        (2 + F.col("tax") / n).alias("fuel_price"),
+        (F.col("price") / n / 7).alias("cpi"),
+        (3 + F.col("discount") / n).alias("unemployment"),
+        *[c for c in names if c.startswith("markdown")],
     )
 
 
+def features(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
+    """Covariates and promotions by site and week."""
+    lines = sales_lines(spark, folder, site)
+    return covariates(cells(lines, ["store"], "date", covariate_sums()))
+
+
 def merge_panel(
     fact: DataFrame, covariates: DataFrame, dimension: DataFrame, spec: PanelSpec = DEFAULT
 ) -> DataFrame:
@@ -135,10 +160,17 @@ def merge_panel(
 
 
 def panel(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
-    """The merged panel of the data folder."""
-    return merge_panel(
-        train(spark, folder, site), features(spark, folder, site), stores(spark, folder, site)
-    )
+    """The merged panel of the data folder.
+
+    The lines are read and shuffled once: their cells hold the sales and the
+    covariates' sums, are written, and then serve as the fact table and, rolled
+    up over departments, as the covariate table.
+    """
+    lines = with_department(sales_lines(spark, folder, site), spark, folder)
+    measures = {"weekly_sales": sales_amount(), **covariate_sums()}
+    base = stage(cells(lines, ["store", "dept"], "date", measures), "cells")
+    fact = with_event_flag(base.select("store", "dept", "date", "weekly_sales"))
+    return merge_panel(fact, covariates(base), stores(spark, folder, site))
 
 
 def listed_calendar(spark: SparkSession, dates: Mapping[str, tuple[str, ...]] = EVENT_DATES) -> DataFrame:
