@@ -179,8 +179,9 @@ def promo_rows(data: Data) -> DataFrame:
     "SELECT store, dept, date, t.is_holiday FROM train t LEFT JOIN features f USING (store, date)",
 )
 def flag_after_merge(data: Data) -> DataFrame:
-    covariates = data.features().withColumn("is_holiday", F.lit(False))
-    merged = P.merge_panel(data.train(), covariates, data.stores())
+    fact, covariates = P.tables(data.spark, data.folder, data.site)
+    flagged = covariates.withColumn("is_holiday", F.lit(False))
+    merged = P.merge_panel(fact, flagged, data.stores())
     return merged.select(*KEY, "is_holiday")
 
 
@@ -288,7 +289,8 @@ def sample_rows(data: Data) -> DataFrame:
     r6="temperature cpi",
 )
 def join_covariates(data: Data) -> DataFrame:
-    joined = data.train().join(data.features(), ["store", "date"], "left")
+    fact, covariates = P.tables(data.spark, data.folder, data.site)
+    joined = fact.join(covariates, ["store", "date"], "left")
     return joined.select(*KEY, "weekly_sales", "temperature", "cpi", "markdown1")
 
 

@@ -276,7 +276,7 @@ def reconciled(data: Data, staged: bool = False) -> DataFrame:
     UNION ALL SELECT DISTINCT 'Store_Department', 'Store_' || store || '_Dept_' || dept, 'Store_' || store, 0 FROM train""",
 )
 def node_list(data: Data) -> DataFrame:
-    return hierarchy.nodes(data.train())
+    return hierarchy.nodes(data.staged_train())
 
 
 @query(

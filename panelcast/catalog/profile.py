@@ -33,8 +33,8 @@ PANEL_COLUMNS = (
     UNION ALL SELECT 'stores', 3, count(*), NULL, NULL, count(DISTINCT store), NULL FROM stores""",
 )
 def overview(data: Data) -> DataFrame:
-    tables = {"train": data.train(), "features": data.features(), "stores": data.stores()}
-    return profile.overview(tables)
+    fact, covariates = P.tables(data.spark, data.folder, data.site)
+    return profile.overview({"train": fact, "features": covariates, "stores": data.stores()})
 
 
 @query(
@@ -607,8 +607,9 @@ def bounded_sample(data: Data) -> DataFrame:
 )
 def keep_last(data: Data) -> DataFrame:
     """Results of two runs joined by name; the later run of a name wins."""
-    totals = data.train().groupBy("dept").agg(F.sum("weekly_sales").alias("total"))
-    events = data.train().where("is_holiday").groupBy("dept").agg(F.sum("weekly_sales").alias("total"))
+    fact = data.staged_train()
+    totals = fact.groupBy("dept").agg(F.sum("weekly_sales").alias("total"))
+    events = fact.where("is_holiday").groupBy("dept").agg(F.sum("weekly_sales").alias("total"))
     runs = totals.withColumn("run", F.lit(1)).unionByName(
         events.where("total > 0").withColumn("run", F.lit(2))
     )

@@ -179,7 +179,41 @@ def strongest_lag(data: Data) -> DataFrame:
     return stats.strongest_lag(_lagged(data))
 
 
-@query("t6_predictive_gain")
+def _gain_sql(feature: str) -> str:
+    """The covariance elimination as chained selects over one feature's matrix."""
+    names = ["y", "y1", "y2", "x1", "x2"]
+    cells = ", ".join(f"covar_pop({a}, {b}) AS {a}_{b}" for i, a in enumerate(names) for b in names[i:])
+    spread = ", ".join(f"var_pop({v}) AS v_{v}" for v in names)
+    text = f"""SELECT count(*) AS n, {cells}, {spread} FROM (SELECT weekly_sales AS y, lag(weekly_sales, 1) OVER w AS y1,
+      lag(weekly_sales, 2) OVER w AS y2, lag({feature}, 1) OVER w AS x1, lag({feature}, 2) OVER w AS x2
+      FROM site_weeks WHERE {feature} IS NOT NULL WINDOW w AS (PARTITION BY store ORDER BY date)) WHERE y2 IS NOT NULL"""
+    rest = names
+    for k in names[1:]:
+        rest = [n for n in rest if n != k]
+
+        def cell(a: str, b: str) -> str:
+            return f"{a}_{b}" if names.index(a) <= names.index(b) else f"{b}_{a}"
+
+        given = ", ".join(
+            f"{cell(a, b)} - CASE WHEN {cell(k, k)} > v_{k} * 1e-9 THEN {cell(a, k)} * {cell(b, k)} / {cell(k, k)} ELSE 0 END AS {cell(a, b)}"
+            for i, a in enumerate(rest)
+            for b in rest[i:]
+        )
+        kept = "n, " + ", ".join(f"v_{v}" for v in names) + (", own" if k in ("x1", "x2") else "")
+        text = f"SELECT {kept}, {given} FROM ({text})"
+        if k == "y2":
+            text = f"SELECT *, 1 - y_y / v_y AS own FROM ({text})"
+    return f"SELECT '{feature}' AS feature, n, own AS r2_without, 1 - y_y / v_y AS r2_with FROM ({text})"
+
+
+@query(
+    "t6_predictive_gain",
+    "WITH g AS ("
+    + "\nUNION ALL ".join(_gain_sql(f) for f in ANALYSED)
+    + """) SELECT *, r2_with - r2_without AS gain, greatest(r2_with - r2_without, 0) AS strength,
+    r2_with - r2_without > 0.01 AS significant FROM g""",
+    r6="r2_without r2_with gain strength",
+)
 def predictive_gain(data: Data) -> DataFrame:
     return stats.predictive_gain(analysis(data), "weekly_sales", ANALYSED, ["store"], "date")
 

@@ -75,15 +75,6 @@ def partial_autocorrelations(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def r_squared(cov: np.ndarray, k: int) -> float:
-    """Share of variance of variable 0 explained by variables 1..k, from their
-    covariance matrix (least squares with intercept)."""
-    x, c = cov[1 : k + 1, 1 : k + 1], cov[1 : k + 1, 0]
-    if cov[0, 0] <= 0:
-        return float("nan")
-    return float(c @ np.linalg.lstsq(x, c, rcond=None)[0] / cov[0, 0])
-
-
 # MacKinnon (1994) p-value polynomials and MacKinnon (2010)
 # critical values for a unit-root test with a constant.
 TAU_MAX, TAU_MIN, TAU_STAR = 2.74, -18.83, -1.61

@@ -11,6 +11,7 @@ from panelcast.operators.joins import lookup_join, scalars
 from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
+# Lags, rolling windows and covariate products of the feature set.
 LAGS = (1, 2, 4, 8, 12, 52)
 WINDOWS = (4, 8, 12, 24, 52)
 ROLLING = {"mean": F.avg, "std": F.stddev, "max": F.max, "min": F.min}

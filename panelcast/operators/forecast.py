@@ -15,6 +15,8 @@ from panelcast.functions import scalars as S
 from panelcast.operators.rollup import level_of
 from panelcast.spec import DEFAULT, PanelSpec
 
+# The base models, their shares in the ensemble, the recent window,
+# the seasonal cycle and the smoothing factor.
 MODELS = {
     "trend_seasonal": "Statistical",
     "smoothing": "Statistical",

@@ -135,34 +135,50 @@ def predictive_gain(
 ) -> DataFrame:
     """R² of the target on its own two lags, and with two lags of a feature.
 
-    The data is reduced to one covariance matrix per feature; only that is
-    solved in Python.
+    The data is reduced to one covariance matrix per feature. Eliminating the
+    regressors from it one by one leaves the target's unexplained variance.
     """
     long = df.select(*keys, time, F.col(target).cast("double").alias("y"), *features)
     long = long.unpivot([*keys, time, "y"], list(features), "feature", "x")
     long = long.where("x is not null and y is not null")
     w = W.partitionBy("feature", *keys).orderBy(time)
-    v = {"y": F.col("y")}
-    for c in ("y", "x"):
-        v |= {f"{c}{k}": F.lag(c, k).over(w) for k in (1, 2)}
-    rows = long.select("feature", *[e.alias(n) for n, e in v.items()]).dropna()
-    names = list(v)
-    cov = F.array(*[F.covar_pop(a, b) for a in names for b in names])
-    stats = rows.groupBy("feature").agg(F.count("*").alias("n"), cov.alias("c"))
-
-    @F.pandas_udf("array<double>")
-    def solve(c: pd.Series) -> pd.Series:
-        cells = (np.asarray(v, float).reshape(5, 5) for v in c)
-        return pd.Series([[special.r_squared(m, 2), special.r_squared(m, 4)] for m in cells])
-
-    out = stats.where(F.col("n") + 2 > least).withColumn("_r2", solve("c"))
+    lags = {f"{c}{k}": F.lag(c, k).over(w) for c in ("y", "x") for k in (1, 2)}
+    rows = long.select("feature", "y", *[e.alias(n) for n, e in lags.items()]).dropna()
+    names = ["y", *lags]
+    cov = [
+        F.covar_pop(a, b).alias(_cell(a, b)) for i, a in enumerate(names) for b in names[i:]
+    ]
+    spread = [F.var_pop(v).alias(f"v_{v}") for v in names]
+    table = rows.groupBy("feature").agg(F.count("*").alias("n"), *cov, *spread)
+    table = table.where(F.col("n") + 2 > least)
+    own = eliminate(eliminate(table, names, "y1"), names[:1] + names[2:], "y2")
+    own = own.withColumn("r2_without", 1 - S.ratio(F.col(_cell("y", "y")), F.col("v_y")))
+    both = eliminate(eliminate(own, ["y", "x1", "x2"], "x1"), ["y", "x2"], "x2")
+    both = both.withColumn("r2_with", 1 - S.ratio(F.col(_cell("y", "y")), F.col("v_y")))
     gain = F.col("r2_with") - F.col("r2_without")
-    out = out.select("feature", "n", F.col("_r2")[0].alias("r2_without"), F.col("_r2")[1].alias("r2_with"))
-    return out.withColumns(
+    return both.select("feature", "n", "r2_without", "r2_with").withColumns(
         {"gain": gain, "strength": F.greatest(gain, F.lit(0.0)), "significant": gain > threshold}
     )
 
 
+def _cell(a: str, b: str) -> str:
+    return f"c_{min(a, b)}_{max(a, b)}"
+
+
+def eliminate(table: DataFrame, names: Sequence[str], k: str) -> DataFrame:
+    """Covariances of the other variables given ``k``. A variable with (almost)
+    no variance of its own left explains nothing more and is passed over."""
+    rest = [n for n in names if n != k]
+    own = F.col(_cell(k, k))
+    usable = own > F.col(f"v_{k}") * 1e-9
+
+    def given(a: str, b: str) -> Column:
+        part = F.try_divide(F.col(_cell(a, k)) * F.col(_cell(b, k)), own)
+        return F.col(_cell(a, b)) - F.coalesce(F.when(usable, part), F.lit(0.0))
+
+    return table.withColumns({_cell(a, b): given(a, b) for i, a in enumerate(rest) for b in rest[i:]})
+
+
 # --- trend and seasonality -------------------------------------------------------------
 
 

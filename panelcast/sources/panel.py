@@ -159,18 +159,23 @@ def merge_panel(
     return lookup_join(merged, dimension, [spec.top], "left")
 
 
-def panel(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
-    """The merged panel of the data folder.
+def tables(spark: SparkSession, folder: str, site: str = "nation") -> tuple[DataFrame, DataFrame]:
+    """Fact and covariate table from one pass over the lines.
 
-    The lines are read and shuffled once: their cells hold the sales and the
-    covariates' sums, are written, and then serve as the fact table and, rolled
-    up over departments, as the covariate table.
+    The cells hold the sales and the covariates' sums and are written once; they
+    serve as the fact table and, rolled up over departments, as the covariates.
     """
     lines = with_department(sales_lines(spark, folder, site), spark, folder)
     measures = {"weekly_sales": sales_amount(), **covariate_sums()}
     base = stage(cells(lines, ["store", "dept"], "date", measures), "cells")
     fact = with_event_flag(base.select("store", "dept", "date", "weekly_sales"))
-    return merge_panel(fact, covariates(base), stores(spark, folder, site))
+    return fact, covariates(base)
+
+
+def panel(spark: SparkSession, folder: str, site: str = "nation") -> DataFrame:
+    """The merged panel of the data folder."""
+    fact, extra = tables(spark, folder, site)
+    return merge_panel(fact, extra, stores(spark, folder, site))
 
 
 def listed_calendar(spark: SparkSession, dates: Mapping[str, tuple[str, ...]] = EVENT_DATES) -> DataFrame:
