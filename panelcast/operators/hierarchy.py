@@ -6,8 +6,6 @@ below the node's level), ``step`` and a value column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -66,6 +66,13 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = "features") ->
     return VectorAssembler(inputCols=inputs, outputCol=name).transform(ready).drop(*inputs)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core: small files are packed into few splits,
+    and an iterative fit reads them many times. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fit_forest(
     train: DataFrame,
     features: Sequence[str],
@@ -89,7 +96,7 @@ def fit_forest(
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    return forest.fit(assemble(train, features))
+    return forest.fit(spread(assemble(train, features)))
 
 
 def forest_importances(model, features: Sequence[str], spark) -> DataFrame:
@@ -148,8 +155,7 @@ class SeasonalRegression:
         rows = assemble(rows, names).withColumn("_in", F.col(spec.time) < start)
         known = rows.where(F.col("_in") & (F.col(spec.target) > 0))
         known = known.withColumn("_label", F.log(spec.target) - F.col("_level"))
-        if spec.event in panel.columns:
-            known = known.withColumn("_w", S.event_weight(F.col(spec.event)))
+        known = known.withColumn("_w", S.event_weight(F.col(spec.event)))
         model = LinearRegression(
             featuresCol="features", labelCol="_label", weightCol="_w", regParam=self.ridge, elasticNetParam=0.0
         ).fit(known)

@@ -199,6 +199,28 @@ def test_autoregression_continues_a_repeating_series(panel):
     np.testing.assert_allclose(out.predicted, out.actual, rtol=0.01)
 
 
+def test_seasonal_regression_recovers_a_multiplicative_season(spark, panel, week):
+    days = np.array([week(i).toordinal() for i in range(220)])
+    wave = np.exp(0.3 * np.sin(2 * np.pi * days / 365.25))
+    df = panel({(1, "a"): 100 * wave, (2, "b"): 5 * wave}).withColumn("x", F.lit(1.0))
+    calendar = spark.createDataFrame([("Event", week(10))], "holiday string, date date")
+    out = models.SeasonalRegression().run(df, calendar, ["x"]).toPandas()
+    assert len(out) == 16 and (out.lower <= out.predicted).all() and (out.predicted <= out.upper).all()
+    np.testing.assert_allclose(out.predicted, out.actual, rtol=0.05)
+
+
+def test_forest_learns_a_step(spark):
+    df = spark.range(400).select(
+        F.col("id").cast("double").alias("x"),
+        F.when(F.col("id") < 200, 1.0).otherwise(9.0).alias("y"),
+        F.lit(1.0).alias("event_weight"),
+    )
+    model = models.fit_forest(df, ["x"], "y", trees=5, depth=3)
+    out = model.transform(models.assemble(df, ["x"]))
+    assert out.agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 3
+    assert models.forest_importances(model, ["x"], spark).first().importance == pytest.approx(1.0)
+
+
 def test_plans_run_end_to_end(spark):
     from panelcast.sources import panel as P
 

@@ -125,6 +125,20 @@ def test_bare_carriage_returns_and_missing_values(spark, tmp_path):
     assert [r.v for r in rows] == [None, None, 1.5] and rows[1].date is None
 
 
+def test_folder_of_csv_tables(spark, tmp_path):
+    (tmp_path / "train.csv").write_text("Store,Dept,Date,Weekly_Sales,IsHoliday\n1,1,2010-02-12,5.5,TRUE\n")
+    (tmp_path / "test.csv").write_text("Store,Dept,Date,IsHoliday\n1,1,2010-02-19,FALSE\n")
+    (tmp_path / "stores.csv").write_bytes(b"Store,Type,Size\r1,A,151315\r")
+    names = "Store,Date,Temperature,Fuel_Price,MarkDown1,MarkDown2,MarkDown3,MarkDown4,MarkDown5,CPI,Unemployment,IsHoliday"
+    (tmp_path / "features.csv").write_text(f"{names}\n1,2010-02-12,38.5,2.5,NA,NA,NA,NA,NA,211.2,8.1,TRUE\n")
+    t = tables.read_sales_folder(spark, str(tmp_path))
+    row = P.merge_panel(t["train"], t["features"], t["stores"]).first()
+    assert row.is_holiday and row.markdown1 is None and row.cpi == 211.2 and row.type == "A"
+    assert t["test"].first().date.isoformat() == "2010-02-19"
+    event = P.listed_calendar(spark).join(t["train"].select("date"), "date").first()
+    assert event.holiday == "Super Bowl"
+
+
 def test_missing_file_raises(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_csv(spark, str(tmp_path / "none.csv"), tables.STORES_SCHEMA)
