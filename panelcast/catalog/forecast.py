@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.catalog.registry import Data, define_cte, query
+from panelcast.catalog.registry import Data, define_cte, query, tail_sql
 from panelcast.catalog.stats import ANALYSED, analysis
 from panelcast.operators import clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
 from panelcast.operators import features as FE
@@ -293,7 +293,7 @@ def ols_reconciliation(data: Data) -> DataFrame:
     return reconciled(data)
 
 
-@query("h3_ols_by_supplier", "SELECT * FROM reconciled_nodes", site="supplier", r4="reconciled")
+@query("h3_ols_by_supplier", "SELECT * FROM reconciled_nodes", site="supplier", r2="reconciled")
 def ols_by_supplier(data: Data) -> DataFrame:
     return reconciled(data)
 
@@ -609,14 +609,15 @@ def summary_picks(data: Data) -> DataFrame:
 
 @query(
     "v9_residual_t",
-    f"""WITH s AS (SELECT model, avg({_E}) AS m, var_samp({_E}) AS v, count(*) AS n FROM results GROUP BY model)
-    SELECT a.model AS model_a, b.model AS model_b, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)
+    f"""WITH s AS (SELECT model, avg({_E}) AS m, var_samp({_E}) AS v, count(*) AS n FROM results GROUP BY model),
+    c AS (SELECT a.model AS model_a, b.model AS model_b, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)
       * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS t, CAST(a.n + b.n - 2 AS BIGINT) AS df
-    FROM s a JOIN s b ON a.model < b.model""",
-    r6="t",
+      FROM s a JOIN s b ON a.model < b.model), p AS ({tail_sql("c", "model_a, model_b")})
+    SELECT c.*, p_value FROM c JOIN p USING (model_a, model_b)""",
+    r6="t p_value",
 )
 def residual_t(data: Data) -> DataFrame:
-    return evaluate.residual_t_tests(results(data), sorted(MODELS)).drop("p_value")
+    return evaluate.residual_t_tests(results(data), sorted(MODELS))
 
 
 _PROFILE_QS = ((0.1, "q10"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.9, "q90"))

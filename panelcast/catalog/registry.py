@@ -113,6 +113,8 @@ def with_tables(sql: str, site: str = "nation") -> str:
     body = sql.strip()
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"
@@ -138,6 +140,15 @@ def round_sql(sql: str, places: dict[str, int]) -> str:
     return f"SELECT * REPLACE ({cells}) FROM (\n{sql}\n) result"
 
 
+def tail_sql(source: str, key: str) -> str:
+    """Two-sided Student tail of columns ``t`` and ``df``, by Simpson's rule on
+    the density; ``key`` lists the columns that identify a row."""
+    return f"""SELECT {key}, greatest(1 - 2 * area * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()), 0) AS p_value
+    FROM (SELECT {key}, df, abs(t) / 4000 / 3 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+        * pow(1 + pow(abs(t) * i / 4000, 2) / df, -(df + 1) / 2.0)) AS area
+      FROM {source} CROSS JOIN range(0, 4001) g(i) GROUP BY {key}, df, t)"""
+
+
 def query(
     name: str,
     sql: str | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.catalog.registry import Data, define_cte, query
+from panelcast.catalog.registry import Data, define_cte, query, tail_sql
 from panelcast.operators import clean, insight, profile, stats
 from panelcast.operators import features as FE
 from panelcast.spec import DEFAULT
@@ -146,7 +146,13 @@ def correlation_t(data: Data) -> DataFrame:
     return stats.with_significance(corr).select("feature", "n", "r", "t")
 
 
-@query("t4_significance")
+@query(
+    "t4_significance",
+    f"""WITH c AS (SELECT feature, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS df FROM site_corr
+      WHERE n > 10 AND r IS NOT NULL), p AS ({tail_sql("c", "feature")})
+    SELECT c.feature, n, r, t, p_value, p_value < 0.05 AS significant FROM c JOIN p USING (feature)""",
+    r6="r t p_value",
+)
 def significance(data: Data) -> DataFrame:
     return stats.with_significance(stats.correlations(analysis(data), "weekly_sales", ANALYSED))
 
@@ -291,7 +297,19 @@ def listed_acf(data: Data) -> DataFrame:
     return stats.listed_autocorrelations(rows, ["store"])
 
 
-@query("t12_pacf")
+@query(
+    "t12_pacf",
+    """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY date) AS rn, y - avg(y) OVER () AS d FROM total_weeks),
+    v AS (SELECT a.rn - b.rn AS lag, sum(a.d * b.d) / (SELECT sum(d * d) FROM s) AS acf FROM s a JOIN s b
+      ON a.rn - b.rn BETWEEN 0 AND 52 GROUP BY 1),
+    r AS (SELECT list(acf ORDER BY lag) AS a FROM v),
+    d AS (SELECT 1 AS k, [a[2]] AS phi, a[2] AS l, a FROM r
+      UNION ALL SELECT k + 1, list_append([phi[i] - m * phi[k + 1 - i] for i in range(1, k + 1)], m), m, a
+      FROM (SELECT *, (a[k + 2] - list_dot_product(phi, list_reverse(a[2:k + 1])))
+          / (1 - list_dot_product(phi, a[2:k + 1])) AS m FROM d WHERE k < 52))
+    SELECT 'Total' AS node, CAST(k AS INTEGER) AS lag, l AS pacf FROM d UNION ALL SELECT 'Total', 0, 1""",
+    r6="pacf",
+)
 def pacf(data: Data) -> DataFrame:
     return stats.partial_autocorrelations(total_series(data), ["node"], "date", "y")
 
