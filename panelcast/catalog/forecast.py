@@ -144,13 +144,6 @@ def trend_seasonal_aligned(data: Data) -> DataFrame:
     return forecast.leaves(out).select("level", "store", "dept", "step", "trend_seasonal")
 
 
-FOREST_FEATURES = [
-    "is_holiday", "temperature", "fuel_price", "cpi", "unemployment", "size", "month", "week", "promo_total",
-    "weekly_sales_lag_1", "weekly_sales_lag_2", "weekly_sales_lag_4", "weekly_sales_lag_52",
-    "weekly_sales_mean_4", "weekly_sales_mean_12", "series_mean",
-]
-
-
 def _modelling(data: Data) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows whose features see only the past."""
     panel = data.staged_panel()
@@ -162,8 +155,9 @@ def _modelling(data: Data) -> tuple[DataFrame, DataFrame]:
 @query("m6_forest_forecast")
 def forest_forecast(data: Data) -> DataFrame:
     train, val = _modelling(data)
-    model = models.fit_forest(train, FOREST_FEATURES, "weekly_sales")
-    scored = model.transform(models.assemble(val, FOREST_FEATURES))
+    names = DEFAULT.feature_columns(train, numeric_only=True)[:20]
+    model = models.fit_forest(train, names, "weekly_sales")
+    scored = model.transform(models.assemble(val, names))
     return scored.select(
         "store", "dept", "date", F.col("weekly_sales").alias("actual"), F.col("prediction").alias("predicted")
     )

@@ -252,9 +252,14 @@ def error_profile(results: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     rows = results.select(
         "model", *spec.keys, spec.time, "actual", (F.col("predicted") - F.col("actual")).alias("e")
     ).withColumn("ae", F.abs("e"))
-    p95 = quantile_columns(rows, "ae", {"p95": 0.95}, ["model"])
-    thirds = quantile_columns(rows, "actual", {"p33": 0.33, "p67": 0.67}, ["model"])
-    marked = rows.join(F.broadcast(p95.join(thirds, "model")), "model")  # one row per model
+    sides = rows.unpivot(["model"], ["ae", "actual"], "side", "v")
+    q = quantile_columns(sides, "v", {"p33": 0.33, "p67": 0.67, "p95": 0.95}, ["model", "side"])
+    cells = [
+        F.max(F.when(F.col("side") == side, F.col(p))).alias(p)
+        for p, side in (("p33", "actual"), ("p67", "actual"), ("p95", "ae"))
+    ]
+    limits = q.groupBy("model").agg(*cells)
+    marked = rows.join(F.broadcast(limits), "model")  # one row per model
     w = W.partitionBy("model", *spec.keys).orderBy(spec.time)
     marked = marked.withColumn("e1", F.lag("e", 1).over(w))
     ae, y = F.col("ae"), F.col("actual")
