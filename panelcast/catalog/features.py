@@ -32,16 +32,14 @@ def csv_scan(data: Data) -> DataFrame:
 
 @query(
     "s2_date_parse",
-    "SELECT store, date, try_cast(CASE WHEN week % 10 = 0 THEN 'n/a' "
+    "SELECT store, date, try_cast(CASE WHEN is_holiday THEN 'n/a' "
     "ELSE strftime(date, '%Y-%m-%d') END AS DATE) AS parsed "
-    "FROM (SELECT DISTINCT store, date, weekofyear(date) AS week FROM train)",
+    "FROM (SELECT DISTINCT store, date, is_holiday FROM train)",
 )
 def date_parse(data: Data) -> DataFrame:
-    text = F.when(F.weekofyear("date") % 10 == 0, F.lit("n/a")).otherwise(
-        F.date_format("date", "yyyy-MM-dd")
-    )
-    rows = data.train().select("store", "date").distinct()
-    return rows.withColumn("parsed", tables.parse_date(text))
+    text = F.when(F.col("is_holiday"), "n/a").otherwise(F.date_format("date", "yyyy-MM-dd"))
+    rows = data.train().select("store", "date", "is_holiday").distinct()
+    return rows.select("store", "date", tables.parse_date(text).alias("parsed"))
 
 
 # --- projections -------------------------------------------------------------

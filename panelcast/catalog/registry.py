@@ -74,8 +74,7 @@ SELECT store, date, AVG(l_quantity) AS temperature,
 FROM (SELECT {site} AS store, CAST(date_trunc('week', l_shipdate) AS DATE) + 4 AS date,
         floor(l_extendedprice * l_discount + 0.5::DOUBLE) AS promo, l.*
       FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey) x
-WHERE (store + weekofyear(date)) % 17 <> 0
-GROUP BY store, date""",
+GROUP BY store, date HAVING count_if(l_returnflag = 'R') > 0""",
     "panel": """
 SELECT t.*, f.temperature, f.fuel_price, f.cpi, f.unemployment,
   f.markdown1, f.markdown2, f.markdown3, f.markdown4, f.markdown5, s.type, s.size

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_STAGED: list[str] = []
 
 
 def local_session(cores: int | str = "*", app: str = "panelcast") -> SparkSession:
@@ -52,4 +53,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables this program staged, once its results are written.
+    DataFrames that still read them become unusable."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count

@@ -114,6 +114,7 @@ def covariate_sums() -> dict[str, Column]:
     }
     return {
         "n_lines": F.count("*"),
+        "returns": F.sum((F.col("l_returnflag") == "R").cast("bigint")),
         "quantity": F.sum("l_quantity"),
         "tax": F.sum(whole(100 * F.col("l_tax"))),
         "price": F.sum(whole(F.col("l_extendedprice") / F.col("l_quantity"))),
@@ -124,12 +125,11 @@ def covariate_sums() -> dict[str, Column]:
 
 def covariates(sums: DataFrame) -> DataFrame:
     """Covariates and promotions by site and week, from their sums at any finer
-    grain; some weeks are left out."""
-    kept = sums.where((F.col("store") + F.weekofyear("date")) % 17 != 0)
-    names = [c for c in covariate_sums()]
-    total = kept.groupBy("store", "date").agg(*[F.sum(c).alias(c) for c in names])
+    grain. They are known for weeks with a return; other weeks have no row."""
+    names = list(covariate_sums())
+    total = sums.groupBy("store", "date").agg(*[F.sum(c).alias(c) for c in names])
     n = F.col("n_lines")
-    return total.select(
+    return total.where("returns > 0").select(
         "store",
         "date",
         (F.col("quantity") / n).alias("temperature"),

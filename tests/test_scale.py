@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast import session
 from panelcast.catalog import QUERIES
 from panelcast.operators import clean, features, joins, profile
 from panelcast.operators.quantiles import exact_quantiles, quantile_columns
@@ -150,6 +151,13 @@ def test_forecast_export_by_level(spark, tmp_path):
     assert (tmp_path / "out" / "hierarchy_level=Total").exists()
 
 
+def test_staged_tables_are_read_back_and_dropped(spark, monkeypatch):
+    monkeypatch.setattr(session, "_STAGED", [])
+    df = session.stage(spark.range(10).withColumn("x", F.lit("a")), "t")
+    assert df.columns == ["id", "x"] and df.count() == 10
+    assert session.drop_staged(spark) == 1 and session.drop_staged(spark) == 0
+
+
 def test_ties_and_top_k(panel):
     df = panel({(1, "b"): [5], (2, "a"): [5], (3, "c"): [1]})
     totals = profile.group_profile(df, ["store"])
