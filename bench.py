@@ -12,7 +12,7 @@ import statistics
 import time
 
 from panelcast.catalog import QUERIES
-from panelcast.session import local_session
+from panelcast.session import drop_staged, local_session
 
 HEADLINE = [
     "j2_panel",
@@ -56,6 +56,7 @@ def main() -> None:
     for name in names:
         timed(name)
         seconds[name] = round(statistics.median(timed(name) for _ in range(runs)), 3)
+    drop_staged(spark)
     spark.stop()
     print(
         json.dumps(

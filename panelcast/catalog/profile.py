@@ -300,7 +300,7 @@ _ROLL_ROUND = "weekly_sales temperature fuel_price cpi unemployment markdown1 ma
 @query(
     "a15_rollup_date",
     f"SELECT date, {_ROLL}, {', '.join(f'sum({c}) AS {c}' for c in PROMOS)}, max(size) AS size FROM panel GROUP BY date",
-    r6=_ROLL_ROUND,
+    r8=_ROLL_ROUND,
 )
 def rollup_date(data: Data) -> DataFrame:
     return rollup.rollup_panel(data.panel(), ["date"])
@@ -310,7 +310,7 @@ def rollup_date(data: Data) -> DataFrame:
     "a15_rollup_store_date",
     f"SELECT store, date, {_ROLL}, {', '.join(f'avg({c}) AS {c}' for c in PROMOS)}, max(size) AS size "
     "FROM panel GROUP BY store, date",
-    r6=_ROLL_ROUND,
+    r8=_ROLL_ROUND,
 )
 def rollup_store_date(data: Data) -> DataFrame:
     return rollup.rollup_panel(data.panel(), ["store", "date"], promo="mean")

@@ -119,8 +119,9 @@ def with_tables(sql: str, site: str = "nation") -> str:
     return f"WITH {head}\n{body}"
 
 
-def _places(r2: str, r4: str, r6: str, r12: str) -> dict[str, int]:
-    return {c: n for n, cols in ((2, r2), (4, r4), (6, r6), (12, r12)) for c in cols.split()}
+def _places(**columns: str) -> dict[str, int]:
+    """``r4="a b"`` to ``{"a": 4, "b": 4}``."""
+    return {c: int(r[1:]) for r, cols in columns.items() for c in cols.split()}
 
 
 def round_columns(df: DataFrame, places: dict[str, int]) -> DataFrame:
@@ -155,6 +156,7 @@ def query(
     r2: str = "",
     r4: str = "",
     r6: str = "",
+    r8: str = "",
     r12: str = "",
 ):
     """Register ``fn(data) -> DataFrame`` under a name, with its SQL if any.
@@ -162,7 +164,7 @@ def query(
     ``r2`` to ``r12`` name the columns both sides round to that many
     places, since sums of doubles depend on the order of addition.
     """
-    places = _places(r2, r4, r6, r12)
+    places = _places(r2=r2, r4=r4, r6=r6, r8=r8, r12=r12)
 
     def register(fn: Callable[[Data], DataFrame]):
         if name in QUERIES:

@@ -64,7 +64,7 @@ def compare(spark, con, folder, fn, sql):
 
 
 def main(sf: str, names: list[str]) -> int:
-    from panelcast.session import local_session
+    from panelcast.session import drop_staged, local_session
 
     import __spark_entry__ as entry
 
@@ -86,6 +86,7 @@ def main(sf: str, names: list[str]) -> int:
             problem, rows = f"{type(e).__name__}: {str(e)[:600]}", -1
         failed += problem is not None
         tag = "FAIL" if problem else ("ok  " if n in oracles else "rows")
+        drop_staged(spark)
         print(f"{tag} {n:32s} {rows:8d} {time.time() - start:6.2f}s {problem or ''}", flush=True)
     print(f"{len(chosen)} queries, {failed} failed")
     return failed

@@ -8,9 +8,9 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 
-from panelcast.session import local_session  # noqa: E402
+from panelcast.session import drop_staged, local_session  # noqa: E402
 
-MONDAY = dt.date(2015, 1, 2)  # a Friday, the weekday of all panel dates
+FIRST_FRIDAY = dt.date(2015, 1, 2)
 
 
 @pytest.fixture(scope="session")
@@ -18,20 +18,21 @@ def spark():
     session = local_session(8, "panelcast-tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
 
 
 @pytest.fixture(scope="session")
 def week():
     """Date of a week number."""
-    return lambda i: MONDAY + dt.timedelta(days=7 * i)
+    return lambda i: FIRST_FRIDAY + dt.timedelta(days=7 * i)
 
 
 @pytest.fixture(scope="session")
 def panel(spark, week):
     """Panel from {(store, dept): {week: sales}}."""
 
-    def make(series, flags=(), **columns):
+    def make(series, flags=()):
         rows = [
             (s, d, week(i), None if y is None else float(y), i in flags)
             for (s, d), values in series.items()
