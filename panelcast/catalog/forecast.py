@@ -946,7 +946,42 @@ def surrogate_forest(data: Data) -> DataFrame:
     return insight.top_importances(table, "importance").withColumn("r2", r2)
 
 
-@query("i3_surrogate_ridge")
+def _ridge_sql(features: list[str], alpha: float = 1.0) -> str:
+    """Ridge coefficients by Gauss-Jordan elimination, one select per pivot."""
+    k = range(len(features))
+    cells = [f"covar_pop(x{i}, x{j}) AS s{i}_{j}" for i in k for j in k]
+    cells += [f"covar_pop(x{i}, p) AS t{i}" for i in k]
+    inputs = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0) AS x{i}" for i, f in enumerate(features))
+    text = f"SELECT count(*) AS n, var_pop(p) AS vy, {', '.join(cells)} FROM (SELECT p, {inputs} FROM surrogate_rows)"
+    scaled = [f"s{i}_{j} / sqrt(s{i}_{i} * s{j}_{j}) AS r{i}_{j}" for i in k for j in k]
+    scaled += [f"t{i} / sqrt(s{i}_{i}) AS y{i}" for i in k]
+    text = f"SELECT n, vy, {', '.join(scaled)} FROM ({text})"
+    start = [f"r{i}_{j}{f' + {alpha} / n' if i == j else ''} AS m{i}_{j}" for i in k for j in k]
+    kept = ", ".join(["vy", *[f"r{i}_{j}" for i in k for j in k], *[f"y{i}" for i in k]])
+    steps = [f"SELECT {kept}, {', '.join(start)}, {', '.join(f'y{i} AS b{i}' for i in k)} FROM ({text})"]
+    for c in k:
+        cells = [
+            f"m{c}_{j} / m{c}_{c} AS m{c}_{j}" if i == c else f"m{i}_{j} - m{i}_{c} * m{c}_{j} / m{c}_{c} AS m{i}_{j}"
+            for i in k
+            for j in k
+        ]
+        cells += [f"b{c} / m{c}_{c} AS b{c}" if i == c else f"b{i} - m{i}_{c} * b{c} / m{c}_{c} AS b{i}" for i in k]
+        steps.append(f"SELECT {kept}, {', '.join(cells)} FROM pivot{c}")
+    fitted = " + ".join([*[f"2 * b{i} * y{i}" for i in k], *[f"-b{i} * b{j} * r{i}_{j}" for i in k for j in k]])
+    chain = ", ".join(f"pivot{c} AS MATERIALIZED ({t})" for c, t in enumerate(steps))
+    solved = f"SELECT ({fitted}) / vy AS r2, {', '.join(f'b{i}' for i in k)} FROM pivot{len(features)}"
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, b{i} AS coefficient, r2 FROM g" for i, f in enumerate(features))
+    return f"""WITH {chain}, g AS ({solved}) SELECT * FROM ({rows}) ORDER BY abs(coefficient) DESC, feature LIMIT 5"""
+
+
+define_cte(
+    "surrogate_rows",
+    """SELECT p, s.* FROM site_weeks s JOIN (SELECT store, date, sum(predicted) AS p FROM results
+      WHERE model = 'ensemble' GROUP BY store, date) r ON r.store = s.store AND r.date = s.date""",
+)
+
+
+@query("i3_surrogate_ridge", _ridge_sql(ANALYSED), r4="coefficient", r6="r2")
 def surrogate_ridge(data: Data) -> DataFrame:
     return insight.top_importances(insight.surrogate_ridge(_surrogate_rows(data), "p", ANALYSED), "coefficient")
 
