@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import byte_bpe, cotrain, exact_dedup, jaccard, language_id, mixture
+from panelcast.llm import (
+    byte_bpe, chat, cotrain, exact_dedup, jaccard, language_id, main_text, mixture, token_counts, winnowing,
+)
 from panelcast.sources.tables import read_table
 
 QUERIES = {}
@@ -27,6 +29,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.link_components(read_table(spark, folder, "documents"))
 
 
+@query("op2_token_counts")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = token_counts.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(read_table(spark, folder, "documents"), vocabulary)
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.detect(read_table(spark, folder, "documents"))
@@ -38,6 +46,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(read_table(spark, folder, "documents"), tokens, public_tokenizers.PATTERN)
 
 
+@query("op5_chat_format")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, folder, "conversations"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
@@ -50,6 +63,16 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.keepers(exact_dedup.duplicates(read_table(spark, folder, "documents")))
 
 
+@query("op7_fingerprints")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.fingerprints(read_table(spark, folder, "documents"))
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(read_table(spark, folder, "pages"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
