@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every ``GRAM`` bytes of the UTF-8 text are hashed; of every ``WINDOW`` neighbouring
+A text is cut into its words, those over ``PIECE`` characters into several pieces.
+Every ``GRAM`` neighbouring pieces are hashed; of every ``WINDOW`` neighbouring
 hashes the smallest is kept, the rightmost of equal ones. Any run of
-``GRAM + WINDOW - 1`` bytes that two texts share therefore leaves a hash in both
+``GRAM + WINDOW - 1`` pieces that two texts share therefore leaves a hash in both
 fingerprints. A hash and its position are one long: the hash in the upper half,
 minus the position, so that the smallest long is the rightmost smallest hash.
 
-Defined cases: null text counts as empty; an empty text has an empty fingerprint;
-a text shorter than a gram is one gram, fewer grams than a window are one window;
+Defined cases: null text counts as empty; a text without words has an empty
+fingerprint; a text shorter than a gram is one gram, fewer grams than a window are one window;
 two empty fingerprints are alike (1), an empty one and another are not (0); equal
 ids are ordered by a hash of their texts, null ids come last; a single document is
 its own next one; other columns are ignored. The id must be an integer.
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import small_side
 from panelcast.session import stage
 
-GRAM = 12
-WINDOW = 8
+PIECE = 8
+GRAM = 3
+WINDOW = 4
 #: Documents that are put in order in one group, and cut points of their ids.
 GROUP = 256
 CUTS = 32
@@ -37,18 +39,18 @@ def _with(value: Column, body) -> Column:
 def winnow(text: Column) -> Column:
     """The kept hashes with their positions, in the order of the text."""
 
-    def grams(data: Column) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - (GRAM - 1)))
-        piece = lambda i: F.shiftleft(F.hash(F.substring(data, i, F.lit(GRAM))).cast("long"), 32) - i
-        return F.transform(at, piece)
+    def grams(pieces: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces) - (GRAM - 1)))
+        gram = lambda i: F.hash(*[F.get(pieces, i + (o - 1)) for o in range(GRAM)])
+        return F.transform(at, lambda i: F.shiftleft(gram(i).cast("long"), 32) - i)
 
     def minima(hashes: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(hashes) - WINDOW))
         return F.transform(at, lambda j: F.least(*[F.get(hashes, j + o) for o in range(WINDOW)]))
 
     kept = lambda m: F.filter(m, lambda x, i: (i == 0) | (x != F.get(m, i - 1)))
-    chosen = _with(_with(_with(F.encode(text, "UTF-8"), grams), minima), kept)
-    return F.when(F.length(text) > 0, chosen).otherwise(F.array().cast("array<bigint>"))
+    chosen = lambda p: F.when(F.size(p) > 0, _with(_with(grams(p), minima), kept)).otherwise(F.array().cast("array<bigint>"))
+    return _with(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0)), chosen)
 
 
 def hashes(fingerprint: Column) -> Column:
@@ -56,7 +58,7 @@ def hashes(fingerprint: Column) -> Column:
 
 
 def positions(fingerprint: Column) -> Column:
-    """Places of the kept grams, from 1, in bytes."""
+    """Places of the kept grams: the number of their first piece, from 1."""
     return F.transform(fingerprint, lambda x: (-x).bitwiseAND(0xFFFFFFFF).cast("int"))
 
 
