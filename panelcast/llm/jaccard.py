@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import chunks, fixed_total
@@ -38,7 +38,8 @@ from panelcast.session import stage
 
 WORDS = 5
 PERCENT = 80
-#: Bits of the sketch that is compared before the sets, in 64-bit cells.
+#: Bits of the short sketch that is compared first, in 64-bit cells. The wide sketch
+#: has four bits per shingle or more.
 CELLS = 16
 #: Cells of the table that counts words, and bits of the filter of candidates.
 COUNTERS = 1 << 20
@@ -83,6 +84,12 @@ def bit_sketch(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_cells(n: int) -> int:
+    """Cells of a wide sketch: a power of two, of four bits per shingle or more. The
+    exclusive or of its halves is the sketch of half the size."""
+    return max(CELLS, 1 << max(0, (4 * n - 1) // 64).bit_length())
+
+
 def most_apart(n: int, percent: int = PERCENT) -> int:
     """Largest symmetric difference between a set of ``n`` and any that it links
     with: |A xor B| <= (100 - p) / (100 + p) (|A| + |B|), |B| <= 100 |A| / p."""
@@ -143,16 +150,16 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
 
 
 def _describe(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """First pass: (doc_id, n, fp, sketch) of all documents, and how common words
-    are, as magnitudes. A class has its sketch once per task."""
+    """First pass: (doc_id, n, fp, sketch, wide) of all documents, and how common
+    words are, as magnitudes. A class has its sketches once per task."""
     width = COUNTERS // 64
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         cells, kind = np.zeros(COUNTERS, np.uint32), pa.int64()
-        names = ["doc_id", "n", "fp", "sketch", "block", "cells"]
+        names = ["doc_id", "n", "fp", "sketch", "wide", "block", "cells"]
         for b in batches:
-            kind, ids, ns, fps, sketches = b.column(0).type, [], [], [], []
+            kind, ids, ns, fps, sketches, wide = b.column(0).type, [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), _texts(b, 1)):
                 s = shingles(t, words)
                 fp = set_id(s) if len(s) else None
@@ -161,26 +168,28 @@ def _describe(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
                 fps.append(fp)
                 if fp is None or fp in seen:
                     sketches.append(None)
+                    wide.append(None)
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
                 sketches.append(bit_sketch(s))
+                wide.append(bit_sketch(s, wide_cells(len(s))))
                 scheme, parts, _ = schemes(len(s))[0]
                 np.add.at(cells, parity_words(s, scheme, parts) % _U(COUNTERS), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, kind), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, pa.list_(pa.int64())),
-                 pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+                 pa.array(wide, pa.list_(pa.int64())), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
         for block in range(64 * bool(seen)):
-            none = [pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            none = [pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
             part = cells[block * width : (block + 1) * width].tobytes()
             yield pa.RecordBatch.from_arrays([*none, pa.array([block], pa.int32()), pa.array([part], pa.binary())], names=names)
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, fp long, sketch array<long>, block int, cells binary"
+    schema = f"doc_id {kind}, n long, fp long, sketch array<long>, wide array<long>, block int, cells binary"
     both = stage(texts.mapInArrow(run, schema), "sets")
     counts = fixed_total(both.where("block IS NOT NULL"), ["block", "cells"], COUNTERS, _add_block)
     common = np.floor(np.log2(counts + 1.0)).astype(np.uint8)
-    return both.where("block IS NULL").select("doc_id", "n", "fp", "sketch"), common
+    return both.where("block IS NULL").select("doc_id", "n", "fp", "sketch", "wide"), common
 
 
 def _add_block(total: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -265,21 +274,38 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, fp = w[len(w) - tail :], f[len(f) - tail :]
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: first by size and sketch, then by set."""
-    spark = pairs.sparkSession
-    side = lambda x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))
+def _differ(a: str, b: str) -> Column:
+    """Hamming distance of two sketches; the larger is folded to the smaller's size."""
+
+    def folded(x: str, other: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        both = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(other), both).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their sizes, short sketches and wide sketches."""
+    close = lambda a, b: F.lit(100 + percent) * _differ(a, b) <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b"))
     alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    near = stage(
-        pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(alike & close).select("a", "b", "n_a", "n_b"), "near"
-    )
+    short = lambda x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    wide = lambda x: classes.select(F.col("fp").alias(x), F.col("wide").alias(f"w_{x}"))
+    some = pairs.distinct().join(short("a"), "a").join(short("b"), "b").where(alike & close("s_a", "s_b"))
+    some = stage(some.select("a", "b", "n_a", "n_b"), "alike")
+    return some.join(wide("a"), "a").join(wide("b"), "b").where(close("w_a", "w_b")).select("a", "b", "n_a", "n_b")
+
+
+def _sets(near: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(fp, members): the sets of the classes in ``near``. A bit filter of fixed size
+    keeps most other sets from being sent at all."""
     wanted = near.select(F.explode(F.array("a", "b")).alias("fp"))
-    bits = spark.sparkContext.broadcast(fixed_total(wanted, ["fp"], FILTER // 32, _mark, combine="or"))
+    bits = texts.sparkSession.sparkContext.broadcast(fixed_total(wanted, ["fp"], FILTER // 32, _mark, combine="or"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "members"])
         for b in batches:
             fps, sets, size = [], [], 0
             for t in _texts(b, 1):
@@ -293,23 +319,48 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
                 sets.append(s.view(np.int64))
                 size += len(s)
                 if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "members"])
+                    yield batch()
                     fps, sets, size = [], [], 0
             if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "members"])
+                yield batch()
 
     sets = texts.mapInArrow(run, "fp long, members array<long>").join(wanted.distinct(), "fp", "left_semi")
-    sets = stage(sets.groupBy("fp").agg(F.any_value("members").alias("members")), "members")
+    return stage(sets.dropDuplicates(["fp"]), "members")
+
+
+def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     one = sets.select(F.col("fp").alias("a"), F.col("members").alias("of_a"))
     other = sets.select(F.col("fp").alias("b"), F.col("members").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
     return (
-        near.join(one, "a").join(other, "b").withColumn("both", both)
+        near.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
         .where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("both")))
         .select("a", "b")
     )
 
 
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect what all pairs of ``near`` connect, and the components:
+    first each class is compared with its least partner, then whatever pairs are not
+    in one component yet."""
+    least = F.min("a").over(Window.partitionBy("b"))
+    first = near.withColumn("least", least).where(F.col("a") == F.col("least")).drop("least")
+    links = stage(_verified(first, sets, percent), "links")
+    roots = components(links)
+    open_pairs = stage(_apart(near, roots), "open_pairs")
+    if open_pairs.isEmpty():
+        return links, roots
+    links = stage(links.unionByName(_verified(open_pairs, sets, percent)), "links")
+    return links, components(links)
+
+
+def _apart(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
+    rows = near.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return rows.where(F.coalesce("r_a", "a") != F.coalesce("r_b", "b")).select("a", "b", "n_a", "n_b")
+
+
 def _mark(cells: np.ndarray, batch: pa.RecordBatch) -> None:
     bit = _mix(batch.column(0).to_numpy().view(np.uint64)) % _U(FILTER)
     np.bitwise_or.at(cells, bit >> _U(5), np.uint32(1) << (bit & _U(31)).astype(np.uint32))
@@ -408,18 +459,18 @@ def link_components(
     described, common = _describe(texts, words)
     classes = stage(
         described.where("fp IS NOT NULL").groupBy("fp")
-        .agg(F.max("n").alias("n"), F.any_value("sketch", True).alias("sketch"), F.min("doc_id").alias("least")),
+        .agg(F.max("n").alias("n"), F.any_value("sketch", True).alias("sketch"), F.any_value("wide", True).alias("wide"), F.min("doc_id").alias("least")),
         "classes",
     )
     meetings = _words(texts, words, percent, common).repartition(F.col("word")).sortWithinPartitions("word", "fp")
     met = stage(meetings.mapInArrow(_meet, "a long, b long, word long"), "met")
-    links = stage(_linked(met.where("word IS NULL").select("a", "b"), classes, texts, words, percent), "links")
-    roots = components(links)
-    rest = stage(_blocks(met.where("word IS NOT NULL").select("word", F.col("a").alias("fp")), roots, classes, percent).distinct(), "rest")
+    near = stage(_near(met.where("word IS NULL").select("a", "b"), classes, percent), "near")
+    links, roots = _linked(near, _sets(near, texts, words), percent)
+    rest = _blocks(met.where("word IS NOT NULL").select("word", F.col("a").alias("fp")), roots, classes, percent)
+    rest = stage(_near(rest, classes, percent), "near")
     if not rest.isEmpty():
-        more = stage(_linked(rest, classes, texts, words, percent), "links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+        more, _ = _linked(rest, _sets(rest, texts, words), percent)
+        roots = components(links.unionByName(more))
     named = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     named = stage(named.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("of"), "component_id"), "named")
