@@ -121,7 +121,7 @@ class Model:
             alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
             origin = self.starts.astype(np.int64)[:, None] * width
             state = np.repeat(origin, len(part), axis=1)
-            found = np.ones((langs, len(part)))
+            found = np.zeros((langs, len(part)))
             for step in range(int(sizes[0])):
                 n = int(alive[step])
                 symbol = grid[step, :n]
@@ -132,8 +132,11 @@ class Model:
                     again = flat[origin + symbol].astype(np.int64) * width
                     fresh = np.where(again == 0, origin, again)
                     to = np.where(ends, fresh, to)
-                    found[:, :n] += ends
+                    # A character that matches nothing is a phrase of its own.
+                    found[:, :n] += ends & (state[:, :n] != origin)
+                    found[:, :n] += ends & (again == 0)
                 state[:, :n] = to
+            found += state != origin
             np.add.at(counts, np.array(of)[lo : lo + AT_ONCE][order], found.T)
         return counts
 

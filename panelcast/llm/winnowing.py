@@ -85,7 +85,7 @@ def in_groups(docs: DataFrame) -> DataFrame:
         steps = max(1, -(-r.n // (GROUP * CUTS)))
         edge = F.array(*[F.lit(e).cast("long") for e in edges])
         i = F.size(F.filter(edge, lambda e: e <= F.col("doc_id")))
-        lo, hi = F.element_at(edge, F.least(i, F.lit(len(edges) - 1))), F.element_at(edge, F.least(i + 1, F.lit(len(edges))))
+        lo, hi = F.get(edge, F.greatest(F.least(i, F.lit(len(edges) - 1)), F.lit(1)) - 1), F.get(edge, F.least(i, F.lit(len(edges) - 1)))
         within = F.floor((F.col("doc_id") - lo) / F.greatest(hi - lo, F.lit(1)) * steps)
         group = F.coalesce(i.cast("long") * steps + F.least(within, F.lit(steps - 1)), F.lit(-1).cast("long"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "group": group})
