@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -285,7 +286,7 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str, text: str = "text
     """``docs`` with a column of token ids. ``pattern`` splits the text before the merges."""
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
     kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(kept).schema.add(ids, "array<int>")
+    schema = docs.select(kept).schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, split = _machine(shared.value, pattern)
