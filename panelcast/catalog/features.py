@@ -339,7 +339,7 @@ def group_means_train(data: Data) -> DataFrame:
 )
 def holiday_label(data: Data) -> DataFrame:
     by_date = data.train().groupBy("date").agg(F.avg("weekly_sales").alias("mean_sales"))
-    return profile.label_events(by_date, P.event_calendar(data.spark))
+    return profile.label_events(by_date, P.event_calendar(by_date))
 
 
 # --- series windows --------------------------------------------------------------

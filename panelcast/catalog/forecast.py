@@ -167,7 +167,7 @@ def forest_forecast(data: Data) -> DataFrame:
 def seasonal_regression(data: Data) -> DataFrame:
     panel = FE.add_promos(data.staged_panel())
     covariates = [*DEFAULT.covariates, "promo_total"]
-    return models.SeasonalRegression().run(panel, P.event_calendar(data.spark), covariates)
+    return models.SeasonalRegression().run(panel, P.event_calendar(panel), covariates)
 
 
 @query("m8_differenced_autoregression")

@@ -473,11 +473,11 @@ def monthly_promo(data: Data) -> DataFrame:
 
 @query(
     "k4_abs_order",
-    """SELECT store, dept, date, weekly_sales FROM train ORDER BY abs(weekly_sales) DESC, store, dept, date LIMIT 25""",
+    """SELECT store, dept, date, weekly_sales FROM train ORDER BY abs(weekly_sales) DESC, store, dept, date""",
 )
 def abs_order(data: Data) -> DataFrame:
     order = [F.abs("weekly_sales").desc(), *KEY]
-    return data.train().orderBy(*order).limit(25).select(*KEY, "weekly_sales")
+    return data.train().orderBy(*order).select(*KEY, "weekly_sales")
 
 
 @query(
@@ -625,7 +625,7 @@ def keep_last(data: Data) -> DataFrame:
     r4="mean total std",
 )
 def events_by_name(data: Data) -> DataFrame:
-    labelled = profile.label_events(data.train(), P.event_calendar(data.spark))
+    labelled = profile.label_events(data.train(), P.event_calendar(data.train()))
     return profile.group_profile(labelled, ["holiday"])
 
 

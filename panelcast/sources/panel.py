@@ -186,11 +186,13 @@ def listed_calendar(spark: SparkSession, dates: Mapping[str, tuple[str, ...]] =
     )
 
 
-def event_calendar(spark: SparkSession, first_year: int = 1995, last_year: int = 2001) -> DataFrame:
-    """Event name by date: the Friday of each event's ISO week, per year."""
-    weeks = spark.createDataFrame(list(EVENT_WEEKS.items()), "holiday string, week int")
-    years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
+def event_calendar(fact: DataFrame, time: str = "date") -> DataFrame:
+    """Event name by date: the Friday of each event's ISO week, for every year that
+    the dates of ``fact`` touch."""
+    weeks = F.array(*[F.struct(F.lit(n).alias("holiday"), F.lit(w).alias("week")) for n, w in EVENT_WEEKS.items()])
+    bounds = fact.agg(F.year(F.min(time)).alias("lo"), F.year(F.max(time)).alias("hi")).where("lo IS NOT NULL")
+    years = bounds.select(F.explode(F.sequence(F.col("lo") - 1, F.col("hi") + 1)).alias("year"))
     monday_1 = F.date_trunc("week", F.make_date("year", F.lit(1), F.lit(4))).cast("date")
-    return weeks.withColumn("year", years).select(
-        "holiday", F.date_add(monday_1, F.col("week") * 7 - 3).alias("date")
+    return years.withColumn("event", F.explode(weeks)).select(
+        F.col("event.holiday").alias("holiday"), F.date_add(monday_1, F.col("event.week") * 7 - 3).alias("date")
     )

@@ -173,3 +173,14 @@ def test_casts_and_keys(spark):
     key = spark.createDataFrame([("Store_7",), ("Store_7_Dept_STANDARD",), ("Total",)], "k string")
     parsed = key.select(*[c.alias(n) for c, n in zip(S.parse_key(F.col("k")), ("s", "d"))]).collect()
     assert [(r.s, r.d) for r in parsed] == [("7", None), ("7", "STANDARD"), (None, None)]
+
+
+def test_event_calendar_covers_the_years_of_the_data(spark):
+    import datetime as dt
+
+    from panelcast.sources.panel import event_calendar
+
+    days = spark.createDataFrame([(dt.date(2004, 11, 19),), (dt.date(2013, 2, 8),)], "date date")
+    named = {(r.holiday, r.date) for r in event_calendar(days).collect()}
+    assert {d for _, d in named} >= {dt.date(2004, 11, 19), dt.date(2013, 2, 8)}
+    assert event_calendar(days.limit(0)).count() == 0
