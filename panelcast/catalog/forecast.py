@@ -44,7 +44,7 @@ def _forecast_ctes(suffix: str, h: int, future: bool = False) -> None:
     define_cte(f"steps{suffix}", steps)
     define_cte(
         f"node_stats{suffix}",
-        f"""SELECT {LEVEL_SQL} AS level, store, dept, max(n) AS n, sum(weekly_sales) AS total, count(*) AS rows,
+        f"""SELECT {LEVEL_SQL} AS level, store, dept, max(n) AS n, sum(weekly_sales) AS total,
       coalesce(sum(weekly_sales) FILTER (back < 4), 0) AS recent,
       coalesce(sum(weekly_sales) FILTER (back BETWEEN 4 AND 7), 0) AS before,
       coalesce(sum(weekly_sales) FILTER (back < 52), 0) AS cycle,
@@ -52,14 +52,21 @@ def _forecast_ctes(suffix: str, h: int, future: bool = False) -> None:
       [{repeated}] AS repeated
       FROM fit{suffix} GROUP BY GROUPING SETS ((), (store), (store, dept))""",
     )
+    define_cte(
+        f"node_means{suffix}",
+        f"""SELECT {LEVEL_SQL} AS level, store, dept, sum(m) AS historical_mean FROM (
+        SELECT store, dept, greatest(avg(weekly_sales), 0) AS m FROM fit{suffix} GROUP BY store, dept)
+      GROUP BY GROUPING SETS ((), (store), (store, dept))""",
+    )
     define_cte(
         f"node_models{suffix}",
-        f"""SELECT level, store, dept, step, date,
+        f"""SELECT s.level, s.store, s.dept, step, date,
       recent / 4 + (recent / 4 - before / 4) / 4 * step + repeated[step] - cycle / 52 AS trend_seasonal,
       greatest(smooth, 0) AS smoothing,
       recent / 4 + (recent / 4 - before / 4) / 4 * step AS moving_average,
-      greatest(total / rows, 0) AS historical_mean
-      FROM node_stats{suffix} CROSS JOIN steps{suffix}""",
+      historical_mean
+      FROM node_stats{suffix} s JOIN node_means{suffix} m ON m.level = s.level AND m.store IS NOT DISTINCT FROM s.store
+        AND m.dept IS NOT DISTINCT FROM s.dept CROSS JOIN steps{suffix}""",
     )
     define_cte(
         f"node_forecasts{suffix}",
@@ -155,7 +162,7 @@ def _modelling(data: Data) -> tuple[DataFrame, DataFrame]:
 @query("m6_forest_forecast")
 def forest_forecast(data: Data) -> DataFrame:
     train, val = _modelling(data)
-    names = DEFAULT.feature_columns(train, numeric_only=True)[:20]
+    names = DEFAULT.feature_columns(train, numeric_only=True)
     model = models.fit_forest(train, names, "weekly_sales")
     scored = model.transform(models.assemble(val, names))
     return scored.select(
@@ -163,6 +170,20 @@ def forest_forecast(data: Data) -> DataFrame:
     )
 
 
+@query(
+    "m7_forecast_cells",
+    "SELECT store, dept, date, weekly_sales AS actual, true AS forecast FROM train, cut WHERE date >= start"
+    " AND (store, dept) IN (SELECT (store, dept) FROM train, cut WHERE date < start)"
+    " UNION ALL SELECT store, dept, date, weekly_sales, false FROM train, cut WHERE date >= start"
+    " AND (store, dept) NOT IN (SELECT (store, dept) FROM train, cut WHERE date < start)",
+)
+def seasonal_cells(data: Data) -> DataFrame:
+    """The cells that ``m7_seasonal_regression`` answers, with a forecast where
+    the series has history."""
+    known = F.col("predicted").isNotNull() & (F.col("lower") <= F.col("upper"))
+    return seasonal_regression(data).select("store", "dept", "date", "actual", known.alias("forecast"))
+
+
 @query("m7_seasonal_regression")
 def seasonal_regression(data: Data) -> DataFrame:
     panel = FE.add_promos(data.staged_panel())
@@ -255,6 +276,7 @@ def _tree_ctes(suffix: str) -> None:
 
 
 _tree_ctes("")
+_tree_ctes("12")
 _tree_ctes("_next")
 
 
@@ -344,11 +366,15 @@ def incoherence_before(data: Data) -> DataFrame:
 
 @query(
     "h6_coherence_verdict",
-    "SELECT true AS coherent, count(DISTINCT store) + 1 AS n_nodes FROM train",
+    """WITH g AS (SELECT p.level, p.store, p.step, abs(any_value(p.reconciled) - sum(c.reconciled)) AS gap
+      FROM reconciled_nodes p JOIN reconciled_nodes c ON c.step = p.step AND (p.level = 'Total' AND c.level = 'Store'
+        OR p.level = 'Store' AND c.level = 'Store_Department' AND c.store = p.store) GROUP BY p.level, p.store, p.step)
+    SELECT max(gap) <= 1e-6 AS coherent, max(gap) AS max_gap, count(DISTINCT (level, store)) AS n_nodes FROM g""",
+    r4="max_gap",
 )
 def coherence_verdict(data: Data) -> DataFrame:
     checks = hierarchy.coherence(reconciled(data, staged=True), "reconciled")
-    return hierarchy.coherence_verdict(checks).select("coherent", "n_nodes")
+    return hierarchy.coherence_verdict(checks)
 
 
 @query(
@@ -381,23 +407,34 @@ def lookup(data: Data) -> DataFrame:
     return hierarchy.find(predictions(data), "Store_Department", store=3)
 
 
+define_cte(
+    "reconciled_results",
+    """SELECT n.level, n.store, n.dept, s.date, n.step, coalesce(t.y, 0) AS actual, n.reconciled AS predicted, weight
+    FROM reconciled_nodes12 n JOIN steps12 s USING (step) LEFT JOIN (SELECT store, dept, date, sum(weekly_sales) AS y FROM train
+      GROUP BY GROUPING SETS ((date), (store, date), (store, dept, date))) t
+    ON t.date = s.date AND t.store IS NOT DISTINCT FROM n.store AND t.dept IS NOT DISTINCT FROM n.dept
+    JOIN (SELECT date, CASE WHEN bool_or(is_holiday) THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM train GROUP BY date) w
+      ON w.date = s.date""",
+)
+
+
+def scored_nodes(data: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reconciled forecasts of the scored dates, the nodes' values and weights."""
+    fit, val = clean.time_split(data.staged_train(), SCORED)
+    dates = forecast.horizon_dates(val, SCORED)
+    base = stage(forecast.base_forecasts(fit, dates, SCORED), "base")
+    fixed = hierarchy.reconcile_ols(base, "ensemble").join(F.broadcast(dates), "step")
+    return fixed, rollup.node_totals(val), forecast.event_weights(val)
+
+
 @query(
     "h10_level_errors",
-    """WITH a AS (SELECT n.level, n.step, abs(coalesce(t.y, 0) - n.ensemble) AS e, greatest(abs(coalesce(t.y, 0)), 1) AS d, weight
-      FROM node_forecasts12 n LEFT JOIN (SELECT store, dept, date, sum(weekly_sales) AS y FROM train
-        GROUP BY GROUPING SETS ((date), (store, date), (store, dept, date))) t
-      ON t.date = n.date AND t.store IS NOT DISTINCT FROM n.store AND t.dept IS NOT DISTINCT FROM n.dept
-      JOIN (SELECT date, CASE WHEN bool_or(is_holiday) THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM train GROUP BY date) w
-        ON w.date = n.date)
-    SELECT level, 100 * avg(e / d) AS mape, sum(weight * e) / sum(weight) AS wmae, count(*) AS n FROM a GROUP BY level""",
+    """SELECT level, 100 * avg(abs(actual - predicted) / greatest(abs(actual), 1)) AS mape,
+      sum(weight * abs(actual - predicted)) / sum(weight) AS wmae, count(*) AS n FROM reconciled_results GROUP BY level""",
     r4="mape wmae",
 )
 def level_errors(data: Data) -> DataFrame:
-    fact = data.staged_train()
-    fit, val = clean.time_split(fact, SCORED)
-    base = forecast.base_forecasts(fit, forecast.horizon_dates(val, SCORED), SCORED)
-    actual = rollup.hierarchy_totals(fact)
-    return hierarchy.level_errors(base, actual, forecast.event_weights(val), "ensemble")
+    return hierarchy.level_errors(*scored_nodes(data), "reconciled")
 
 
 @query(
@@ -462,9 +499,17 @@ def accuracy(data: Data) -> DataFrame:
     return evaluate.accuracy(results(data))
 
 
-@query("h10_hierarchy_accuracy", "SELECT model, weighted_mae FROM scores WHERE model = 'ensemble'", r4="weighted_mae")
+@query(
+    "h10_hierarchy_accuracy",
+    f"""SELECT 'reconciled' AS model, count(*) AS n, sqrt(avg({_E} * {_E})) AS rmse, avg(abs({_E})) AS mae,
+    sum(weight * abs({_E})) / sum(weight) AS weighted_mae FROM reconciled_results WHERE level = 'Total'""",
+    r4="rmse mae weighted_mae",
+)
 def hierarchy_accuracy(data: Data) -> DataFrame:
-    return evaluate.accuracy(results(data)).where("model = 'ensemble'").select("model", "weighted_mae")
+    """Errors of the reconciled forecast of the Total."""
+    total = hierarchy.node_results(*scored_nodes(data), "reconciled").where("level = 'Total'")
+    named = total.withColumns({"model": F.lit("reconciled"), "model_type": F.lit("Hierarchical")})
+    return evaluate.accuracy(named).select("model", "n", "rmse", "mae", "weighted_mae")
 
 
 define_cte(
@@ -535,16 +580,6 @@ def horizon_errors(data: Data) -> DataFrame:
     return evaluate.horizon_errors(results(data))
 
 
-@query(
-    "v6_horizon_errors_flat",
-    f"""WITH f AS (SELECT model, actual, predicted, row_number() OVER (PARTITION BY model ORDER BY store, dept, date) AS step
-      FROM results) SELECT model, {_SPANS} FROM f GROUP BY model""",
-    r4="short_mape medium_mape long_mape",
-)
-def horizon_errors_flat(data: Data) -> DataFrame:
-    return evaluate.horizon_errors_flat(results(data))
-
-
 RANKED = ["weighted_rmse", "rmse", "mae", "mape", "r2"]
 define_cte(
     "ranked",
@@ -584,21 +619,17 @@ def type_means(data: Data) -> DataFrame:
     return evaluate.type_means(evaluate.accuracy(results(data)))
 
 
-SECONDS = [("trend_seasonal", 2.0), ("smoothing", 1.0), ("moving_average", 1.5), ("ensemble", 4.5), ("historical_mean", 0.5)]
-
-
 @query(
     "v8_summary_picks",
     """SELECT (SELECT model FROM scores ORDER BY weighted_rmse, model LIMIT 1) AS best_weighted_rmse,
-    (SELECT model FROM scores ORDER BY r2 DESC, model DESC LIMIT 1) AS best_r2, 'historical_mean' AS fastest,
+    (SELECT model FROM scores ORDER BY r2 DESC, model DESC LIMIT 1) AS best_r2,
     avg(weighted_rmse) FILTER (model_type = 'Statistical') AS statistical_mean,
     avg(weighted_rmse) FILTER (model_type = 'Ensemble') AS ensemble_mean, 1e5 / min(weighted_rmse) AS accuracy_score FROM scores""",
     r4="statistical_mean ensemble_mean",
     r6="accuracy_score",
 )
 def summary_picks(data: Data) -> DataFrame:
-    runs = data.spark.createDataFrame(SECONDS, "model string, seconds double")
-    return evaluate.summary_picks(evaluate.accuracy(results(data)), runs)
+    return evaluate.summary_picks(evaluate.accuracy(results(data)))
 
 
 @query(
@@ -939,7 +970,7 @@ def _surrogate_rows(data: Data) -> DataFrame:
 @query("i2_surrogate_forest")
 def surrogate_forest(data: Data) -> DataFrame:
     rows = _surrogate_rows(data)
-    model = models.fit_forest(rows, ANALYSED, "p", weight=None, depth=10, leaf=1)
+    model = models.fit_forest(rows, ANALYSED, "p", weight=None, depth=10, leaf=1, keys=["store", "date"])
     fitted = model.transform(models.assemble(rows, ANALYSED))
     r2 = fitted.agg((1 - F.avg(F.pow(F.col("p") - F.col("prediction"), 2)) / F.var_pop("p")).alias("r2")).scalar()
     table = models.forest_importances(model, ANALYSED, data.spark)

@@ -288,13 +288,12 @@ def acf(data: Data) -> DataFrame:
 
 @query(
     "t11_listed_acf",
-    f"""{_ACF} SELECT store, lag, acf FROM f WHERE lag > 0 AND abs(acf) > 0.1
-    QUALIFY row_number() OVER (PARTITION BY store ORDER BY lag) <= 10""",
+    f"""{_ACF} SELECT store, lag, acf FROM f WHERE lag > 0 AND abs(acf) > 0.1""",
     r6="acf",
 )
 def listed_acf(data: Data) -> DataFrame:
     rows = stats.autocorrelations(store_series(data), ["store"], "date", "y")
-    return stats.listed_autocorrelations(rows, ["store"])
+    return stats.listed_autocorrelations(rows)
 
 
 @query(

@@ -138,19 +138,6 @@ def horizon_errors(results: DataFrame) -> DataFrame:
     )
 
 
-def horizon_errors_flat(results: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """The same spans over each model's first twelve rows in key and date order."""
-    return horizon_errors(first_rows(results, 12, spec))
-
-
-def first_rows(results: DataFrame, n: int, spec: PanelSpec = DEFAULT) -> DataFrame:
-    """The first ``n`` rows of each model with their position as ``step``. Spark
-    prunes each task's rows to its own first ``n`` before the shuffle."""
-    order = W.partitionBy("model").orderBy(*spec.keys, spec.time)
-    ranked = results.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    return ranked.withColumn("step", F.col("_r")).drop("_r")
-
-
 def to_metrics(table: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Wide metric table to ``(model, metric, value)``."""
     values = [f.name for f in table.schema.fields if f.dataType.typeName() == "double"]
@@ -176,14 +163,12 @@ def type_means(table: DataFrame) -> DataFrame:
     return table.groupBy("model_type").agg(F.avg("weighted_rmse").alias("mean_weighted_rmse"))
 
 
-def summary_picks(table: DataFrame, runs: DataFrame) -> DataFrame:
-    """Best models by error, fit and training time (``runs``: model, seconds)."""
-    joined = table.join(F.broadcast(runs), "model", "left")
+def summary_picks(table: DataFrame) -> DataFrame:
+    """Best models by error and by fit, and the means of the model types."""
     best = F.min("weighted_rmse")
-    return joined.agg(
+    return table.agg(
         F.min_by("model", F.struct("weighted_rmse", "model")).alias("best_weighted_rmse"),
         F.max_by("model", F.struct("r2", "model")).alias("best_r2"),
-        F.min_by("model", F.struct(F.coalesce("seconds", F.lit(float("inf"))), F.col("model"))).alias("fastest"),
         F.avg(F.when(F.col("model_type") == "Statistical", F.col("weighted_rmse"))).alias("statistical_mean"),
         F.avg(F.when(F.col("model_type") == "Ensemble", F.col("weighted_rmse"))).alias("ensemble_mean"),
         S.ratio(F.lit(1e5), best).alias("accuracy_score"),

@@ -1,7 +1,7 @@
 """Base forecasts for every node of the hierarchy.
 
-The forecasters are weighted sums of a series' history, so one aggregate with
-GROUPING SETS computes what they need for all nodes at once. A missing cell is 0
+The forecasters are weighted sums of a series' history, so an aggregate per leaf,
+rolled up with GROUPING SETS, computes what they need for all nodes at once. A missing cell is 0
 and adds nothing: the dense grid of series and dates is never built.
 """
 
@@ -38,8 +38,12 @@ def date_positions(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 def node_statistics(
     train: DataFrame, horizon: int = 8, spec: PanelSpec = DEFAULT, aligned: bool = False
 ) -> DataFrame:
-    """Per node: length of history, sums over recent windows, the smoothed level
-    and the recent values the seasonal part repeats."""
+    """Per node: length of history, sums over recent windows, the smoothed level,
+    the recent values the seasonal part repeats, and the leaves' mean values.
+
+    Rows are summed to leaves first; only the leaves are rolled up, so that every
+    sum of an upper node, its mean included, is the sum of its leaves.
+    """
     n = train.select(spec.time).distinct().agg(F.count("*")).scalar()
     placed = train.join(F.broadcast(date_positions(train, spec)), spec.time)
     placed = placed.withColumns({"_y": F.col(spec.target), "_back": n - 1 - F.col("pos")})
@@ -49,17 +53,23 @@ def node_statistics(
     def total(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, y)), F.lit(0.0))
 
-    repeated = [total(back == seasonal_offset(i, horizon, aligned)) for i in range(horizon)]
+    sums = {
+        "total": F.coalesce(F.sum(y), F.lit(0.0)),
+        "recent": total(back < WINDOW),
+        "before": total((back >= WINDOW) & (back < 2 * WINDOW)),
+        "cycle": total(back < CYCLE),
+        "smooth": F.coalesce(F.sum(y * decay), F.lit(0.0)),
+    }
+    repeated = {f"_r{i}": total(back == seasonal_offset(i, horizon, aligned)) for i in range(horizon)}
+    leaf = placed.groupBy(*spec.keys).agg(
+        F.count(y).alias("_rows"), *[c.alias(name) for name, c in (sums | repeated).items()]
+    )
+    mean = F.greatest(S.ratio(F.col("total"), F.col("_rows")), F.lit(0.0))
     sets = [list(spec.keys[:i]) for i in range(len(spec.keys) + 1)]
-    grouped = placed.groupingSets(sets, *spec.keys).agg(
+    grouped = leaf.withColumn("mean", mean).groupingSets(sets, *spec.keys).agg(
         F.grouping_id().alias("_g"),
-        F.coalesce(F.sum(y), F.lit(0.0)).alias("total"),
-        F.count(y).alias("rows"),
-        total(back < WINDOW).alias("recent"),
-        total((back >= WINDOW) & (back < 2 * WINDOW)).alias("before"),
-        total(back < CYCLE).alias("cycle"),
-        F.coalesce(F.sum(y * decay), F.lit(0.0)).alias("smooth"),
-        F.array(*repeated).alias("repeated"),
+        *[F.sum(c).alias(c) for c in [*sums, "mean"]],
+        F.array(*[F.sum(c) for c in repeated]).alias("repeated"),
     )
     return grouped.withColumn("n", n).withColumn("level", level_of(F.col("_g"), spec)).drop("_g")
 
@@ -104,8 +114,7 @@ def base_forecasts(
     out = out.withColumn(
         "ensemble", F.when(F.col("n") < WINDOW, flat).otherwise(F.greatest(mixed, F.lit(0.0)))
     )
-    mean = S.ratio(F.col("total"), F.col("rows"))
-    out = out.withColumn("historical_mean", F.greatest(mean, F.lit(0.0)))
+    out = out.withColumnRenamed("mean", "historical_mean")
     placed = out.join(F.broadcast(dates), "step")
     return placed.select("level", *spec.keys, "step", spec.time, *MODELS)
 

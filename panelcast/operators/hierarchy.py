@@ -223,23 +223,36 @@ def top_entities(table: DataFrame, level: str, k: int = 5) -> DataFrame:
     return totals.orderBy(F.desc("total"), "entity_key").limit(k)
 
 
-def level_errors(
+def node_results(
     forecasts: DataFrame, actual: DataFrame, weights: DataFrame, value: str, spec: PanelSpec = DEFAULT
 ) -> DataFrame:
-    """MAPE and weighted MAE by level; ``actual`` holds every node's values
-    (``rollup.hierarchy_totals``), ``forecasts`` carries the date."""
-    on = ["level", spec.time, *spec.keys]
+    """Every node's forecast beside its actual value, 0 on dates without rows.
+
+    ``forecasts`` carries the date, ``actual`` the nodes' values on the dates to
+    score (``rollup.node_totals``), ``weights`` one row per date.
+    """
     a, b = forecasts.alias("a"), actual.alias("b")
     cond = F.lit(True)
-    for c in on:
+    for c in ("level", spec.time, *spec.keys):
         cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    rows = a.join(b, cond).select(
-        F.col("a.level").alias("level"),
-        F.col(f"a.{spec.time}").alias(spec.time),
-        F.abs(F.col("b.y") - F.col(f"a.{value}")).alias("e"),
-        F.greatest(F.abs("b.y"), F.lit(1.0)).alias("d"),
+    rows = a.join(b, cond, "left").select(
+        *[F.col(f"a.{c}") for c in ("level", *spec.keys, spec.time, "step")],
+        F.coalesce("b.y", F.lit(0.0)).alias("actual"),
+        F.col(f"a.{value}").alias("predicted"),
+    )
+    return rows.join(F.broadcast(weights), spec.time)
+
+
+def level_errors(
+    forecasts: DataFrame, actual: DataFrame, weights: DataFrame, value: str, spec: PanelSpec = DEFAULT
+) -> DataFrame:
+    """MAPE and weighted MAE by level, see ``node_results``."""
+    rows = node_results(forecasts, actual, weights, value, spec).select(
+        "level",
+        "weight",
+        F.abs(F.col("actual") - F.col("predicted")).alias("e"),
+        F.greatest(F.abs("actual"), F.lit(1.0)).alias("d"),
     )
-    rows = rows.join(F.broadcast(weights), spec.time)
     w = F.col("weight")
     return rows.groupBy("level").agg(
         (100 * F.avg(F.col("e") / F.col("d"))).alias("mape"),

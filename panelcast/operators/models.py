@@ -66,11 +66,10 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = "features") ->
     return VectorAssembler(inputCols=inputs, outputCol=name).transform(ready).drop(*inputs)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core: small files are packed into few splits,
-    and an iterative fit reads them many times. Large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
+    """A fixed number of partitions by key, each in key order. A forest samples rows
+    by partition and position, so the model is the same on any number of cores."""
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 
 def fit_forest(
@@ -82,7 +81,12 @@ def fit_forest(
     depth: int = 15,
     leaf: int = 5,
     seed: int = 42,
+    keys: Sequence[str] = (*DEFAULT.keys, DEFAULT.time),
+    partitions: int = 16,
 ):
+    """Forest over all rows and the features named. ``keys`` identify a row;
+    ``partitions`` (two or three times the cores) decides, with ``seed``, which
+    rows each tree sees."""
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=target,
@@ -96,7 +100,7 @@ def fit_forest(
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    return forest.fit(spread(assemble(train, features)))
+    return forest.fit(spread(assemble(train, features), keys, partitions))
 
 
 def forest_importances(model, features: Sequence[str], spark) -> DataFrame:
@@ -109,8 +113,9 @@ def forest_importances(model, features: Sequence[str], spark) -> DataFrame:
 
 @dataclass(frozen=True)
 class SeasonalRegression:
-    """Trend with hinges, yearly Fourier terms, event dummies and covariates on
-    the log target, pooled over all series around each series' own level."""
+    """Trend with hinges, yearly Fourier terms, event dummies and covariates, pooled
+    over all series: the target is divided by the mean size of the series' known
+    values and taken around their mean, so negative values and zeros count too."""
 
     order: int = 10
     hinges: int = 10
@@ -144,31 +149,34 @@ class SeasonalRegression:
         n_val: int = 8,
         spec: PanelSpec = DEFAULT,
     ) -> DataFrame:
-        """Forecasts and 95 % limits for the validation rows."""
+        """Forecasts and 95 % limits for the validation rows. A series with no known
+        training value has null forecasts; one of zeros only has the size 1."""
         start = clean.validation_start(panel, n_val, spec).scalar()
-        fit = panel.where((F.col(spec.time) < start) & (F.col(spec.target) > 0))
+        y = F.col(spec.target).cast("double")
+        fit = panel.where((F.col(spec.time) < start) & y.isNotNull())
         span = fit.agg(F.struct(F.min(spec.time).alias("lo"), F.max(spec.time).alias("hi"))).scalar()
-        level = fit.groupBy(*spec.keys).agg(F.avg(F.log(spec.target)).alias("_level"))
+        level = fit.groupBy(*spec.keys).agg(F.avg(F.abs(y)).alias("_size"), F.avg(y).alias("_level"))
+        level = level.withColumn("_size", F.when(F.col("_size") == 0, 1.0).otherwise(F.col("_size")))
         scaled = clean.scale(panel, list(covariates), fit)
-        leveled = lookup_join(scaled, level, list(spec.keys), "inner", computed=True)
+        leveled = lookup_join(scaled, level, list(spec.keys), "left", computed=True)
         rows, names = self.design(leveled, calendar, span, covariates, spec)
         rows = assemble(rows, names).withColumn("_in", F.col(spec.time) < start)
-        known = rows.where(F.col("_in") & (F.col(spec.target) > 0))
-        known = known.withColumn("_label", F.log(spec.target) - F.col("_level"))
+        known = rows.where(F.col("_in") & y.isNotNull())
+        known = known.withColumn("_label", (y - F.col("_level")) / F.col("_size"))
         known = known.withColumn("_w", S.event_weight(F.col(spec.event)))
         model = LinearRegression(
             featuresCol="features", labelCol="_label", weightCol="_w", regParam=self.ridge, elasticNetParam=0.0
         ).fit(known)
         spread = F.lit(self.interval * float(model.summary.rootMeanSquaredError))
         out = model.transform(rows.where(~F.col("_in")))
-        log = F.col("prediction") + F.col("_level")
+        size, middle = F.col("_size"), F.col("_level") + F.col("prediction") * F.col("_size")
         return out.select(
             *spec.keys,
             spec.time,
             F.col(spec.target).alias("actual"),
-            F.exp(log).alias("predicted"),
-            F.exp(log - spread).alias("lower"),
-            F.exp(log + spread).alias("upper"),
+            middle.alias("predicted"),
+            (middle - spread * size).alias("lower"),
+            (middle + spread * size).alias("upper"),
         )
 
 
@@ -188,7 +196,9 @@ def differenced_autoregression(
 
     ``weekly`` is gap-free (``rollup.resample_weekly``). One pooled regression
     over all series; then each series is stepped forward from its last
-    ``2 * period + 2`` values, one series per group.
+    ``2 * period + 2`` values, one series per group. A series whose known values
+    don't reach back far enough has null forecasts and a ``reason``. Covariates
+    unknown in a future week count as moving as they did a period before.
     """
     keys = list(keys)
     start = clean.validation_start(weekly, n_val, spec).scalar()
@@ -221,18 +231,16 @@ def differenced_autoregression(
         out = future[[*keys, spec.time]].copy()
         out["actual"] = future["_y"].to_numpy(float)
         level = list(past["_y"].to_numpy(float))
-        if len(level) < period + 2:
-            out["predicted"] = float(np.mean(level)) if level else np.nan
-            return out
-        z = list(np.nan_to_num(past["z"].to_numpy(float)))
-        values = []
-        for x in future[xs].fillna(0.0).to_numpy(float):
-            own = [z[-1], z[-period] if len(z) >= period else 0.0]
-            z.append(constant + float(np.dot(beta, [*own, *x])))
-            level.append(z[-1] + level[-1] + level[-period] - level[-period - 1])
-            values.append(level[-1])
+        z = list(past["z"].to_numpy(float))
+        values = [np.nan] * len(future)
+        if len(level) > period:
+            for i, x in enumerate(future[xs].fillna(0.0).to_numpy(float)):
+                z.append(constant + float(np.dot(beta, [z[-1], z[-period], *x])))
+                level.append(z[-1] + level[-1] + level[-period] - level[-period - 1])
+                values[i] = level[-1]
         out["predicted"] = values
+        out["reason"] = np.where(np.isnan(values), "unknown history", None)
         return out
 
     needed = recent.select(*keys, spec.time, y.alias("_y"), "z", *xs, "_future")
-    return needed.groupBy(*keys).applyInPandas(step, f"{head}, actual double, predicted double")
+    return needed.groupBy(*keys).applyInPandas(step, f"{head}, actual double, predicted double, reason string")

@@ -63,19 +63,23 @@ def level_of(grouping_id: Column, spec: PanelSpec = DEFAULT) -> Column:
     return name
 
 
+def node_totals(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Target by date for every node of the hierarchy, on the dates it has rows."""
+    sets = [[*spec.keys[:i], spec.time] for i in range(len(spec.keys) + 1)]
+    grouped = df.groupingSets(sets, *spec.keys, spec.time).agg(
+        F.sum(spec.target).alias("y"), F.grouping_id().alias("_g")
+    )
+    # The time column is the lowest bit of the grouping id and never grouped away.
+    return grouped.withColumn("level", level_of(F.shiftright("_g", 1), spec)).drop("_g")
+
+
 def hierarchy_totals(df: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
     """Target by date for every node of the hierarchy, 0 where a date is missing.
 
     One ``GROUPING SETS`` shuffle gives all levels. The dates are an array of
     the calendar's length, exploded on the node list to fill the gaps.
     """
-    sets = [list(spec.keys[:i]) for i in range(len(spec.keys) + 1)]
-    grouped = df.groupingSets([[*s, spec.time] for s in sets], *spec.keys, spec.time).agg(
-        F.sum(spec.target).alias("y"), F.grouping_id().alias("_g")
-    )
-    # The time column is the lowest bit of the grouping id and never grouped away.
-    level = level_of(F.shiftright("_g", 1), spec)
-    totals = grouped.withColumn("level", level).drop("_g")
+    totals = node_totals(df, spec)
     dates = df.select(spec.time).distinct().agg(F.collect_list(spec.time).alias("d")).scalar()
     nodes = totals.select("level", *spec.keys).distinct().withColumn(spec.time, F.explode(dates))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("level", *spec.keys, spec.time)]

@@ -272,11 +272,9 @@ def _acf_arrays(df: DataFrame, keys: Sequence[str], time: str, col: str, lags: i
     return pairs.groupBy(*keys).agg(values.alias("acf"))
 
 
-def listed_autocorrelations(acf: DataFrame, keys: Sequence[str], limit: int = 10) -> DataFrame:
-    """The first lags of each series whose autocorrelation exceeds 0.1."""
-    listed = acf.where((F.col("lag") > 0) & (F.abs("acf") > 0.1))
-    order = F.row_number().over(W.partitionBy(*keys).orderBy("lag"))
-    return listed.withColumn("_i", order).where(F.col("_i") <= limit).drop("_i")
+def listed_autocorrelations(acf: DataFrame) -> DataFrame:
+    """The lags of each series whose autocorrelation exceeds 0.1."""
+    return acf.where((F.col("lag") > 0) & (F.abs("acf") > 0.1))
 
 
 def partial_autocorrelations(

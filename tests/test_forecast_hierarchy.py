@@ -199,6 +199,43 @@ def test_autoregression_continues_a_repeating_series(panel):
     np.testing.assert_allclose(out.predicted, out.actual, rtol=0.01)
 
 
+def test_autoregression_says_where_history_is_too_short(panel):
+    rng = np.random.default_rng(2)
+    df = panel({(s, "a"): 50 + rng.normal(0, 1, 200) for s in (1, 2)})
+    weekly = rollup.resample_weekly(df, PanelSpec(), ["store"], ["weekly_sales"], [], ["is_holiday"])
+    last = weekly.agg(F.max("date").alias("d")).scalar()
+    both = weekly.where((F.col("store") == 1) | (F.datediff(last, "date") < 7 * 60))
+    out = models.differenced_autoregression(both, ["store"], [], 8)
+    assert out.where("store = 1 AND predicted IS NOT NULL AND reason IS NULL").count() == 8
+    assert out.where("store = 2 AND predicted IS NULL AND reason = 'unknown history'").count() == 8
+
+
+def test_upper_nodes_sum_the_means_of_their_leaves(panel):
+    df = panel({(1, "a"): [10.0] * 20, (1, "b"): [4.0] * 20, (2, "a"): [1.0] * 20})
+    val = df.select("date").distinct().orderBy(F.desc("date")).limit(2)
+    fit = df.join(val, "date", "anti")
+    out = forecast.base_forecasts(fit, forecast.horizon_dates(val, 2), 2)
+    got = {(r.level, r.store, r.dept): r.historical_mean for r in out.where("step = 1").collect()}
+    assert got[("Total", None, None)] == 15 and got[("Store", 1, None)] == 14
+    assert got[("Store", 2, None)] == 1 and got[("Store_Department", 1, "b")] == 4
+
+
+def test_seasonal_regression_keeps_series_without_positive_values(spark, panel, week):
+    df = panel({(1, "a"): [-5.0] * 150, (2, "b"): [0.0] * 150, (3, "c"): [7.0] * 150}).withColumn("x", F.lit(1.0))
+    calendar = spark.createDataFrame([("Event", week(10))], "holiday string, date date")
+    out = models.SeasonalRegression().run(df, calendar, ["x"]).toPandas().sort_values(["store", "date"])
+    np.testing.assert_allclose(out.predicted, np.repeat([-5.0, 0.0, 7.0], 8), atol=1e-6)
+
+
+def test_node_results_count_missing_cells_as_zero(spark):
+    head = "level string, store int, dept string, date string, step int, f double"
+    f = spark.createDataFrame([("Total", None, None, "d1", 1, 3.0), ("Store", 1, None, "d1", 1, 2.0)], head)
+    a = spark.createDataFrame([("Total", None, None, "d1", 5.0)], "level string, store int, dept string, date string, y double")
+    w = spark.createDataFrame([("d1", 5.0)], "date string, weight double")
+    rows = hierarchy.node_results(f, a, w, "f").collect()
+    assert {(r.level, r.actual, r.predicted) for r in rows} == {("Total", 5.0, 3.0), ("Store", 0.0, 2.0)}
+
+
 def test_seasonal_regression_recovers_a_multiplicative_season(spark, panel, week):
     days = np.array([week(i).toordinal() for i in range(220)])
     wave = np.exp(0.3 * np.sin(2 * np.pi * days / 365.25))
@@ -215,7 +252,7 @@ def test_forest_learns_a_step(spark):
         F.when(F.col("id") < 200, 1.0).otherwise(9.0).alias("y"),
         F.lit(1.0).alias("event_weight"),
     )
-    model = models.fit_forest(df, ["x"], "y", trees=5, depth=3)
+    model = models.fit_forest(df, ["x"], "y", trees=5, depth=3, keys=["x"])
     out = model.transform(models.assemble(df, ["x"]))
     assert out.agg(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 3
     assert models.forest_importances(model, ["x"], spark).first().importance == pytest.approx(1.0)

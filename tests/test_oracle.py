@@ -31,4 +31,4 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_names_are_consistent():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 150
+    assert set(ORACLES) <= set(QUERIES)
