@@ -82,11 +82,12 @@ def fit_forest(
     leaf: int = 5,
     seed: int = 42,
     keys: Sequence[str] = (*DEFAULT.keys, DEFAULT.time),
-    partitions: int = 16,
+    partitions: int = 8,
 ):
     """Forest over all rows and the features named. ``keys`` identify a row;
-    ``partitions`` (two or three times the cores) decides, with ``seed``, which
-    rows each tree sees."""
+    ``partitions`` (as many as the cores) decides, with ``seed``, which rows each
+    tree sees. Each partition sends statistics of every open node, so more
+    partitions cost more."""
     forest = RandomForestRegressor(
         featuresCol="features",
         labelCol=target,
