@@ -41,7 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/panelcast/{name}-{uuid.uuid4().hex}"
+    """A path of its own for a table of this program; ``drop_staged`` deletes it."""
+    path = f"{shared_folder(spark)}/panelcast/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -53,7 +56,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
