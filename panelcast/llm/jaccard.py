@@ -339,19 +339,14 @@ def _verified(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(near: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links that connect what all pairs of ``near`` connect, and the components:
-    first each class is compared with its least partner, then whatever pairs are not
-    in one component yet."""
+def _linked(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components of the links among ``near``: first each class is compared with its
+    least partner, then whatever pairs are not in one component yet."""
     least = F.min("a").over(Window.partitionBy("b"))
     first = near.withColumn("least", least).where(F.col("a") == F.col("least")).drop("least")
-    links = stage(_verified(first, sets, percent), "links")
-    roots = components(links)
+    roots = components(_verified(first, sets, percent))
     open_pairs = stage(_apart(near, roots), "open_pairs")
-    if open_pairs.isEmpty():
-        return links, roots
-    links = stage(links.unionByName(_verified(open_pairs, sets, percent)), "links")
-    return links, components(links)
+    return roots if open_pairs.isEmpty() else extended(roots, _verified(open_pairs, sets, percent))
 
 
 def _apart(near: DataFrame, roots: DataFrame) -> DataFrame:
@@ -394,6 +389,8 @@ def components(links: DataFrame) -> DataFrame:
         return new.where("a <> b").distinct()
 
     state = None
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         edges = stage(hooked(hooked(edges, True), False), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -402,15 +399,27 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def _blocks(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``roots`` and further links (a, b). Only links between different
+    components are searched, as links of their roots."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    moved = components(between.select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b")))
+    to = moved.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    kept = roots.join(to, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stage(kept.unionByName(moved), "roots")
+
+
+def _blocks(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """Pairs that may link among the members of common words, between different
-    components. The members of one word are compared block by block."""
+    components (None without such members). The members of one word are compared
+    block by block."""
     rows = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("word", "fp", F.coalesce("root", "fp").alias("root"))
     open_words = rows.groupBy(F.col("word").alias("of")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
     open_words = open_words.where("lo <> hi").select("of", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = stage(rows.join(open_words, F.col("word") == F.col("of")).select("word", "fp", "root", "blocks"), "open")
     if rows.isEmpty():
-        return rows.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        return None
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
     rows = rows.join(classes.select("fp", "n", "sketch"), "fp").withColumn("mine", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -465,12 +474,12 @@ def link_components(
     meetings = _words(texts, words, percent, common).repartition(F.col("word")).sortWithinPartitions("word", "fp")
     met = stage(meetings.mapInArrow(_meet, "a long, b long, word long"), "met")
     near = stage(_near(met.where("word IS NULL").select("a", "b"), classes, percent), "near")
-    links, roots = _linked(near, _sets(near, texts, words), percent)
+    roots = _linked(near, _sets(near, texts, words), percent)
     rest = _blocks(met.where("word IS NOT NULL").select("word", F.col("a").alias("fp")), roots, classes, percent)
-    rest = stage(_near(rest, classes, percent), "near")
-    if not rest.isEmpty():
-        more, _ = _linked(rest, _sets(rest, texts, words), percent)
-        roots = components(links.unionByName(more))
+    rest = None if rest is None else stage(_near(rest, classes, percent), "near")
+    if rest is not None and not rest.isEmpty():
+        more = _linked(rest, _sets(rest, texts, words), percent)
+        roots = extended(roots, more.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id"))
     named = stage(named.join(smallest, F.col("root") == F.col("of")).select(F.col("fp").alias("of"), "component_id"), "named")

@@ -75,6 +75,18 @@ def links_by_brute_force(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_extended_components_match_those_of_all_links(spark):
+    rng = random.Random(8)
+    pairs = [tuple(rng.sample(range(120), 2)) for _ in range(90)]
+    first, more = (spark.createDataFrame(p, "a long, b long") for p in (pairs[:50], pairs[50:]))
+    roots = jaccard.components(first)
+    want = sorted(map(tuple, jaccard.components(first.unionByName(more)).collect()))
+    assert sorted(map(tuple, jaccard.extended(roots, more).collect())) == want
+    none = first.where("a < 0")
+    assert sorted(map(tuple, jaccard.extended(roots, none).collect())) == sorted(map(tuple, roots.collect()))
+    assert sorted(map(tuple, jaccard.extended(jaccard.components(none), first).collect())) == sorted(map(tuple, roots.collect()))
+
+
 def test_components_match_brute_force(docs, empty, spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect()}
     assert got == links_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
