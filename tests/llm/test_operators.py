@@ -282,6 +282,19 @@ def test_main_text(spark):
     assert main_text.extract(table.limit(0)).count() == 0
 
 
+def test_inline_elements_end_where_they_close():
+    text = lambda page: main_text.article(main_text.blocks(page))
+    rest = "</p><p>rest</p></article><p>out</p>"
+    for inline in ('<span class="ad">x</span>', '<a class="share" href="/s">x</a>', "<b hidden>x</b>", '<span class="ad"><span>x</span> y <b>z</b></span>',
+                   '<a class="share" href="/s"><div>x</div></a>', '<span class="ad">x <b class="c">y</span>', "</span>"):
+        assert text(f"<article><p>Intro {inline} more{rest}") == "Intro more rest"
+    assert text(f'<article><p>Intro <a href="/k">kept</a> <i class="e">too</i> <b>x</b> more{rest}') == "Intro kept too x more rest"
+    assert text('<div class="post"><p>One <a class="story" href="/">two</a> three</p></div><p>out</p>') == "One two three"
+    assert text('<p>One <a class="story" href="/">two</a> three</p>') is None
+    # A stray end tag of an inline element leaves the container open.
+    assert text('<div><span class="y">a<article><p>b</span> c</p><p>d</p></article></div>') == "b c d"
+
+
 def test_repeated_runs_by_brute_force():
     rng = random.Random(4)
     for _ in range(30):
