@@ -282,6 +282,17 @@ def test_main_text(spark):
     assert main_text.extract(table.limit(0)).count() == 0
 
 
+def test_runs_repeat_over_all_pages_of_a_large_host(spark):
+    # Five groups; most hold the notice on one page at most.
+    n = 5 * main_text.PAGES
+    story = lambda i: " ".join(f"s{i}x{j}" for j in range(12))
+    notice = lambda i: "<div>Shop closed until further notice today</div>" if i % 200 == 0 else ""
+    rows = [(i, f"http://big.host/{i}", f"<body>{notice(i)}<p>{story(i)}</p>") for i in range(n)]
+    got = {r.page_id: r for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == n and all(got[i].text == story(i) for i in range(n))
+    assert all(got[i].n_repeated == 6 * (i % 200 == 0) for i in range(n))
+
+
 def test_inline_elements_end_where_they_close():
     text = lambda page: main_text.article(main_text.blocks(page))
     rest = "</p><p>rest</p></article><p>out</p>"
