@@ -293,6 +293,27 @@ def test_runs_repeat_over_all_pages_of_a_large_host(spark):
     assert all(got[i].n_repeated == 6 * (i % 200 == 0) for i in range(n))
 
 
+def test_prose_without_an_article_keeps_its_phrases(spark):
+    # Pages of two groups; every paragraph has phrases that others have as well.
+    n = 2 * main_text.PAGES
+    phrases = [" ".join(f"p{k}q{j}" for j in range(4 + k % 9)) for k in range(20)]
+    legal = " ".join(f"legal{j}" for j in range(40))
+
+    def paragraph(i, k):
+        rng = random.Random(i * 10 + k)
+        return " ".join(x for j in range(6) for x in (f"own{i}x{k}x{j}", rng.choice(phrases)))
+
+    rows, want = [], []
+    for i in range(n):
+        own = [paragraph(i, k) for k in range(3)]
+        shared = i % 200 == 3
+        body = [own[0], "Sign up for our weekly letter" if shared else "", own[1] + (f" {legal}" if shared else ""), own[2]]
+        rows.append((i, f"http://prose.host/{i}", "<body>" + "".join(f"<p>{x}</p>" for x in body)))
+        want.append(" ".join(own))
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_inline_elements_end_where_they_close():
     text = lambda page: main_text.article(main_text.blocks(page))
     rest = "</p><p>rest</p></article><p>out</p>"
