@@ -40,7 +40,8 @@ SAMPLE_CHARS = 160_000
 #: A text is parsed in pieces of this many characters, so many pieces at once.
 PIECE = 256
 AT_ONCE = 8_192
-#: Code points with a column of their own in the tables; rarer ones match nothing.
+#: Code points with a column of their own in the tables, less one; the transitions by
+#: rarer ones of the samples are kept apart.
 ALPHABET = 80
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -50,11 +51,41 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1
 
 
+class Transitions:
+    """``table[state, symbol]``, with a column for symbols below ``width`` only."""
+
+    def __init__(self, states: int, width: int) -> None:
+        self.dense, self.width = np.zeros((states, width), np.int32), width
+        self.rare: dict[int, dict[int, int]] = {}
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        state, symbol = at
+        return int(self.dense[state, symbol]) if symbol < self.width else self.rare.get(state, {}).get(symbol, 0)
+
+    def __setitem__(self, at: tuple[int, int], to: int) -> None:
+        state, symbol = at
+        if symbol < self.width:
+            self.dense[state, symbol] = to
+        else:
+            self.rare.setdefault(state, {})[symbol] = to
+
+    def copy(self, of: int, to: int) -> None:
+        self.dense[to] = self.dense[of]
+        if of in self.rare:
+            self.rare[to] = dict(self.rare[of])
+
+
 def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
     """Transitions of the suffix automaton of ``symbols``: ``table[state, symbol]``
     is the next state, or 0; state 1 is the start."""
+    return transitions(symbols, width)[0]
+
+
+def transitions(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of :func:`automaton`, and (state, symbol, next state) rows for
+    symbols from ``width`` on."""
     n = 2 * len(symbols) + 2
-    table = np.zeros((n, width), np.int32)
+    table = Transitions(n, width)
     link, length = [0] * n, [0] * n
     states, last = 2, 1
     for symbol in symbols.tolist():
@@ -68,20 +99,21 @@ def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
         if not p:
             link[new] = 1
         else:
-            q = int(table[p, symbol])
+            q = table[p, symbol]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
                 copy = states
                 states += 1
                 length[copy], link[copy] = length[p] + 1, link[q]
-                table[copy] = table[q]
+                table.copy(q, copy)
                 while p and table[p, symbol] == q:
                     table[p, symbol] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return table[:states]
+    rare = [(p, symbol, to) for p, by in table.rare.items() for symbol, to in by.items()]
+    return table.dense[:states], np.array(rare, np.int64).reshape(-1, 3)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -96,6 +128,11 @@ class Model:
     #: All automata in one table, and where each starts.
     table: np.ndarray
     starts: np.ndarray
+    #: Transitions by symbols without a column: the key of state and symbol, in
+    #: order, and the next state; and the next state from each start by any symbol.
+    rare_keys: np.ndarray
+    rare_to: np.ndarray
+    firsts: np.ndarray
     #: Bits of a phrase.
     bits: np.ndarray
 
@@ -125,11 +162,17 @@ class Model:
             for step in range(int(sizes[0])):
                 n = int(alive[step])
                 symbol = grid[step, :n]
-                to = flat[state[:, :n] + symbol].astype(np.int64) * width
+                to = flat[state[:, :n] + np.where(symbol < width, symbol, 0)].astype(np.int64) * width
+                if symbol.max() >= width:
+                    # Only automata of samples with that symbol can go on.
+                    lang, at = np.nonzero((symbol >= width) & (self.firsts[:, symbol] > 0))
+                    keys = state[lang, at] // width * self.firsts.shape[1] + symbol[at]
+                    near = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+                    to[lang, at] = np.where(self.rare_keys[near] == keys, self.rare_to[near], 0) * width
                 ends = to == 0
                 if ends.any():
                     # The phrase ends before this character, which begins the next one.
-                    again = flat[origin + symbol].astype(np.int64) * width
+                    again = self.firsts[:, symbol] * width
                     fresh = np.where(again == 0, origin, again)
                     to = np.where(ends, fresh, to)
                     # A character that matches nothing is a phrase of its own.
@@ -166,20 +209,28 @@ def fit(sample: tuple[tuple[str, str], ...], sample_chars: int = SAMPLE_CHARS) -
     points = [code_points("\n".join(by[x]))[:share] for x in languages]
     every = np.concatenate(points) if points else np.zeros(0, np.uint32)
     seen, counts = np.unique(every, return_counts=True)
-    kept = seen[np.lexsort((seen, -counts))][: ALPHABET - 1]
+    kept = seen[np.lexsort((seen, -counts))]
     symbols = np.zeros(int(kept.max()) + 2 if len(kept) else 1, np.int64)
     symbols[kept] = np.arange(1, len(kept) + 1)
-    tables, starts, at = [], [], 0
-    for p in points:
+    tables, starts, rare, at = [], [], [np.zeros((0, 3), np.int64)], 0
+    firsts = np.zeros((len(languages), len(kept) + 1), np.int64)
+    for i, p in enumerate(points):
         # Symbol 0 is in the text of no automaton: it always ends a phrase.
-        s = symbols[np.minimum(p, len(symbols) - 1)]
-        t = automaton(s[s > 0], ALPHABET)
+        t, apart = transitions(symbols[p], ALPHABET)
         tables.append(np.where(t > 0, t + at, 0).astype(np.int32))
+        rare.append(apart + [at, 0, at])
+        own = min(ALPHABET, firsts.shape[1])
+        firsts[i, :own] = tables[-1][1, :own]
+        from_start = rare[-1][rare[-1][:, 0] == at + 1]
+        firsts[i, from_start[:, 1]] = from_start[:, 2]
         starts.append(at + 1)
         at += len(t)
     table = np.concatenate(tables) if tables else np.zeros((1, ALPHABET), np.int32)
     bits = np.log2(np.array([len(p) + 1.0 for p in points]))
-    return Model(languages, symbols, table, np.array(starts, np.int64), bits)
+    apart = np.concatenate(rare)
+    keys = apart[:, 0] * firsts.shape[1] + apart[:, 1]
+    order = np.argsort(keys)
+    return Model(languages, symbols, table, np.array(starts, np.int64), keys[order], apart[order, 2], firsts, bits)
 
 
 def sample_rows(docs: DataFrame, key: str, text: str, lang: str, learn: Column, seed: int = 7) -> tuple[tuple[str, str], ...]:

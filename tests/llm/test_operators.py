@@ -143,6 +143,42 @@ def test_language_id(spark, docs, empty):
     assert language_id.detect(empty).count() == 0
 
 
+def test_languages_of_several_scripts():
+    rng = random.Random(8)
+    scripts = {"de": (97, 26), "el": (0x3B1, 24), "ja": (0x4E00, 900), "ko": (0xAC00, 900), "ru": (0x430, 32), "zh": (0x4E00, 900)}
+    words = {
+        lang: ["".join(chr(lo + rng.randrange(n)) for _ in range(rng.randint(1, 4) if n > 99 else rng.randint(3, 8))) for _ in range(300)]
+        for lang, (lo, n) in scripts.items()
+    }
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    # The samples of the scripts with many letters are the smaller ones.
+    model = language_id.fit(tuple((lang, text(lang, 150 if n > 99 else 400)) for lang, (_, n) in scripts.items() for _ in range(6)))
+    want = [lang for lang in scripts for _ in range(20)]
+    langs, scores = model.predict([text(lang, 30) for lang in want])
+    assert langs == want and min(scores) > 0.5
+
+
+def test_rare_code_points_match_as_others():
+    # By brute force: the longest match from each place, in pieces.
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + i) for i in range(120)]
+    base = "".join(rng.choice(letters[:6] if rng.random() < 0.7 else letters) for _ in range(3000))
+    other = "".join(rng.choice(letters) for _ in range(2000))
+    model = language_id.fit((("a", base), ("b", other)))
+    for lo in (0, 500, 1200):
+        new = base[lo : lo + 40] + other[lo : lo + 30] + chr(0x7000) + base[lo + 90 : lo + 130][::-1]
+        got = model.phrases([language_id.code_points(new)])[0]
+        for sample, n in zip((base, other), got):
+            count, at = 0, 0
+            while at < len(new):
+                size = 1
+                while at + size < len(new) and new[at : at + size + 1] in sample:
+                    size += 1
+                at += size
+                count += 1
+            assert n == count
+
+
 def test_automaton_finds_longest_matches():
     model = language_id.fit((("x", "abcabd"), ("y", "zzzz")))
     counts = model.phrases([language_id.code_points(t) for t in ("abcabd", "abdabc", "zz", "q")])
