@@ -7,8 +7,13 @@ is the rule of the tokenizer: it goes through the text by the starts of pieces a
 replaces only by a greater score. A character that no piece of one character covers
 costs the least score of the vocabulary minus ten, and counts as its UTF-8 bytes.
 
-Spaces become the mark of a word's beginning, every text begins with one, and each
-word is counted by itself; words met before are looked up.
+Spaces become the mark of a word's beginning, and every text begins with one. A text
+is cut before a mark only where no piece of the vocabulary goes across: a run of marks
+is counted together with the word after it, and where a piece has a mark after other
+characters, the text around it stays whole. Units met before are looked up.
+
+The scores decide: a vocabulary of merges is counted as the unigram model that its
+scores make, not by its merge order.
 
 Defined cases: null text counts as empty; an empty text has no tokens; repeated
 rows are counted one by one; an empty table gives no rows; other columns are
@@ -17,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN_COST = 10.0
 #: Words kept in one of two generations, and the longest that is kept.
 KEPT, LONG = 300_000, 64
@@ -49,6 +56,8 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), value))
         self.automaton.make_automaton()
         self.unknown = min((v for _, v in vocabulary), default=0.0) - UNKNOWN_COST
+        # Where a piece goes across a cut, on either side of it at least one character.
+        self.across = {piece[i - 1 : i + 1] for piece, _ in vocabulary for i in range(1, len(piece)) if piece[i] == MARK != piece[i - 1]}
         self.words: dict[str, tuple[int, float]] = {}
         self.older: dict[str, tuple[int, float]] = {}
 
@@ -74,6 +83,19 @@ class Counter:
             best[end], count[end] = top, tokens
         return count[n], best[n]
 
+    def units(self, marked: str) -> list[str]:
+        """Parts of a text that no piece goes across, each with its marks before it."""
+        units = UNIT.findall(marked)
+        if not self.across:
+            return units
+        out = units[:1]
+        for u in units[1:]:
+            if out[-1][-1] + MARK in self.across:
+                out[-1] += u
+            else:
+                out.append(u)
+        return out
+
     def text(self, text: str) -> tuple[int, float]:
         """Tokens and score of a text."""
         marked = text.replace(" ", MARK)
@@ -82,10 +104,10 @@ class Counter:
         if marked[0] != MARK:
             marked = MARK + marked
         words, older, tokens, score = self.words, self.older, 0, 0.0
-        for w in marked.split(MARK)[1:]:
+        for w in self.units(marked):
             found = words.get(w)
             if found is None:
-                found = older.get(w) or self.word(MARK + w)
+                found = older.get(w) or self.word(w)
                 if len(w) <= LONG:
                     if len(words) >= KEPT:
                         self.older = older = words

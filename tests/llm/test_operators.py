@@ -133,6 +133,20 @@ def test_token_counts(docs, empty):
     assert tied.text("aa") == (2, -2.0)
 
 
+def test_token_counts_of_runs_of_spaces():
+    vocabulary = token_counts.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    exact = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=False)
+    counter = token_counts.Counter(vocabulary)
+    assert counter.text("a        b")[0] == 3
+    rng = random.Random(6)
+    texts = ["a        b", "  x", "x   ", " ", "def f():\n        return  1\n", "name    |   value      | 3"]
+    texts += ["".join(rng.choice(["the", "table", "x1", ",", "\n"]) + " " * rng.choice([0, 1, 1, 2, 3, 8, 17, 40]) for _ in range(20)) for _ in range(30)]
+    assert [counter.text(t)[0] for t in texts] == [len(exact.encode(t, add_special_tokens=False).ids) for t in texts]
+    # A piece over two words is found as well.
+    assert token_counts.Counter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("a▁b", -0.5)]).text("a b a") == (4, -3.5)
+
+
 def test_language_id(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.detect(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out").collect()
