@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
-    byte_bpe, chat, cotrain, exact_dedup, jaccard, language_id, main_text, mixture, token_counts, winnowing,
+    byte_bpe, chat, cotrain, exact_dedup, fill_middle, jaccard, language_id, main_text, mixture, token_counts, winnowing,
 )
 from panelcast.sources.tables import read_table
 
@@ -113,3 +113,29 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 )
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(read_table(spark, folder, "documents")).drop("source")
+
+
+@query(
+    "op11_fill_middle",
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (
+  SELECT doc_id, t, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT *, substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m,
+    substr(t, greatest(a, b) + 1) AS s FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(read_table(spark, folder, "documents"))
