@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
-    byte_bpe, chat, cotrain, exact_dedup, fill_middle, jaccard, language_id, main_text, mixture, token_counts, winnowing,
+    byte_bpe, chat, cotrain, exact_dedup, fill_middle, jaccard, language_id, main_text, mixture, token_counts, toxicity, winnowing,
 )
 from panelcast.sources.tables import read_table
 
@@ -139,3 +139,8 @@ FROM c""",
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return fill_middle.digests(read_table(spark, folder, "documents"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.detect(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
