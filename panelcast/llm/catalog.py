@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
-    byte_bpe, chat, cotrain, exact_dedup, fill_middle, jaccard, language_id, main_text, mixture, token_counts, toxicity, winnowing,
+    byte_bpe, chat, cotrain, exact_dedup, fill_middle, jaccard, language_id, lexical, main_text, mixture, token_counts, toxicity, winnowing,
 )
 from panelcast.sources.tables import read_table
 
@@ -144,3 +144,37 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_toxicity")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.detect(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark),
+q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(terms) AS term FROM i) GROUP BY item, term),
+g AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+p AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM p, g GROUP BY term, n_docs),
+s AS (
+  SELECT q.item, p.row, sum(q.times * w.weight * ((1000000000 * p.tf) // (1000 * p.tf
+    + 12 * (100 - 25 + ((25 * len(d.terms) * g.n_docs) // g.n_terms)))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN d ON d.row = p.row, g GROUP BY q.item, p.row),
+r AS (
+  SELECT item, row, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM s JOIN d USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (item) JOIN d USING (row) WHERE rank <= 20""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
