@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog.registry import Data, define_cte, query, tail_sql
 from panelcast.catalog.stats import ANALYSED, analysis
-from panelcast.operators import clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
+from panelcast.operators import backtest, clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
 from panelcast.operators import features as FE
 from panelcast.plans import forecasting, interpretation
 from panelcast.session import new_path, stage
@@ -151,6 +151,62 @@ def trend_seasonal_aligned(data: Data) -> DataFrame:
     return forecast.leaves(out).select("level", "store", "dept", "step", "trend_seasonal")
 
 
+define_cte(
+    "fold_fit",
+    """SELECT t.store, t.dept, t.weekly_sales, fold, pos, total_n - after AS n, total_n - 1 - pos - after AS back
+    FROM train t JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS total_n
+      FROM (SELECT DISTINCT date FROM train)) d USING (date)
+    JOIN (SELECT i AS fold, (5 - i) * 8 AS after FROM range(1, 5) g(i)) f ON total_n - 1 - pos >= after""",
+)
+define_cte(
+    "fold_steps",
+    """SELECT i AS fold, (5 - i) * 8 - back AS step, date FROM (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS back
+      FROM (SELECT DISTINCT date FROM train)) d JOIN range(1, 5) g(i) ON (5 - i) * 8 - back BETWEEN 1 AND 8""",
+)
+define_cte(
+    "fold_forecasts",
+    """SELECT fold, store, dept, step, date, trend_seasonal, smoothing, moving_average,
+      greatest(0.5::DOUBLE * trend_seasonal + 0.3::DOUBLE * smoothing + 0.2::DOUBLE * moving_average, 0) AS ensemble, historical_mean
+    FROM (SELECT s.fold, store, dept, step, date, greatest(smooth, 0) AS smoothing, historical_mean,
+        recent / 4 + (recent / 4 - before / 4) / 4 * step AS moving_average,
+        recent / 4 + (recent / 4 - before / 4) / 4 * step + repeated[step] - cycle / 52 AS trend_seasonal
+      FROM (SELECT fold, store, dept, greatest(avg(weekly_sales), 0) AS historical_mean,
+          coalesce(sum(weekly_sales) FILTER (back < 4), 0) AS recent,
+          coalesce(sum(weekly_sales) FILTER (back BETWEEN 4 AND 7), 0) AS before,
+          coalesce(sum(weekly_sales) FILTER (back < 52), 0) AS cycle,
+          sum(weekly_sales * CASE WHEN pos = 0 THEN 1 ELSE 0.3::DOUBLE END * pow(0.7::DOUBLE, back)) AS smooth,
+          ["""
+    + ", ".join(f"coalesce(sum(weekly_sales) FILTER (back = {8 - i}), 0)" for i in range(1, 9))
+    + """] AS repeated FROM fold_fit GROUP BY fold, store, dept) s JOIN fold_steps USING (fold))""",
+)
+
+
+@query("c5_rolling_forecasts", "SELECT CAST(fold AS INTEGER) AS fold, store, dept, CAST(step AS INTEGER) AS step, date, trend_seasonal,"
+       " smoothing, moving_average, ensemble, historical_mean FROM fold_forecasts", r4=" ".join(MODELS))
+def rolling_forecasts(data: Data) -> DataFrame:
+    """Forecasts of every series from four origins, eight weeks apart."""
+    return forecast.leaves(backtest.rolling_forecasts(data.staged_train(), 4, HORIZON)).drop("level")
+
+
+@query(
+    "c5_backtest",
+    """SELECT CAST(fold AS INTEGER) AS fold, model, CASE model WHEN 'ensemble' THEN 'Ensemble' WHEN 'historical_mean' THEN 'Baseline'
+      ELSE 'Statistical' END AS model_type, count(*) AS n, sqrt(avg((weekly_sales - predicted) ^ 2)) AS rmse,
+      avg(abs(weekly_sales - predicted)) AS mae, sqrt(sum(w * (weekly_sales - predicted) ^ 2) / sum(w)) AS weighted_rmse,
+      sum(w * abs(weekly_sales - predicted)) / sum(w) AS weighted_mae
+    FROM (UNPIVOT fold_forecasts ON trend_seasonal, smoothing, moving_average, ensemble, historical_mean
+      INTO NAME model VALUE predicted) JOIN train USING (store, dept, date)
+    JOIN (SELECT date, CASE WHEN bool_or(is_holiday) THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM train GROUP BY date) USING (date)
+    GROUP BY fold, model""",
+    r4="rmse mae weighted_rmse weighted_mae",
+)
+def rolling_scores(data: Data) -> DataFrame:
+    """Walk-forward errors of the base models per fold."""
+    scored = backtest.rolling_results(data.staged_train(), 4, HORIZON)
+    kept = ["fold", "model", "model_type", "n", "rmse", "mae", "weighted_rmse", "weighted_mae"]
+    return evaluate.accuracy(scored, ["fold", "model", "model_type"]).select(*kept)
+
+
 def _modelling(data: Data) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows whose features see only the past."""
     panel = data.staged_panel()

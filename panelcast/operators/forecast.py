@@ -7,6 +7,8 @@ and adds nothing: the dense grid of series and dates is never built.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,7 +96,14 @@ def base_forecasts(
 
     ``dates`` maps each step to its date, see ``horizon_dates``.
     """
-    nodes = node_statistics(train, horizon, spec, aligned)
+    return model_forecasts(node_statistics(train, horizon, spec, aligned), dates, spec)
+
+
+def model_forecasts(
+    nodes: DataFrame, dates: DataFrame, spec: PanelSpec = DEFAULT, by: Sequence[str] = ()
+) -> DataFrame:
+    """The base models from node statistics; ``by`` names columns that separate
+    several sets of nodes, each with dates of its own."""
     each = nodes.select("*", F.posexplode("repeated").alias("_i", "_value"))
     n, step = F.col("n"), (F.col("_i") + 1).cast("int")
     flat = F.greatest(F.col("total") / n, F.lit(0.0))
@@ -115,8 +124,8 @@ def base_forecasts(
         "ensemble", F.when(F.col("n") < WINDOW, flat).otherwise(F.greatest(mixed, F.lit(0.0)))
     )
     out = out.withColumnRenamed("mean", "historical_mean")
-    placed = out.join(F.broadcast(dates), "step")
-    return placed.select("level", *spec.keys, "step", spec.time, *MODELS)
+    placed = out.join(F.broadcast(dates), [*by, "step"])
+    return placed.select(*by, "level", *spec.keys, "step", spec.time, *MODELS)
 
 
 def horizon_dates(val: DataFrame, horizon: int = 8, spec: PanelSpec = DEFAULT) -> DataFrame:
@@ -138,14 +147,15 @@ def leaves(forecasts: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
 
 
 def forecast_results(
-    forecasts: DataFrame, val: DataFrame, spec: PanelSpec = DEFAULT, weight: float = 5.0
+    forecasts: DataFrame, val: DataFrame, spec: PanelSpec = DEFAULT, weight: float = 5.0, by: Sequence[str] = ()
 ) -> DataFrame:
     """Long table of leaf forecasts beside their actual values and weights.
 
     Rows meet on series and date; a forecast without an actual value is left
-    out. Only the models present in ``forecasts`` appear.
+    out. Only the models present in ``forecasts`` appear; ``by`` names columns
+    of it that are kept.
     """
-    models = [m for m in forecasts.columns if m not in ("level", *spec.keys, "step", spec.time)]
+    models = [m for m in forecasts.columns if m not in (*by, "level", *spec.keys, "step", spec.time)]
     weights = event_weights(val, spec, weight)
     actual = val.select(*spec.keys, spec.time, F.col(spec.target).cast("double").alias("actual"))
     known = leaves(forecasts, spec).join(actual, [*spec.keys, spec.time])
@@ -160,7 +170,7 @@ def forecast_results(
             for m in models
         ]
     )
-    ids = [*spec.keys, spec.time, "step", "actual", "weight"]
+    ids = [*by, *spec.keys, spec.time, "step", "actual", "weight"]
     return known.select(*ids, F.inline(rows))
 
 
