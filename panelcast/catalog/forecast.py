@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog.registry import Data, define_cte, query, tail_sql
 from panelcast.catalog.stats import ANALYSED, analysis
-from panelcast.operators import backtest, clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
+from panelcast.operators import arma, backtest, clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
 from panelcast.operators import features as FE
 from panelcast.plans import forecasting, interpretation
 from panelcast.session import new_path, stage
@@ -266,6 +266,84 @@ def differenced_autoregression(data: Data) -> DataFrame:
     return models.differenced_autoregression(stage(weekly, "weekly"), ["store"], [*covariates, "is_holiday"])
 
 
+def _eliminated(columns: list[str], source: str) -> str:
+    """SQL for the least-squares coefficients of the last column on a constant and
+    the others, a list in that order: normal equations, then elimination."""
+    cells = ["1.0::DOUBLE", *columns]
+    rows = ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in cells) + "]" for a in cells[:-1])
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    n = len(cells) - 1
+    step = f"""[[CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END
+        FOR j IN range(1, {n + 2})] FOR i IN range(1, {n + 1})]"""
+    return f"""(WITH RECURSIVE g AS (SELECT 1 AS k, [{rows}] AS m FROM {source} WHERE fit AND {known}
+      UNION ALL SELECT k + 1, {step} FROM g WHERE k <= {n})
+    SELECT [r[{n + 1}] FOR r IN m] FROM g WHERE k = {n + 1})"""
+
+
+_LONG = [f"z_{k}" for k in arma.long_lags(52)]
+_LATE = ["z_1", "z_52", "z_53", "e_1", "e_52", "e_53"]
+define_cte(
+    "site_weeks",
+    """SELECT g.store, g.date, coalesce(y, 0) AS y FROM (SELECT store, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
+      FROM (SELECT store, date + (7 - isodow(date))::INT AS date FROM train) GROUP BY store) g
+    LEFT JOIN (SELECT store, date + (7 - isodow(date))::INT AS date, sum(weekly_sales) AS y FROM train GROUP BY 1, 2) x
+      ON x.store = g.store AND x.date = g.date""",
+)
+define_cte(
+    "site_moves",
+    """SELECT store, date, fit, z / sqrt(avg(z * z) FILTER (fit) OVER (PARTITION BY store)) AS z FROM (
+      SELECT store, date, date < (SELECT min(date) FROM (SELECT DISTINCT date FROM site_weeks ORDER BY date DESC LIMIT 8)) AS fit,
+        y - lag(y, 1) OVER w - lag(y, 52) OVER w + lag(y, 53) OVER w AS z
+      FROM site_weeks WINDOW w AS (PARTITION BY store ORDER BY date))""",
+)
+define_cte(
+    "site_lags",
+    "SELECT *, " + ", ".join(f"lag(z, {k}) OVER w AS z_{k}" for k in arma.long_lags(52))
+    + " FROM site_moves WINDOW w AS (PARTITION BY store ORDER BY date)",
+)
+define_cte("long_terms", f"SELECT {_eliminated([*_LONG, 'z'], 'site_lags')} AS b")
+define_cte(
+    "site_residuals",
+    """SELECT *, lag(e, 1) OVER w AS e_1, lag(e, 52) OVER w AS e_52, lag(e, 53) OVER w AS e_53 FROM (SELECT l.*, z - b[1] - """
+    + " - ".join(f"b[{i + 2}] * {c}" for i, c in enumerate(_LONG))
+    + " AS e FROM site_lags l, long_terms) WINDOW w AS (PARTITION BY store ORDER BY date)",
+)
+define_cte("late_terms", f"SELECT {_eliminated([*_LATE, 'z'], 'site_residuals')} AS b")
+
+
+def site_weeks(data: Data, covariates: list[str], flags: list[str]) -> DataFrame:
+    """Gap-free weeks of each site, written once."""
+    panel = data.staged_panel() if covariates or flags else data.staged_train()
+    return stage(rollup.resample_weekly(panel, DEFAULT, ["store"], ["weekly_sales"], covariates, flags), "weekly")
+
+
+@query(
+    "m8_hannan_rissanen",
+    "SELECT 'long autoregression' AS stage, unnest(['constant', " + ", ".join(f"'{c}'" for c in _LONG) + "]) AS term, unnest(b) AS value FROM long_terms"
+    " UNION ALL SELECT 'with residuals', unnest(['constant', " + ", ".join(f"'{c}'" for c in _LATE) + "]), unnest(b) FROM late_terms",
+    r6="value",
+)
+def first_coefficients(data: Data) -> DataFrame:
+    """The two regressions that start the seasonal model with moving averages."""
+    rows = arma.twice_differenced(site_weeks(data, [], []), ["store"])
+    return arma.hannan_rissanen(stage(rows, "differenced"), ["store"])[1]
+
+
+@query("m8_seasonal_arma")
+def seasonal_arma(data: Data) -> DataFrame:
+    """Forecasts of the seasonal model with moving averages and covariates."""
+    covariates = [*DEFAULT.covariates, DEFAULT.event]
+    weekly = site_weeks(data, list(DEFAULT.covariates), [DEFAULT.event])
+    return arma.seasonal_arma(weekly, ["store"], covariates)[1]
+
+
+@query("m8_arma_coefficients")
+def arma_coefficients(data: Data) -> DataFrame:
+    """Its coefficients without covariates, of the least conditional squares."""
+    model, _ = arma.seasonal_arma(site_weeks(data, [], []), ["store"])
+    return arma.coefficients(model, data.spark)
+
+
 @query(
     "m9_sequence_sets",
     """WITH r AS (SELECT store, date, sum(weekly_sales) AS weekly_sales, max(CAST(is_holiday AS INTEGER)) AS h,
