@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.catalog.registry import Data, define_cte, query, tail_sql
 from panelcast.catalog.stats import ANALYSED, analysis
-from panelcast.operators import arma, backtest, clean, evaluate, forecast, hierarchy, insight, models, rollup, stats
+from panelcast.operators import arma, backtest, clean, evaluate, forecast, grid, hierarchy, insight, models, rollup, stats, store
 from panelcast.operators import features as FE
 from panelcast.plans import forecasting, interpretation
 from panelcast.session import new_path, stage
@@ -227,9 +227,9 @@ FOREST_FEATURES = [
 
 
 @query("m6_forest_forecast")
-def forest_forecast(data: Data) -> DataFrame:
+def forest_forecast(data: Data, trees: int = 100, depth: int = 15) -> DataFrame:
     train, val = _modelling(data)
-    model = models.fit_forest(train, FOREST_FEATURES, "weekly_sales")
+    model = models.fit_forest(train, FOREST_FEATURES, "weekly_sales", trees=trees, depth=depth)
     scored = model.transform(models.assemble(val, FOREST_FEATURES))
     return scored.select(
         "store", "dept", "date", F.col("weekly_sales").alias("actual"), F.col("prediction").alias("predicted")
@@ -946,6 +946,114 @@ def future_forecasts(data: Data) -> DataFrame:
     return forecasting.score_future(data.train())
 
 
+define_cte(
+    "given_sites",
+    "SELECT n_nationkey AS store FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation WHERE n_regionkey = 0",
+)
+define_cte(
+    "given_rows",
+    """SELECT store, dept, CAST(last + CAST(7 * i AS INTEGER) AS DATE) AS date, CAST(i AS INTEGER) AS step FROM given_sites,
+      (SELECT DISTINCT dept FROM train UNION ALL SELECT 'NEW'), (SELECT max(date) AS last FROM train), range(0, 9) g(i)""",
+)
+define_cte(
+    "given_scores",
+    """SELECT g.store, g.dept, g.date, g.step, CASE WHEN g.step < 1 THEN NULL WHEN l.reconciled IS NOT NULL THEN l.reconciled
+      WHEN s.reconciled IS NOT NULL THEN s.reconciled / (s.n + 1) ELSE t.reconciled / (t.n + 1) END AS predicted,
+      CASE WHEN g.step < 1 THEN 'History' WHEN l.reconciled IS NOT NULL THEN 'Store_Department'
+      WHEN s.reconciled IS NOT NULL THEN 'Store' ELSE 'Total' END AS source_level
+    FROM given_rows g LEFT JOIN reconciled_leaves_next l ON l.store = g.store AND l.dept = g.dept AND l.step = g.step
+    LEFT JOIN (SELECT store, step, sum(reconciled) AS reconciled, count(*) AS n FROM reconciled_leaves_next GROUP BY ALL) s
+      ON s.store = g.store AND s.step = g.step
+    LEFT JOIN (SELECT step, sum(reconciled) AS reconciled, count(*) AS n FROM reconciled_leaves_next GROUP BY ALL) t ON t.step = g.step""",
+)
+
+
+def given_scores(data: Data) -> DataFrame:
+    """Forecasts of a grid of all nations, some new sites, all departments and a new
+    one, over the panel's last date and the eight after it."""
+    fact = data.staged_train()
+    nation = data.table("nation")
+    sites = nation.select(F.col("n_nationkey").alias("store")).unionByName(
+        nation.where("n_regionkey = 0").select((F.col("n_nationkey") + 100).alias("store"))
+    )
+    known = fact.agg(F.collect_set("dept").alias("d"), F.max("date").alias("last"))
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(HORIZON)))
+    depts = known.select(F.concat("d", F.array(F.lit("NEW"))).alias("d")).scalar()
+    rows = sites.withColumn("dept", F.explode(depts)).withColumn("_i", ahead)
+    date = F.date_add(known.select("last").scalar(), F.col("_i") * 7)
+    return forecasting.score_given(fact, rows.select(F.col("store").cast("int").alias("store"), "dept", date.alias("date")))
+
+
+@query("f3_given_grid", "SELECT * FROM given_scores", r4="predicted")
+def given_grid(data: Data) -> DataFrame:
+    """Every row of a given future grid, and the level its forecast comes from."""
+    return given_scores(data)
+
+
+@query(
+    "f3_grid_levels",
+    f"""SELECT {LEVEL_SQL} AS level, store, dept, step, sum(predicted) AS predicted FROM given_scores WHERE step > 0
+    GROUP BY GROUPING SETS ((step), (store, step), (store, dept, step))""",
+    r4="predicted",
+)
+def grid_levels(data: Data) -> DataFrame:
+    return grid.grid_nodes(given_scores(data))
+
+
+@query(
+    "k6_model_store",
+    """WITH r AS (SELECT model, model_type, store, dept, date, step, actual, weight,
+        CASE WHEN model = 'smoothing' THEN predicted + 1 WHEN model = 'ensemble' THEN (SELECT NULL::DOUBLE) ELSE predicted END AS predicted
+      FROM results)
+    SELECT 'Store_Department' AS grain, model, model_type, count(*) AS n, sum(predicted) AS predicted, sum(actual) AS actual, max(step)::INTEGER AS steps
+    FROM r WHERE model <> 'ensemble' GROUP BY model, model_type
+    UNION ALL SELECT 'Store_Department', model, model_type, count(*), sum(predicted), sum(actual), max(step)::INTEGER FROM results
+      WHERE model = 'ensemble' AND step <= 4 GROUP BY model, model_type""",
+    r2="predicted actual",
+)
+def model_store(data: Data) -> DataFrame:
+    """All base models saved; then one saved again with other forecasts, and another
+    with fewer steps, of which some cells came twice."""
+    rows = store.from_results(results(data, staged=True))
+    kinds = {k: rows.schema[k].dataType for k in DEFAULT.keys}
+    path = new_path(data.spark, "model_store")
+    store.save(rows, path)
+    again = rows.where("model = 'smoothing'").withColumn("predicted", F.col("predicted") + 1)
+    twice = rows.where("model = 'ensemble' AND step <= 4").withColumn("run", F.lit(1))
+    wrong = twice.where("step = 1").withColumns({"run": F.lit(0), "predicted": F.lit(-1.0)})
+    store.save(again, path)
+    store.save(store.keep_last(twice.unionByName(wrong), F.col("run")).drop("run"), path)
+    back = store.load(data.spark, path, DEFAULT, kinds)
+    return back.groupBy("grain", "model", "model_type").agg(
+        F.count("*").alias("n"), F.sum("predicted").alias("predicted"), F.sum("actual").alias("actual"), F.max("step").alias("steps")
+    )
+
+
+@query("f4_fitted_ranking")
+def fitted_ranking(data: Data) -> DataFrame:
+    """Forest, seasonal regression and both autoregressions beside the base models:
+    one store, one grain (sites by week), the cells all of them answer."""
+    panel = data.staged_panel()
+    kinds = {k: panel.schema[k].dataType for k in DEFAULT.keys}
+    weights = forecast.event_weights(panel)
+    path = new_path(data.spark, "fitted_models")
+    fit, val = clean.time_split(panel, HORIZON)
+    base = forecast.base_forecasts(fit, forecast.horizon_dates(val, HORIZON), HORIZON)
+    store.save(store.from_results(forecast.forecast_results(base, val)), path)
+    fitted = {
+        "forest": (forest_forecast(data, trees=20, depth=8), "Machine learning", 2, weights),
+        "seasonal_regression": (seasonal_regression(data), "Statistical", 2, weights),
+        "autoregression": (differenced_autoregression(data), "Statistical", 1, store.weights_by_week(panel)),
+        "seasonal_arma": (seasonal_arma(data), "Statistical", 1, store.weights_by_week(panel)),
+    }
+    for name, (rows, kind, depth, weight) in fitted.items():
+        store.save(store.rows_of(rows, name, kind, DEFAULT, depth, weight), path)
+    saved = store.load(data.spark, path, DEFAULT, kinds)
+    cells = stage(store.comparable(stage(store.at_grain(saved, ["store"]), "by_week"), ["store"]), "cells")
+    metrics = evaluate.to_metrics(evaluate.accuracy(cells).drop("model_type"))
+    return evaluate.rank_models(metrics, ["weighted_rmse", "event_rmse", "mape", "r2"])
+
+
 # --- insight --------------------------------------------------------------------------------
 
 

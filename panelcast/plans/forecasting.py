@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import clean, evaluate, forecast, hierarchy
+from panelcast.operators import clean, evaluate, forecast, grid, hierarchy
 from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
@@ -61,3 +61,14 @@ def score_future(fact: DataFrame, horizon: int = 8, spec: PanelSpec = DEFAULT) -
     base = stage(forecast.base_forecasts(fact, dates, horizon, spec), "base")
     fixed = hierarchy.reconcile_ols(base, "ensemble", spec)
     return hierarchy.prediction_table(fixed, dates, "reconciled", spec)
+
+
+def score_given(fact: DataFrame, given: DataFrame, spec: PanelSpec = DEFAULT) -> DataFrame:
+    """Reconciled forecasts of a given grid of series and future dates, with the
+    level each forecast comes from. Series without history are in it too."""
+    fact = stage(spec.validate(fact), "fact")
+    rows, horizon = grid.placed_steps(given, fact, spec)
+    dates = forecast.future_dates(fact, max(1, horizon), spec)
+    base = stage(forecast.base_forecasts(fact, dates, max(1, horizon), spec), "base")
+    fixed = stage(hierarchy.reconcile_ols(base, "ensemble", spec), "reconciled")
+    return grid.score_grid(rows, fixed, "reconciled", spec)
