@@ -4,8 +4,9 @@ Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
 a bounded sketch first brackets each quantile; only values inside a bracket are
 counted and ordered, about ``6 / ACCURACY`` of a group, ties collapsed. All
 other rows only add to a count, combined on the map side. Where the brackets
-still hold many values, they are cut into slices and only the slice with the
-wanted rank is ordered.
+still hold many values, they are cut into slices again and again, until the slices
+with the wanted ranks hold few. The slices divide the bits of the values, not their
+range, so a heavy tail or a far outlier doesn't leave all values in one slice.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from panelcast.session import stage
 
 ACCURACY = 10_000
 ORDERED_ROWS = 2_000_000
-SLICES = 4_096
+#: Slices of one pass. Passes end when values are told apart: doubles have 64 bits.
+SLICES, PASSES = 4_096, 8
 
 
 def exact_quantiles(
@@ -46,7 +48,7 @@ def exact_quantiles(
     group = [*by, *[F.col(f"b.{c}").alias(c) for c in ("prob", "h", "lo", "hi")]]
     counts = stage(each.groupBy(*group, value).agg(F.count("*").alias("n")), "counts")
     if counts.count() > ordered_rows:
-        counts = _wanted_slices(counts, by)
+        counts = _wanted_slices(counts, by, ordered_rows)
     order = W.partitionBy(*by, "prob").orderBy(F.col("_v").asc_nulls_first())
     upto = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
 
@@ -80,26 +82,56 @@ def _brackets(rows: DataFrame, probs: Sequence[float], by: list[str], accuracy:
     return sketch.select(*by, F.array(*structs).alias("_b"))
 
 
-def _wanted_slices(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Keep the values of the slices that hold a wanted rank; the slices below
-    them become one NULL value with their count."""
-    bounded = (F.col("lo") > float("-inf")) & (F.col("hi") > F.col("lo"))
-    at = F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLICES)
-    number = F.when(F.col("_v").isNull(), -1).when(bounded, at).otherwise(0).cast("int")
-    sliced = counts.withColumn("_s", number)
-    totals = sliced.groupBy(*by, "prob", "h", "_s").agg(F.sum("n").alias("n"))
+def order_key(v: Column) -> Column:
+    """A long that orders as the double does: its exponent and fraction as bits,
+    negated for negative values; both zeros are 0, NaN comes last."""
+    a = F.abs(v)
+    guess = F.least(F.greatest(F.floor(F.log2(a)), F.lit(-1022)), F.lit(1023)).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e)
+    e = guess - F.when(a < power(guess), 1).otherwise(0) + F.when((guess < 1023) & (a >= power(guess + 1)), 1).otherwise(0)
+    fraction = ((a / power(e) - 1) * F.lit(2.0**52)).cast("long")
+    normal = (e + 1023).cast("long") * F.lit(1 << 52) + fraction
+    small = (a / F.lit(5e-324)).cast("long")
+    bits = F.when(a < F.lit(2.0**-1022), small).when(a == float("inf"), F.lit(0x7FF << 52)).otherwise(normal)
+    return F.when(F.isnan(v), F.lit((0x7FF << 52) + 1)).when(v < 0, -bits).otherwise(bits)
+
+
+def _wanted_slices(counts: DataFrame, by: list[str], ordered_rows: int) -> DataFrame:
+    """Keep the values of the slices that hold a wanted rank, pass by pass until few
+    are left; what lies below them becomes one NULL value with its count."""
+    rows = counts.select(*by, "prob", "h", "_v", "n", order_key(F.col("_v")).alias("_k"))
+    for _ in range(PASSES):
+        rows = stage(_narrowed(rows, by), "slices")
+        if rows.count() <= ordered_rows:
+            break
+    return rows.drop("_k")
+
+
+def _narrowed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One pass: the keys between a group's least and greatest are cut into slices."""
+    span = rows.groupBy(*by, "prob").agg(F.min("_k").cast("double").alias("_lo"), F.max("_k").cast("double").alias("_hi"))
+    placed = lookup_join(rows, span, [*by, "prob"], "inner", computed=True)
+    # As doubles, differences of keys can't overflow and keep their order.
+    at = F.floor((F.col("_k").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * SLICES)
+    sliced = placed.withColumn("_s", F.when(F.col("_k").isNull(), -1).otherwise(F.least(at, F.lit(SLICES - 1))).cast("int")).drop("_lo", "_hi")
+    totals = sliced.groupBy(*by, "prob", "h", "_s").agg(F.sum("n").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
     order = W.partitionBy(*by, "prob").orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
     upto = totals.withColumn("upto", F.sum("n").over(order))
 
     def holds(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") > rank, F.col("_s")))
-
-    wanted = upto.groupBy(*by, "prob").agg(
-        holds(F.floor("h")).alias("_first"), holds(F.ceil("h")).alias("_last")
+        return F.min(F.when(F.col("upto") > rank, F.struct("_s", "least", "most")))
+
+    wanted = upto.groupBy(*by, "prob").agg(holds(F.floor("h")).alias("_first"), holds(F.ceil("h")).alias("_last"))
+    kept = lookup_join(sliced, wanted, [*by, "prob"], "inner", computed=True).where(F.col("_s") <= F.col("_last._s"))
+    # Where two slices hold the two ranks, these are the ends that face each other.
+    same = F.col("_first._s") == F.col("_last._s")
+    inside = F.when(same, F.col("_s") == F.col("_first._s")).otherwise(
+        ((F.col("_s") == F.col("_first._s")) & (F.col("_v") == F.col("_first.most")))
+        | ((F.col("_s") == F.col("_last._s")) & (F.col("_v") == F.col("_last.least")))
     )
-    kept = lookup_join(sliced, wanted, [*by, "prob"], "inner", computed=True).where("_s <= _last")
-    value = F.when(F.col("_s") >= F.col("_first"), F.col("_v")).alias("_v")
-    return kept.groupBy(*by, "prob", "h", value).agg(F.sum("n").alias("n"))
+    below = (F.col("_s") < F.col("_last._s")) | same
+    value, key = F.when(inside, F.col("_v")).alias("_v"), F.when(inside, F.col("_k")).alias("_k")
+    return kept.where(below | inside).groupBy(*by, "prob", "h", value, key).agg(F.sum("n").alias("n"))
 
 
 def quantile_columns(
