@@ -25,10 +25,13 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,8 +51,12 @@ FILTER = 1 << 24
 LAGS = 3
 #: Classes of one block where all are compared.
 BLOCK = 1_000
+#: Bytes of text whose shingles are made together, and of words hashed like others.
+SLICE, LONG_WORD = 1 << 20, 256
 
 _U = np.uint64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,23 +66,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, as 64-bit values."""
+    odd = 0x9E3779B97F4A7C15
+    base, inverse = (np.full(4 * SLICE, x, np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+    base[0] = inverse[0] = 1
+    return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where they begin: of a short word a polynomial in its
+    bytes, from running sums over all of ``data``."""
+    if len(data) > 4 * SLICE:
+        one = lambda word: (np.array([xxhash.xxh3_64_intdigest(word)], np.uint64), np.zeros(1, np.int64))
+        parts = [(at, one(piece) if is_word else word_hashes(piece)) for at, piece, is_word in _pieces(data)]
+        return np.concatenate([h for _, (h, _) in parts]), np.concatenate([at + s for at, (_, s) in parts])
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(_BLANK[raw], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers()
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(raw * power[: len(raw)], out=sums[1:])
+    size = (ends - starts).astype(np.uint64)
+    h = _mix((sums[ends] - sums[starts]) * inverse[starts] + size * _U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h, starts
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, bytes, bool]]:
+    """Parts of a long text, cut at white space: where they begin, and whether they are
+    one word too long to be taken with others."""
+    at = 0
+    while at < len(data):
+        space = _SPACE.search(data, at + SLICE)
+        end = space.start() if space else len(data)
+        if end - at <= 4 * SLICE:
+            yield at, data[at:end], False
+        else:
+            begin = max(at, 1 + max(data.rfind(c, at, at + SLICE) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")))
+            yield at, data[at:begin], False
+            yield begin, data[begin:end], True
+        at = end
+
+
+def shingle_sets(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the word shingles of texts, one text after another,
+    and the places where each begins and ends."""
+    h, starts = word_hashes(b"\n".join(t or b"" for t in texts).lower())
+    edges = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    sizes = np.diff(np.searchsorted(starts, edges))
+    begin = np.cumsum(sizes) - sizes
+    counts = np.where(sizes > 0, np.maximum(sizes - words + 1, 1), 0)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(offsets[-1], np.uint64)
+    if len(h) >= words:
+        runs = np.full(len(h) - words + 1, words, np.uint64)
+        for i in range(words):
+            runs = _mix(runs * _U(0x9E3779B97F4A7C15) + h[i : i + len(runs)])
+        # Runs that end in their own text, in the same order as their places.
+        room = np.repeat(begin + sizes - words, sizes)[: len(runs)]
+        full = np.repeat(sizes >= words, counts)
+        out[full] = runs[np.arange(len(runs)) <= room]
+    for i in np.flatnonzero((sizes > 0) & (sizes < words)).tolist():
+        run = np.full(1, sizes[i], np.uint64)
+        for x in h[begin[i] : begin[i] + sizes[i]]:
+            run = _mix(run * _U(0x9E3779B97F4A7C15) + x)
+        out[offsets[i]] = run[0]
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        out[lo:hi].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[offsets[:-1][counts > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[offsets]
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64)
-    n = max(1, len(h) - words + 1)
-    out = np.full(n, min(words, len(h)), np.uint64)
-    for i in range(min(words, len(h))):
-        out = _mix(out * _U(0x9E3779B97F4A7C15) + h[i : i + n])
-    return np.unique(out)
+    return shingle_sets([(text or "").encode("utf-8", "surrogatepass")], words)[0]
+
+
+def set_ids(members: np.ndarray, offsets: np.ndarray) -> list[int | None]:
+    """64-bit names of sets: equal sets have equal names, empty ones none."""
+    out: list[int | None] = [None] * (len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        at = offsets[:-1][some]
+        total = np.add.reduceat(_mix(members), at) ^ np.bitwise_xor.reduceat(members, at) ^ np.diff(offsets)[some].astype(np.uint64)
+        for i, name in zip(some.tolist(), _mix(total).view(np.int64).tolist()):
+            out[i] = name
+    return out
 
 
 def set_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets have equal names."""
-    total = int(_mix(s).sum(dtype=np.uint64)) ^ int(np.bitwise_xor.reduce(s)) ^ len(s)
-    return int(_mix(np.array([total], np.uint64)).view(np.int64)[0])
+    """The name of one set."""
+    return set_ids(s, np.array([0, len(s)]))[0]
 
 
 def bit_sketch(s: np.ndarray, cells: int = CELLS) -> np.ndarray:
@@ -144,9 +230,18 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str | None]:
-    for x in batch.column(column):
-        yield x.as_py()
+def _named_sets(batch: pa.RecordBatch, column: int, words: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Name and members of every text's set, in order."""
+    texts = batch.column(column).cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        members, offsets = shingle_sets(texts[lo:hi].to_pylist(), words)
+        at = offsets.tolist()
+        for name, a, b in zip(set_ids(members, offsets), at, at[1:]):
+            yield name, members[a:b]
+        lo = hi
 
 
 def _describe(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
@@ -160,9 +255,7 @@ def _describe(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         names = ["doc_id", "n", "fp", "sketch", "wide", "block", "cells"]
         for b in batches:
             kind, ids, ns, fps, sketches, wide = b.column(0).type, [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), _texts(b, 1)):
-                s = shingles(t, words)
-                fp = set_id(s) if len(s) else None
+            for i, (fp, s) in zip(b.column(0).to_pylist(), _named_sets(b, 1, words)):
                 ids.append(i)
                 ns.append(len(s))
                 fps.append(fp)
@@ -210,9 +303,7 @@ def _words(texts: DataFrame, words: int, percent: int, common: np.ndarray) -> Da
             return pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), _long(np.concatenate(of))], names=["word", "fp"])
 
         for b in batches:
-            for t in _texts(b, 1):
-                s = shingles(t, words)
-                fp = set_id(s) if len(s) else None
+            for fp, s in _named_sets(b, 1, words):
                 if fp is None or fp in seen:
                     continue
                 if len(seen) < 1_000_000:
@@ -308,15 +399,13 @@ def _sets(near: DataFrame, texts: DataFrame, words: int) -> DataFrame:
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "members"])
         for b in batches:
             fps, sets, size = [], [], 0
-            for t in _texts(b, 1):
-                s = shingles(t, words)
-                fp = set_id(s) if len(s) else None
+            for fp, s in _named_sets(b, 1, words):
                 if fp is None or fp in seen or not _marked(bits.value, fp):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
                 fps.append(fp)
-                sets.append(s.view(np.int64))
+                sets.append(s.view(np.int64).copy())
                 size += len(s)
                 if size > 500_000:
                     yield batch()
