@@ -11,7 +11,7 @@ from panelcast.functions import windows as WF
 from panelcast.operators import carry, clean, features, profile
 from panelcast.operators.joins import lookup_join
 from panelcast.sources import panel as P
-from panelcast.session import new_path
+from panelcast.session import new_path, stage
 from panelcast.sources import tables
 from panelcast.spec import DEFAULT
 
@@ -164,12 +164,11 @@ def top_sets(data: Data) -> DataFrame:
 
 @query(
     "p15_promo_rows",
-    """SELECT 'markdown1' AS promo, count(markdown1) AS n, avg(markdown1) AS mean_value FROM panel
-    UNION ALL SELECT 'markdown5', count(markdown5), avg(markdown5) FROM panel""",
+    " UNION ALL ".join(f"SELECT '{c}' AS promo, count({c}) AS n, avg({c}) AS mean_value FROM panel" for c in DEFAULT.promos),
     r4="mean_value",
 )
 def promo_rows(data: Data) -> DataFrame:
-    return profile.known_promo_means(data.panel(), ("markdown1", "markdown5"))
+    return profile.known_promo_means(data.panel(), DEFAULT.promos)
 
 
 @query(
@@ -348,11 +347,11 @@ def holiday_label(data: Data) -> DataFrame:
 LAG_SQL = ", ".join(
     f"lag(weekly_sales, {k}) OVER w AS weekly_sales_lag_{k}" for k in features.LAGS
 )
+LAG_NAMES = [f"weekly_sales_lag_{k}" for k in features.LAGS]
 
 
 def _lags(data: Data) -> DataFrame:
-    names = [f"weekly_sales_lag_{k}" for k in features.LAGS]
-    return features.add_lags(data.train()).select(*KEY, *names)
+    return features.add_lags(data.train()).select(*KEY, *LAG_NAMES)
 
 
 for _name, _site in (("w1_lags", "nation"), ("w1_lags_by_supplier", "supplier")):
@@ -365,9 +364,9 @@ for _name, _site in (("w1_lags", "nation"), ("w1_lags_by_supplier", "supplier"))
 
 @query(
     "w1_lags_calendar",
-    """SELECT t.store, t.dept, t.date, a.weekly_sales AS weekly_sales_lag_1, b.weekly_sales AS weekly_sales_lag_52
-    FROM train t LEFT JOIN train a ON a.store = t.store AND a.dept = t.dept AND a.date = t.date - 7
-    LEFT JOIN train b ON b.store = t.store AND b.dept = t.dept AND b.date = t.date - 364""",
+    """SELECT store, dept, date, max(weekly_sales) OVER (w RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY PRECEDING) AS weekly_sales_lag_1,
+      max(weekly_sales) OVER (w RANGE BETWEEN INTERVAL 364 DAY PRECEDING AND INTERVAL 364 DAY PRECEDING) AS weekly_sales_lag_52
+    FROM train WINDOW w AS (PARTITION BY store, dept ORDER BY date)""",
 )
 def lags_calendar(data: Data) -> DataFrame:
     out = features.add_lags(data.train(), (1, 52), calendar=True)
@@ -573,3 +572,48 @@ _FEATURE_DOUBLES = (
 @query("fe_all_features", _FEATURE_SQL, r4=" ".join([*ROLL_NAMES, "trend_slope"]), r6=_FEATURE_DOUBLES)
 def all_features(data: Data) -> DataFrame:
     return features.engineer(data.staged_panel())
+
+
+#: Columns of the engineered frame that can be empty: those carried forward, and all
+#: numeric ones.
+CARRIED = [*LAG_NAMES, *ROLL_NAMES]
+IMPUTED = [*CARRIED, *DEFAULT.covariates, "unemployment_x_temperature", "cpi_x_fuel_price", "stress_index"]
+_LAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_NEXT = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+
+
+def _each(columns: list[str], cell: str) -> str:
+    return ", ".join(f"{cell.replace('#', c)} AS {c}" for c in columns)
+
+
+_IMPUTED_SQL = f"""WITH engineered AS ({_FEATURE_SQL}),
+    carried AS (SELECT *, row_number() OVER (PARTITION BY store, dept ORDER BY date) AS rn FROM (
+      SELECT * REPLACE ({_each(CARRIED, "last_value(# IGNORE NULLS) OVER w")}) FROM engineered
+      WINDOW w AS (PARTITION BY store, dept ORDER BY date {_LAST}))),
+    ends AS (SELECT *, {", ".join(
+        f"last_value({c} IGNORE NULLS) OVER b AS v0_{c}, first_value({c} IGNORE NULLS) OVER a AS v1_{c}, "
+        f"last_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) OVER b AS p0_{c}, "
+        f"first_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) OVER a AS p1_{c}" for c in IMPUTED)}
+      FROM carried WINDOW b AS (PARTITION BY store, dept ORDER BY date {_LAST}), a AS (PARTITION BY store, dept ORDER BY date {_NEXT})),
+    lines AS (SELECT store, dept, date, {_each(IMPUTED, "CASE WHEN # IS NOT NULL THEN # WHEN v1_# IS NULL THEN v0_# ELSE v0_# + (v1_# - v0_#) * (rn - p0_#) / (p1_# - p0_#) END")}
+      FROM ends)"""
+_IMPUTED_ROUND = {"r4": " ".join([*CARRIED]), "r6": " ".join(IMPUTED[len(CARRIED):])}
+
+
+@query("c1_impute_features", f"{_IMPUTED_SQL} SELECT store, dept, date, {_each(IMPUTED, 'coalesce(#, 0)')} FROM lines", **_IMPUTED_ROUND)
+def impute_features(data: Data) -> DataFrame:
+    """The engineered frame with every empty column filled within its series."""
+    ready = features.engineer(data.staged_panel())
+    return clean.impute(ready, CARRIED, IMPUTED).select(*KEY, *IMPUTED)
+
+
+@query(
+    "c1_impute_features_global",
+    f"""{_IMPUTED_SQL} SELECT store, dept, date, {_each(IMPUTED, "coalesce(last_value(# IGNORE NULLS) OVER b, first_value(# IGNORE NULLS) OVER a, 0)")}
+    FROM lines WINDOW b AS (ORDER BY store, dept, date {_LAST}), a AS (ORDER BY store, dept, date {_NEXT})""",
+    **_IMPUTED_ROUND,
+)
+def impute_features_global(data: Data) -> DataFrame:
+    """The same, the rest filled from neighbouring series in key order."""
+    ready = stage(features.engineer(data.staged_panel()), "engineered")
+    return clean.impute(ready, CARRIED, IMPUTED, across=True).select(*KEY, *IMPUTED)

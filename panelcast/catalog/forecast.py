@@ -283,7 +283,7 @@ def _eliminated(columns: list[str], source: str) -> str:
 _LONG = [f"z_{k}" for k in arma.long_lags(52)]
 _LATE = ["z_1", "z_52", "z_53", "e_1", "e_52", "e_53"]
 define_cte(
-    "site_weeks",
+    "arma_weeks",
     """SELECT g.store, g.date, coalesce(y, 0) AS y FROM (SELECT store, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
       FROM (SELECT store, date + (7 - isodow(date))::INT AS date FROM train) GROUP BY store) g
     LEFT JOIN (SELECT store, date + (7 - isodow(date))::INT AS date, sum(weekly_sales) AS y FROM train GROUP BY 1, 2) x
@@ -292,9 +292,9 @@ define_cte(
 define_cte(
     "site_moves",
     """SELECT store, date, fit, z / sqrt(avg(z * z) FILTER (fit) OVER (PARTITION BY store)) AS z FROM (
-      SELECT store, date, date < (SELECT min(date) FROM (SELECT DISTINCT date FROM site_weeks ORDER BY date DESC LIMIT 8)) AS fit,
+      SELECT store, date, date < (SELECT min(date) FROM (SELECT DISTINCT date FROM arma_weeks ORDER BY date DESC LIMIT 8)) AS fit,
         y - lag(y, 1) OVER w - lag(y, 52) OVER w + lag(y, 53) OVER w AS z
-      FROM site_weeks WINDOW w AS (PARTITION BY store ORDER BY date))""",
+      FROM arma_weeks WINDOW w AS (PARTITION BY store ORDER BY date))""",
 )
 define_cte(
     "site_lags",

@@ -52,7 +52,7 @@ def target_quality(data: Data) -> DataFrame:
     return profile.target_quality(data.train())
 
 
-DESCRIBED = ("weekly_sales", "temperature", "cpi", "markdown1")
+DESCRIBED = (DEFAULT.target, *DEFAULT.covariates, *DEFAULT.promos, DEFAULT.size)
 
 
 @query(
@@ -82,19 +82,28 @@ def missing(data: Data) -> DataFrame:
     return profile.missing_report(data.panel())
 
 
-@query(
-    "a4_missing_summary",
-    "WITH m AS ("
-    + "\nUNION ALL ".join(
-        f"SELECT '{c}' AS c, count(*) - count({c}) AS n, 100.0::DOUBLE * (count(*) - count({c})) / count(*) AS pct FROM panel"
-        for c in PANEL_COLUMNS
+def _summary_sql(table: str, columns: list[str]) -> str:
+    cells = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS c, count(*) - count({c}) AS n, 100.0::DOUBLE * (count(*) - count({c})) / count(*) AS pct FROM {table}"
+        for c in columns
     )
-    + """) SELECT 'panel' AS "table", CAST(sum(n) AS BIGINT) AS n_missing, CAST(count_if(n > 0) AS BIGINT) AS n_columns,
-    (SELECT c FROM m ORDER BY n DESC, c DESC LIMIT 1) AS worst_column, max(pct) AS worst_pct FROM m""",
-    r6="worst_pct",
-)
+    return f"""SELECT '{table}' AS "table", CAST(sum(n) AS BIGINT) AS n_missing, CAST(count_if(n > 0) AS BIGINT) AS n_columns,
+    max_by(c, (n, c)) AS worst_column, max(pct) AS worst_pct FROM ({cells}) AS m_{table}"""
+
+
+_TABLES = {
+    "train": PANEL_COLUMNS[:5],
+    "features": ["store", "date", *DEFAULT.covariates, *DEFAULT.promos],
+    "stores": ["store", "type", "size"],
+    "panel": PANEL_COLUMNS,
+}
+
+
+@query("a4_missing_summary", "\nUNION ALL ".join(_summary_sql(t, c) for t, c in _TABLES.items()), r6="worst_pct")
 def missing_summary(data: Data) -> DataFrame:
-    return profile.missing_summary({"panel": data.panel()})
+    """Missing cells of the input tables and of the panel made of them."""
+    fact, covariates = P.tables(data.spark, data.folder, data.site)
+    return profile.missing_summary({"train": fact, "features": covariates, "stores": data.stores(), "panel": data.panel()})
 
 
 # --- events, groups, leagues -----------------------------------------------------

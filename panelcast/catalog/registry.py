@@ -87,6 +87,8 @@ SELECT min(date) AS start FROM (SELECT DISTINCT date FROM train ORDER BY date DE
 
 def define_cte(name: str, sql: str) -> None:
     """Add a shared table expression; it may use those defined before it."""
+    if name in CTES:
+        raise KeyError(f"{name} is defined twice")
     CTES[name] = sql
 
 

@@ -157,17 +157,16 @@ def significance(data: Data) -> DataFrame:
     return stats.with_significance(stats.correlations(analysis(data), "weekly_sales", ANALYSED))
 
 
-LAGGED = ["temperature", "cpi", "promo_total"]
 _LAG_SQL = "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, {k} AS lag, {count_sql('x', 'weekly_sales')} AS n, {corr_sql('x', 'weekly_sales')} AS r "
     f"FROM (SELECT weekly_sales, lag({f}, {k}) OVER (PARTITION BY store ORDER BY date) AS x FROM site_weeks)"
-    for f in LAGGED
+    for f in ANALYSED
     for k in range(4)
 )
 
 
 def _lagged(data: Data) -> DataFrame:
-    return stats.lagged_correlations(analysis(data), "weekly_sales", LAGGED, ["store"], "date")
+    return stats.lagged_correlations(analysis(data), "weekly_sales", ANALYSED, ["store"], "date")
 
 
 @query("t5_w5_lagged_correlations", _LAG_SQL, r6="r")
@@ -177,7 +176,7 @@ def lagged_correlations(data: Data) -> DataFrame:
 
 @query(
     "t5_strongest_lag",
-    f"WITH c AS ({_LAG_SQL}) SELECT feature, lag, r FROM c QUALIFY row_number() OVER "
+    f"WITH c AS ({_LAG_SQL}) SELECT feature, lag, r FROM c WHERE r IS NOT NULL QUALIFY row_number() OVER "
     "(PARTITION BY feature ORDER BY abs(r) DESC, lag) = 1",
     r6="r",
 )
@@ -224,7 +223,7 @@ def predictive_gain(data: Data) -> DataFrame:
     return stats.predictive_gain(analysis(data), "weekly_sales", ANALYSED, ["store"], "date")
 
 
-TRENDED = ["weekly_sales", "temperature", "cpi", "unemployment"]
+TRENDED = ["weekly_sales", *ANALYSED]
 
 
 @query(
@@ -318,7 +317,9 @@ def unit_root(data: Data) -> DataFrame:
     return stats.unit_root_tests(data.train(), ["store", "dept"], "date", "weekly_sales")
 
 
-SEASONAL = ["weekly_sales", "temperature", "cpi", "promo_total"]
+SEASONAL = ["weekly_sales", *ANALYSED]
+#: The event flag itself has no lift.
+LIFTED = [c for c in SEASONAL if c != DEFAULT.event]
 
 
 @query(
@@ -343,12 +344,12 @@ def month_seasonality(data: Data) -> DataFrame:
         f"""SELECT '{c}' AS feature, avg({c}) FILTER (is_holiday = 1) AS event_mean, avg({c}) FILTER (is_holiday = 0) AS regular_mean,
       100 * (avg({c}) FILTER (is_holiday = 1) - avg({c}) FILTER (is_holiday = 0)) / avg({c}) FILTER (is_holiday = 0) AS lift_pct
     FROM site_weeks"""
-        for c in SEASONAL
+        for c in LIFTED
     ),
     r4="event_mean regular_mean lift_pct",
 )
 def event_lift(data: Data) -> DataFrame:
-    return stats.event_lift(analysis(data), SEASONAL)
+    return stats.event_lift(analysis(data), LIFTED)
 
 
 @query(
@@ -381,22 +382,22 @@ def quarter_cycle(data: Data) -> DataFrame:
     "WITH d AS (SELECT "
     + ", ".join(
         f"{c} - lag({c}) OVER (PARTITION BY store ORDER BY date) AS {c}"
-        for c in ["weekly_sales", "temperature", "cpi", "promo_total"]
+        for c in ["weekly_sales", *ANALYSED]
     )
     + " FROM site_weeks)\n"
     + "\nUNION ALL ".join(
         f"SELECT '{c}' AS feature, stddev_pop({c}) AS volatility, {corr_sql(c, 'weekly_sales')} AS change_r FROM d"
-        for c in ["temperature", "cpi", "promo_total"]
+        for c in ANALYSED
     ),
     r4="volatility",
     r6="change_r",
 )
 def temporal_profile(data: Data) -> DataFrame:
-    names = ["temperature", "cpi", "promo_total"]
-    return stats.temporal_profile(analysis(data), "weekly_sales", names, ["store"], "date")
+    return stats.temporal_profile(analysis(data), "weekly_sales", ANALYSED, ["store"], "date")
 
 
-_C6 = [*COVARIATES, "size", "markdown1"]
+_C6 = [*COVARIATES, "size", *PROMOS]
+_FORCED = ("size", "markdown1", "unemployment")
 
 
 @query(
@@ -405,13 +406,13 @@ _C6 = [*COVARIATES, "size", "markdown1"]
     + "\nUNION ALL ".join(
         f"SELECT '{f}' AS feature, coalesce(abs({corr_sql(f, 'weekly_sales')}), 0) AS score FROM panel" for f in _C6
     )
-    + """), t AS (SELECT * FROM c ORDER BY score DESC, feature LIMIT 3)
+    + """), t AS (SELECT * FROM c ORDER BY score DESC, feature LIMIT 5)
     SELECT feature, score, false AS forced FROM t
-    UNION ALL SELECT feature, score, true FROM c WHERE feature IN ('size', 'markdown1') AND feature NOT IN (SELECT feature FROM t)""",
+    UNION ALL SELECT feature, score, true FROM c WHERE feature IN ('size', 'markdown1', 'unemployment') AND feature NOT IN (SELECT feature FROM t)""",
     r6="score",
 )
 def top_features(data: Data) -> DataFrame:
-    return stats.select_features(data.panel(), "weekly_sales", _C6, 3, ("size", "markdown1"))
+    return stats.select_features(data.panel(), "weekly_sales", _C6, 5, _FORCED)
 
 
 @query(

@@ -17,6 +17,13 @@ def series_window(keys: list[str] | tuple[str, ...], time: str) -> WindowSpec:
     return W.partitionBy(*keys).orderBy(time)
 
 
+def reverse_window(keys: list[str] | tuple[str, ...], time: str) -> WindowSpec:
+    """The same partitions from the last row to the first. What follows a row is then
+    a running frame, which Spark extends row by row; a frame that ends with the
+    partition is computed anew for every row."""
+    return W.partitionBy(*keys).orderBy(F.desc(time))
+
+
 def full_rolling(c: Column, fn, n: int, w: WindowSpec, exclude_current: bool = False) -> Column:
     """A rolling statistic that is NULL until ``n`` non-null values are seen."""
     frame = w.rowsBetween(-n, -1) if exclude_current else w.rowsBetween(-(n - 1), 0)
@@ -35,17 +42,18 @@ def fill_forward(c: Column, w: WindowSpec) -> Column:
     return F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
 
 
-def fill_backward(c: Column, w: WindowSpec) -> Column:
-    return F.first(c, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+def fill_backward(c: Column, back: WindowSpec) -> Column:
+    """``back`` is the reverse window."""
+    return fill_forward(c, back)
 
 
-def interpolate(c: Column, pos: Column, w: WindowSpec) -> Column:
+def interpolate(c: Column, pos: Column, w: WindowSpec, back: WindowSpec) -> Column:
     """Straight line between known rows, by row position ``pos``; leading gaps
-    stay NULL, trailing gaps keep the last known value."""
+    stay NULL, trailing gaps keep the last known value. ``back`` is the reverse
+    window."""
     at = F.when(c.isNotNull(), pos)
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    v0, v1 = F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)
-    p0, p1 = F.last(at, ignorenulls=True).over(before), F.first(at, ignorenulls=True).over(after)
+    v0, v1 = fill_forward(c, w), fill_forward(c, back)
+    p0, p1 = fill_forward(at, w), fill_forward(at, back)
     line = v0 + (v1 - v0) * (pos - p0) / (p1 - p0)
     return F.when(c.isNotNull(), c).when(v1.isNull(), v0).otherwise(line)
 

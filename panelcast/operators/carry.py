@@ -63,12 +63,12 @@ def _neighbours(df: DataFrame, w, cols: list[str], name: str) -> DataFrame:
 
 def fill_across(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) -> DataFrame:
     """Forward fill over the whole ordered table, then backward, then 0."""
-    w = WF.series_window(spec.keys, spec.time)
+    w, back = WF.series_window(spec.keys, spec.time), WF.reverse_window(spec.keys, spec.time)
     out = lookup_join(df, ordered_carry(df, cols, spec), list(spec.keys), "left", computed=True)
 
     def value(c: str) -> Column:
         forward = F.coalesce(WF.fill_forward(F.col(c), w), F.col(f"{c}_before"))
-        backward = F.coalesce(WF.fill_backward(F.col(c), w), F.col(f"{c}_after"))
+        backward = F.coalesce(WF.fill_backward(F.col(c), back), F.col(f"{c}_after"))
         return F.coalesce(forward, backward, F.lit(0.0))
 
     filled = out.select(

@@ -23,9 +23,9 @@ def fill_forward(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) -> D
 
 
 def interpolate(df: DataFrame, cols: list[str], spec: PanelSpec = DEFAULT) -> DataFrame:
-    w = WF.series_window(spec.keys, spec.time)
+    w, back = WF.series_window(spec.keys, spec.time), WF.reverse_window(spec.keys, spec.time)
     at = df.withColumn("_pos", F.row_number().over(w))
-    return at.withColumns({c: WF.interpolate(F.col(c), F.col("_pos"), w) for c in cols}).drop("_pos")
+    return at.withColumns({c: WF.interpolate(F.col(c), F.col("_pos"), w, back) for c in cols}).drop("_pos")
 
 
 def fill_within(df: DataFrame, cols: list[str]) -> DataFrame:

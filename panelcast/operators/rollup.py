@@ -42,11 +42,11 @@ def resample_weekly(
     span = weeks.groupBy(*by).agg(F.min(spec.time).alias("lo"), F.max(spec.time).alias("hi"))
     steps = F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias(spec.time)
     grid = span.select(*by, steps).join(weeks, [*by, spec.time], "left")
-    w = WF.series_window(by, spec.time)
+    w, back = WF.series_window(by, spec.time), WF.reverse_window(by, spec.time)
     filled = grid.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in sums})
     gaps = [*means, *flags]
     filled = filled.withColumns(
-        {c: F.coalesce(WF.fill_forward(F.col(c), w), WF.fill_backward(F.col(c), w)) for c in gaps}
+        {c: F.coalesce(WF.fill_forward(F.col(c), w), WF.fill_backward(F.col(c), back)) for c in gaps}
     )
     # Only a column without any value in its series is still empty here.
     medians = {c: exact_quantiles(weeks, c, [0.5]).select("value").scalar() for c in gaps}
