@@ -1,19 +1,25 @@
 """Quality classification by co-training of two views.
 
 One classifier sees only the text (shapes of characters and words), the other only
-the metadata (source, language, length). Each labels the pool rows it is most sure
-of for the other, over some rounds; both are then calibrated on labelled rows that
-neither has learnt from, and their log odds are added to score all documents.
-
-The classifiers are logistic regressions fitted on a bounded sample: at most
-``LABELLED`` labelled rows and ``POOL`` others, those with the smallest hashes of
-their ids. Every document is scored from its whole text.
+the metadata (source, language, length). Both start from labelled rows; then, round by
+round, each labels all documents that it is sure of for the other. A round is one job:
+every task scores its documents with both views' weights and adds up what the sure ones
+give to the other view's next step, two matrices and two vectors of fixed size. At
+last both are calibrated on labelled rows that neither has learnt from, and their log
+odds are added to score all documents.
+
+The labelled rows are a bounded sample: at most ``LABELLED`` labelled ids, those with
+the smallest hashes. The other side has no bound: every document takes part in every
+round, all together with the weight of ``PSEUDO_WEIGHT`` times the labelled rows, so
+the result doesn't depend on how many there are. Every document is scored from its
+whole text.
 
 Defined cases: null text counts as empty; null source, lang or length is a value of
-its own; labels that are null are not used; a document labelled twice counts twice;
-without both labels in the sample every document scores the share of good labels
-(1 without any) and is kept if that is at least the threshold; repeated rows are
-scored one by one; an empty table gives no rows; other columns are kept.
+its own; labels that are null are not used; an id labelled several times has the mean
+of its labels; of several documents with a labelled id the one with the smallest hash
+is learnt from; without both labels in the sample every document scores the share of
+good labels (1 without any) and is kept if that is at least the threshold; repeated
+rows are scored one by one; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -24,19 +30,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.common import small_side
 from panelcast.session import stage
 
-#: Bounds of the sample.
+#: Bound of the labelled rows.
 LABELLED = 6_000
-POOL = 6_000
-ROUNDS = 4
-#: A view hands on rows that it is at least this sure of, with this weight.
+ROUNDS = 5
+#: A view hands on rows that it is at least this sure of; together they weigh this share
+#: of the labelled rows.
 SURE = 0.98
 PSEUDO_WEIGHT = 0.3
+RIDGE = 0.02
 #: Documents with a lower probability of being good are rejected.
 THRESHOLD = 0.5
 META_CELLS = 128
@@ -142,37 +149,43 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(slope)), float(offset)
 
 
-def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Co-training on labelled rows and a pool; every fifth labelled row calibrates."""
+def _odds(share: float) -> float:
+    return float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient of the log likelihood at weights ``w``, and a bound of its curvature
+    that holds everywhere, so that a step never overshoots."""
+    return x.T @ (y - _sigmoid(x @ w)), x.T @ x / 4
+
+
+def fit(text: np.ndarray, meta: np.ndarray, label: np.ndarray, exchange=None, rounds: int = ROUNDS) -> Model:
+    """Co-training from labelled rows; every fifth calibrates. ``exchange(model)``
+    returns for both views the number, gradient and curvature of the documents that
+    the other view is sure of, at the model's weights (None: there are none)."""
     label = label.astype(float)
-    odds = lambda share: float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     if len(label) < 20 or label.min() == label.max():
         share = min(max(label.mean() if len(label) else 1.0, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(TEXT_CELLS), np.zeros(META_CELLS), (0.0, odds(share)), (0.0, odds(share)), odds(share))
+        return Model(np.zeros(TEXT_CELLS), np.zeros(META_CELLS), (0.0, _odds(share)), (0.0, _odds(share)), _odds(share))
     check = np.arange(len(label)) % 5 == 4
-    learn = ~check
-    views = [(text.astype(float), pool_text.astype(float)), (meta.astype(float), pool_meta.astype(float))]
-    given = [np.full(len(pool_text), np.nan), np.full(len(pool_text), np.nan)]
-    weights = [np.zeros(TEXT_CELLS), np.zeros(META_CELLS)]
-    for turn in range(rounds + 1):
-        sure = []
-        for v, (own, pool) in enumerate(views):
-            known = ~np.isnan(given[v])
-            x = np.concatenate([own[learn], pool[known]])
-            y = np.concatenate([label[learn], given[v][known]])
-            w = np.concatenate([np.ones(learn.sum()), np.full(known.sum(), PSEUDO_WEIGHT)])
-            weights[v] = _logistic(x, y, w)
-            slope, offset = _calibrated(own[check] @ weights[v], label[check])
-            sure.append(_sigmoid((pool @ weights[v]) * slope + offset))
-        if turn == rounds or not len(pool_text):
-            break
-        for v in (0, 1):
-            other = sure[1 - v]
-            open_rows = np.isnan(given[v])
-            given[v][open_rows & (other >= SURE)] = 1.0
-            given[v][open_rows & (other <= 1 - SURE)] = 0.0
-    fits = [_calibrated(own[check] @ w, label[check]) for (own, _), w in zip(views, weights)]
-    return Model(weights[0], weights[1], fits[0], fits[1], odds(label.mean()))
+    views = [text.astype(float), meta.astype(float)]
+    ones = np.ones(int((~check).sum()))
+    weights = [_logistic(x[~check], label[~check], ones, RIDGE) for x in views]
+
+    def model() -> Model:
+        fits = [_calibrated(x[check] @ w, label[check]) for x, w in zip(views, weights)]
+        return Model(weights[0], weights[1], fits[0], fits[1], _odds(label.mean()))
+
+    for _ in range(rounds if exchange else 0):
+        moved = []
+        for x, w, (count, gradient, curvature) in zip(views, weights, exchange(model())):
+            g, h = _sums(x[~check], label[~check], w)
+            share = PSEUDO_WEIGHT * len(ones) / max(count, 1.0)
+            scale = RIDGE * len(ones) * (1 + PSEUDO_WEIGHT) / 100
+            step = np.linalg.solve(h + share * curvature + scale * np.eye(len(w)), g + share * gradient - scale * w)
+            moved.append(w + np.clip(step, -5, 5))
+        weights = moved
+    return model()
 
 
 def _views(batch: pa.RecordBatch, columns: tuple[str, str, str, str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,35 +199,97 @@ def _views(batch: pa.RecordBatch, columns: tuple[str, str, str, str]) -> tuple[n
     return t, m
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, columns: tuple[str, str, str, str]) -> tuple:
-    """Views and labels of the bounded sample, in the order of the hashes."""
+_NAMES = ("__text", "__source", "__lang", "__size")
+
+
+def _inputs(columns: tuple[str, str, str, str]) -> list[Column]:
+    return [F.col(c).alias(n) for c, n in zip(columns, _NAMES)]
+
+
+def sample(docs: DataFrame, labels: DataFrame, key: str, label: str, columns: tuple[str, str, str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views and the labels of the bounded sample, in the order of the hashes:
+    one row per labelled id."""
     some = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    some = some.select(F.col(key).alias("of"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(1), key).alias("h"))
-    some = stage(some.orderBy("h", "of", "label").limit(LABELLED), "labelled")
-    pool = docs.select(F.col(key).alias("of")).where("of IS NOT NULL").withColumn("h", F.xxhash64(F.lit(2), "of"))
-    pool = pool.join(small_side(some.select(F.col("of").alias("known")).distinct()), F.col("of") == F.col("known"), "left_anti")
-    pool = stage(pool.orderBy("h", "of").limit(POOL).withColumn("label", F.lit(None).cast("int")), "pool")
-    chosen = stage(some.unionByName(pool), "chosen")
+    some = some.groupBy(F.col(key).alias("of")).agg((F.avg(F.col(label).cast("int")) >= 0.5).cast("int").alias("label"))
+    some = stage(some.withColumn("h", F.xxhash64(F.lit(1), "of")).orderBy("h", "of").limit(LABELLED), "labelled")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, m = _views(b, ("__text", "__source", "__lang", "__size"))
+            t, m = _views(b, _NAMES)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x.tobytes() for x in t]), pa.array([x.tobytes() for x in m])],
                 names=["label", "h", "t", "m"],
             )
 
-    names = [F.col(c).alias(n) for c, n in zip(columns, ("__text", "__source", "__lang", "__size"))]
-    rows = docs.select(F.col(key).alias("__key"), *names).join(small_side(chosen), F.col("__key") == F.col("of"))
-    got = rows.select("label", "h", "__text", "__source", "__lang", "__size").mapInArrow(run, "label int, h long, t binary, m binary")
-    found = sorted(got.collect(), key=lambda r: (r.h, r.t, r.m))
-    array = lambda rows, field, width: np.stack([np.frombuffer(r[field], np.float32) for r in rows]) if rows else np.zeros((0, width), np.float32)
-    known = [r for r in found if r.label is not None]
-    other = [r for r in found if r.label is None]
-    return (
-        array(known, "t", TEXT_CELLS), array(known, "m", META_CELLS), np.array([r.label for r in known]),
-        array(other, "t", TEXT_CELLS), array(other, "m", META_CELLS),
-    )
+    rows = docs.select(F.col(key).alias("__key"), *_inputs(columns)).join(small_side(some), F.col("__key") == F.col("of"))
+    one = F.min_by(F.struct(*_NAMES), F.xxhash64(*_NAMES)).alias("d")
+    rows = rows.groupBy("of", "h", "label").agg(one).select("label", "h", "d.*")
+    found = sorted(rows.mapInArrow(run, "label int, h long, t binary, m binary").collect(), key=lambda r: (r.h, r.t, r.m))
+    array = lambda field, width: np.stack([np.frombuffer(r[field], np.float32) for r in found]) if found else np.zeros((0, width), np.float32)
+    return array("t", TEXT_CELLS), array("m", META_CELLS), np.array([r.label for r in found])
+
+
+def described(docs: DataFrame, columns: tuple[str, str, str, str]) -> DataFrame:
+    """The text view of all documents in half precision, written once, beside what
+    the metadata view needs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = [text_view(x.as_py()).astype(np.float16).tobytes() for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), *b.columns[1:]], names=["__text_view", *_NAMES[1:]])
+
+    rows = docs.select(*_inputs(columns))
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes[1:])
+    return stage(rows.mapInArrow(run, f"__text_view binary, {kinds}"), "views")
+
+
+def exchanged(views: DataFrame, model: Model) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For the text and the metadata view: number, gradient and curvature of all
+    documents that the other one is sure of. Each task adds its own up; the sums have
+    a fixed size, and their parts are added in parallel."""
+    shared = views.sparkSession.sparkContext.broadcast(model)
+    sizes = (TEXT_CELLS, META_CELLS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        sums = [[0.0, np.zeros(n), np.zeros((n, n))] for n in sizes]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2_000):
+                b = whole.slice(lo, 2_000)
+                text = np.stack([np.frombuffer(x.as_py(), np.float16) for x in b.column(0)]).astype(np.float32)
+                meta = np.stack([meta_view(*k) for k in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))])
+                by_text, by_meta, _ = model.scores(text, meta)
+                for own, x, w, other in ((sums[0], text, model.text, by_meta), (sums[1], meta, model.meta, by_text)):
+                    sure = (other >= SURE) | (other <= 1 - SURE)
+                    g, h = _sums(x[sure], (other[sure] >= 0.5).astype(np.float32), w.astype(np.float32))
+                    own[0] += float(sure.sum())
+                    own[1] += g
+                    own[2] += h
+        for v, (count, g, h) in enumerate(sums):
+            # Row 0 holds the number and the gradient, the others the curvature.
+            table = np.vstack([np.append(g, count)[None, :], np.hstack([h, np.zeros((len(g), 1))])])
+            yield pa.RecordBatch.from_pydict({
+                "view": pa.array([v] * len(table), pa.int32()), "row": pa.array(range(len(table)), pa.int32()),
+                "v": pa.array([r.tobytes() for r in table], pa.binary()),
+            })
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for v, r, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                total[v, r] = total.get((v, r), 0.0) + np.frombuffer(x)
+        if total:
+            yield pa.RecordBatch.from_pydict({
+                "view": pa.array([v for v, _ in total], pa.int32()), "row": pa.array([r for _, r in total], pa.int32()),
+                "v": pa.array([x.tobytes() for x in total.values()], pa.binary()),
+            })
+
+    kinds = "view int, row int, v binary"
+    parts = views.mapInArrow(run, kinds).repartition(16, "view", "row").mapInArrow(added, kinds).collect()
+    out = [np.zeros((n + 1, n + 1)) for n in sizes]
+    for r in parts:
+        out[r.view][r.row] = np.frombuffer(r.v)
+    return [(float(x[0, -1]), x[0, :-1], x[1:, :-1]) for x in out]
 
 
 COLUMNS = ("text", "source", "lang", "n_chars")
@@ -227,11 +302,18 @@ def score(
 ) -> DataFrame:
     """``docs`` with both views' probabilities, their combination and ``keep``. The
     new columns, named with ``prefix``, replace columns of the same names."""
-    model = fit(*sample(docs, labels, key, label, columns))
+    known = sample(docs, labels, key, label, columns)
+    views = None
+
+    def exchange(model: Model) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        nonlocal views
+        views = described(docs, columns) if views is None else views
+        return exchanged(views, model)
+
+    model = fit(*known, exchange)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [prefix + n for n in SCORES]
     kept = [c for c in docs.columns if c not in names]
-    extra = [F.col(c).alias(n) for c, n in zip(columns, ("__text", "__source", "__lang", "__size"))]
     schema = docs.select(kept).schema
     for n in names:
         schema = schema.add(n, "boolean" if n == names[-1] else "double")
@@ -240,10 +322,10 @@ def score(
         for batch in batches:
             for lo in range(0, batch.num_rows, 1_000):
                 b = batch.slice(lo, 1_000)
-                t, m, s = shared.value.scores(*_views(b, ("__text", "__source", "__lang", "__size")))
+                t, m, s = shared.value.scores(*_views(b, _NAMES))
                 yield pa.RecordBatch.from_arrays(
                     [*(b.column(i) for i in range(len(kept))), pa.array(t, pa.float64()), pa.array(m, pa.float64()), pa.array(s, pa.float64()), pa.array(s >= threshold)],
                     names=[*kept, *names],
                 )
 
-    return docs.select(*kept, *extra).mapInArrow(run, schema)
+    return docs.select(*kept, *_inputs(columns)).mapInArrow(run, schema)
