@@ -9,7 +9,7 @@ from panelcast.catalog.registry import Data, define_cte, query, tail_sql
 from panelcast.catalog.stats import ANALYSED, analysis
 from panelcast.operators import arma, backtest, clean, evaluate, forecast, grid, hierarchy, insight, models, rollup, stats, store
 from panelcast.operators import features as FE
-from panelcast.plans import forecasting, interpretation
+from panelcast.plans import forecasting, interpretation, modelling
 from panelcast.session import new_path, stage
 from panelcast.sources import panel as P
 from panelcast.sources import sinks
@@ -208,11 +208,9 @@ def rolling_scores(data: Data) -> DataFrame:
 
 
 def _modelling(data: Data) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows whose features see only the past."""
-    panel = data.staged_panel()
-    fit, _ = clean.time_split(panel)
-    ready = FE.engineer(panel, exclude_current=True, fit_on=fit)
-    return clean.time_split(stage(ready, "features"))
+    """Training and validation rows of the modelling plan."""
+    sets = modelling.run(data.panel())
+    return sets.train, sets.validation
 
 
 #: One or more of each kind of engineered feature; where several say nearly the same
@@ -344,42 +342,63 @@ def arma_coefficients(data: Data) -> DataFrame:
     return arma.coefficients(model, data.spark)
 
 
+_SEQUENCE_FEATURES = ["weekly_sales", "is_holiday", *DEFAULT.covariates, *DEFAULT.promos]
+
+
+def _sequence_sql(keys: str, features: list[str], source: str) -> str:
+    """Scaled lags 1 to 5 of all features, per series."""
+    scale = ", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) AS s_{f}" for f in features)
+    lags = ", ".join(f"coalesce((lag({f}, {k}) OVER w - m_{f}) / s_{f}, 0) AS {f}_{k}" for f in features for k in range(5, 0, -1))
+    return f"""WITH r AS ({source}), m AS (SELECT {scale} FROM r, cut WHERE date < start)
+    SELECT {keys}, date, weekly_sales AS label, CASE WHEN is_holiday = 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+      CASE WHEN date < start THEN 'train' ELSE 'validation' END AS part, {lags}
+    FROM r, m, cut WINDOW w AS (PARTITION BY {keys} ORDER BY date) QUALIFY row_number() OVER w > 5"""
+
+
+def _sequence_round(features: list[str]) -> str:
+    return " ".join(f"{f}_{k}" for f in features for k in range(1, 6))
+
+
+_MEANS = ", ".join(f"avg({c}) AS {c}" for c in DEFAULT.covariates) + ", " + ", ".join(f"sum({c}) AS {c}" for c in DEFAULT.promos)
+_ROLLED = f"SELECT {{keys}}, date, sum(weekly_sales) AS weekly_sales, max(CAST(is_holiday AS INTEGER)) AS is_holiday, {_MEANS} FROM panel GROUP BY {{keys}}, date"
+
+
+def _sequence_cells(data: Data, keys: list[str]) -> DataFrame:
+    """The sets written as a training data set and read back, cell by cell."""
+    sets = models.sequence_sets(data.staged_panel(), _SEQUENCE_FEATURES, keys=keys)
+    path = new_path(data.spark, "sequences")
+    models.write_sequence_sets(sets, path)
+    back = data.spark.read.schema(sets.schema).parquet(path)
+    return models.cells(back, _SEQUENCE_FEATURES)
+
+
+@query("m9_sequence_sets", _sequence_sql("store", _SEQUENCE_FEATURES, _ROLLED.format(keys="store")), r6=_sequence_round(_SEQUENCE_FEATURES))
+def sequence_sets(data: Data) -> DataFrame:
+    return _sequence_cells(data, ["store"])
+
+
 @query(
-    "m9_sequence_sets",
-    """WITH r AS (SELECT store, date, sum(weekly_sales) AS weekly_sales, max(CAST(is_holiday AS INTEGER)) AS h,
-      avg(cpi) AS cpi FROM panel GROUP BY store, date),
-    m AS (SELECT avg(weekly_sales) AS ms, stddev_pop(weekly_sales) AS ss, avg(cpi) AS mc, stddev_pop(cpi) AS sc
-      FROM r, cut WHERE date < start)
-    SELECT store, date, weekly_sales AS label, CASE WHEN h = 1 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
-      CASE WHEN date < start THEN 'train' ELSE 'validation' END AS part,
-      (lag(weekly_sales, 5) OVER w - ms) / ss AS first_sales, coalesce((lag(cpi, 1) OVER w - mc) / sc, 0) AS last_cpi
-    FROM r, m, cut WINDOW w AS (PARTITION BY store ORDER BY date) QUALIFY row_number() OVER w > 5""",
-    r6="first_sales last_cpi",
+    "m9_sequence_sets_by_series", _sequence_sql("store, dept", _SEQUENCE_FEATURES, _ROLLED.format(keys="store, dept")),
+    r6=_sequence_round(_SEQUENCE_FEATURES),
 )
-def sequence_sets(data: Data) -> DataFrame:
-    sets = models.sequence_sets(data.staged_panel(), ["weekly_sales", "cpi"])
-    cells = [F.col("sequence")[0][0].alias("first_sales"), F.col("sequence")[4][1].alias("last_cpi")]
-    return sets.select("store", "date", "label", "weight", "part", *cells)
+def series_sequence_sets(data: Data) -> DataFrame:
+    return _sequence_cells(data, ["store", "dept"])
+
+
+_PLAIN = ["weekly_sales", "temperature", "promo_total"]
 
 
 @query(
     "w12_sequences",
-    """SELECT store, dept, date, weekly_sales AS label, CASE WHEN is_holiday THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
-    lag(weekly_sales, 5) OVER w AS first_sales, lag(weekly_sales, 1) OVER w AS last_sales
-    FROM train WINDOW w AS (PARTITION BY store, dept ORDER BY date)
-    QUALIFY row_number() OVER w > 5""",
+    """WITH p AS (SELECT *, """ + " + ".join(f"coalesce({c}, 0)" for c in DEFAULT.promos) + """ AS promo_total FROM panel)
+    SELECT store, dept, date, weekly_sales AS label, CASE WHEN is_holiday THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, """
+    + ", ".join(f"coalesce(lag({f}, {k}) OVER w, 0) AS {f}_{k}" for f in _PLAIN for k in range(5, 0, -1))
+    + " FROM p WINDOW w AS (PARTITION BY store, dept ORDER BY date) QUALIFY row_number() OVER w > 5",
+    r4=_sequence_round(_PLAIN),
 )
 def sequences(data: Data) -> DataFrame:
-    out = models.sequences(data.train(), ["weekly_sales"])
-    return out.select(
-        "store",
-        "dept",
-        "date",
-        "label",
-        "weight",
-        F.col("sequence")[0][0].alias("first_sales"),
-        F.col("sequence")[4][0].alias("last_sales"),
-    )
+    """Every cell of the sequences of each series."""
+    return models.cells(models.sequences(FE.add_promos(data.panel()), _PLAIN), _PLAIN)
 
 
 # --- hierarchy ------------------------------------------------------------------------

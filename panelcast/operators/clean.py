@@ -49,9 +49,10 @@ def impute(
     return carry.fill_across(out, todo, spec) if across else fill_within(out, todo)
 
 
-def mean_impute(df: DataFrame, cols: list[str]) -> DataFrame:
-    s = scalars(df, **{c: F.avg(c) for c in cols})
-    return df.withColumns({c: F.coalesce(F.col(c), s[c]) for c in cols})
+def mean_impute(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """Empty cells take the mean of their column, in ``fit_on`` if that is given."""
+    s = scalars(df if fit_on is None else fit_on, **{c: F.avg(c) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), s[c]) for c in cols})
 
 
 def validation_start(df: DataFrame, n: int = 8, spec: PanelSpec = DEFAULT) -> DataFrame:

@@ -46,19 +46,33 @@ def sequences(
 
 
 def sequence_sets(
-    panel: DataFrame, features: Sequence[str], n_val: int = 8, length: int = 5, spec: PanelSpec = DEFAULT
+    panel: DataFrame, features: Sequence[str], n_val: int = 8, length: int = 5, spec: PanelSpec = DEFAULT,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Site-level roll-up, scaled on the training dates and cut into sequences
-    over the whole panel, each marked by the part its target date belongs to."""
-    sites = rollup.rollup_panel(panel, [spec.top, spec.time], spec)
+    """Rows of the grain ``keys`` (sites by default), scaled on the training dates and
+    cut into sequences over the whole panel, each marked by the part its target date
+    belongs to. A window over a series needs no more than the calendar's rows."""
+    keys = [spec.top] if keys is None else list(keys)
+    sites = rollup.rollup_panel(panel, [*keys, spec.time], spec)
     start = clean.validation_start(sites, n_val, spec).scalar()
     fit = sites.where(F.col(spec.time) < start)
     filled = clean.fill_within(clean.scale(sites, list(features), fit), [f"{c}_scaled" for c in features])
-    out = sequences(filled, [f"{c}_scaled" for c in features], length, [spec.top], spec)
+    out = sequences(filled, [f"{c}_scaled" for c in features], length, keys, spec)
     part = F.when(F.col(spec.time) < start, "train").otherwise("validation")
     return out.withColumn("part", part)
 
 
+def cells(sets: DataFrame, features: Sequence[str], length: int = 5) -> DataFrame:
+    """Sequences as plain columns ``<feature>_<step>``, the last step being 1."""
+    flat = [F.col("sequence")[length - k][i].alias(f"{f}_{k}") for i, f in enumerate(features) for k in range(length, 0, -1)]
+    return sets.select(*[c for c in sets.columns if c != "sequence"], *flat)
+
+
+def write_sequence_sets(sets: DataFrame, path: str) -> None:
+    """The sets as a data set for training: one folder per part, written by the tasks."""
+    sets.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
 def assemble(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
     """Feature vector with nulls as 0."""
     ready = df.withColumns({f"_v_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
