@@ -255,6 +255,27 @@ def seasonal_regression(data: Data) -> DataFrame:
     return models.SeasonalRegression().run(panel, P.event_calendar(panel), covariates)
 
 
+@query("m7_multiplicative")
+def multiplicative_regression(data: Data) -> DataFrame:
+    """The product form, with limits by the number of steps ahead."""
+    panel = FE.add_promos(data.staged_panel())
+    covariates = [*DEFAULT.covariates, "promo_total"]
+    return models.MultiplicativeRegression().run(panel, P.event_calendar(panel), covariates)
+
+
+@query(
+    "m7_multiplicative_cells",
+    """WITH s AS (SELECT CAST(row_number() OVER (ORDER BY date) AS INTEGER) AS step, date FROM (SELECT DISTINCT date FROM train, cut WHERE date >= start)),
+    k AS (SELECT DISTINCT store, dept FROM train, cut WHERE date < start)
+    SELECT t.store, t.dept, t.date, s.step, t.weekly_sales AS actual, k.store IS NOT NULL AS forecast
+    FROM train t JOIN s ON s.date = t.date LEFT JOIN k ON k.store = t.store AND k.dept = t.dept""",
+)
+def multiplicative_cells(data: Data) -> DataFrame:
+    """The cells that ``m7_multiplicative`` answers, their steps and limits in order."""
+    known = F.col("predicted").isNotNull() & (F.col("lower") <= F.col("upper"))
+    return multiplicative_regression(data).select("store", "dept", "date", "step", "actual", known.alias("forecast"))
+
+
 @query("m8_differenced_autoregression")
 def differenced_autoregression(data: Data) -> DataFrame:
     covariates = list(DEFAULT.covariates)
@@ -1062,6 +1083,7 @@ def fitted_ranking(data: Data) -> DataFrame:
     fitted = {
         "forest": (forest_forecast(data, trees=20, depth=8), "Machine learning", 2, weights),
         "seasonal_regression": (seasonal_regression(data), "Statistical", 2, weights),
+        "multiplicative": (multiplicative_regression(data), "Statistical", 2, weights),
         "autoregression": (differenced_autoregression(data), "Statistical", 1, store.weights_by_week(panel)),
         "seasonal_arma": (seasonal_arma(data), "Statistical", 1, store.weights_by_week(panel)),
     }

@@ -23,6 +23,8 @@ from panelcast.functions import scalars as S
 from panelcast.functions import windows as WF
 from panelcast.operators import clean, rollup
 from panelcast.operators.joins import lookup_join
+from panelcast.operators.quantiles import quantile_columns
+from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
 
@@ -195,6 +197,81 @@ class SeasonalRegression:
         )
 
 
+@dataclass(frozen=True)
+class MultiplicativeRegression(SeasonalRegression):
+    """The same design as a product: a series' level times the exponential of trend,
+    season, events and covariates, fitted by reweighted least squares on the log link.
+
+    The level keeps its sign and the fit asks only for weighted sums of errors, so zero
+    and negative sales are rows like others. Limits come from a fit that ends one
+    horizon earlier: the quantiles of its errors, relative to the series' size, by the
+    number of steps ahead.
+    """
+
+    rounds: int = 6
+    largest: float = 5.0
+    coverage: float = 0.95
+
+    def _fit(self, rows: DataFrame, start: Column, names: list[str], spec: PanelSpec) -> tuple[DataFrame, Column]:
+        """``rows`` with ``_level`` and ``_size`` of the values before ``start``, and the
+        exponent as a column; series without a known value there have neither."""
+        y = F.col(spec.target).cast("double")
+        known = rows.where((F.col(spec.time) < start) & y.isNotNull())
+        level = known.groupBy(*spec.keys).agg(F.avg(F.abs(y)).alias("_size"), F.avg(y).alias("_level"))
+        level = level.withColumn("_size", F.when(F.col("_size") == 0, 1.0).otherwise(F.col("_size")))
+        rows = lookup_join(rows, level, list(spec.keys), "left", computed=True)
+        # A level near 0 says little of the product: its weight goes with its square.
+        sound = F.pow(F.col("_level") / F.col("_size"), 2) * S.event_weight(F.col(spec.event))
+        fit = rows.where((F.col(spec.time) < start) & y.isNotNull() & (F.col("_level") != 0))
+        fit = stage(assemble(fit.withColumns({"_v": y / F.col("_level"), "_w": sound}), names).select("features", "_v", "_w"), "fit")
+        exponent: Column = F.lit(0.0)
+        solver = LinearRegression(featuresCol="features", labelCol="_z", weightCol="_u", regParam=self.ridge, elasticNetParam=0.0)
+        model = None
+        if fit.isEmpty():
+            return rows, exponent
+        for _ in range(self.rounds):
+            done = fit.withColumn("_eta", F.lit(0.0)) if model is None else model.setPredictionCol("_eta").transform(fit)
+            eta = F.greatest(F.lit(-self.largest), F.least(F.lit(self.largest), F.col("_eta")))
+            mean = F.exp(eta)
+            model = solver.fit(done.withColumns({"_z": eta + F.col("_v") / mean - 1, "_u": F.col("_w") * mean}))
+        for c, b in zip(names, model.coefficients):
+            exponent = exponent + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(b))
+        exponent = exponent + F.lit(float(model.intercept))
+        return rows, F.greatest(F.lit(-self.largest), F.least(F.lit(self.largest), exponent))
+
+    def run(
+        self, panel: DataFrame, calendar: DataFrame, covariates: Sequence[str], n_val: int = 8, spec: PanelSpec = DEFAULT,
+    ) -> DataFrame:
+        """Forecasts and limits for the validation rows, with their step. A series with
+        no known training value has none; one of level 0 has the forecast 0. Where no
+        series reaches a step in the earlier fit, the limits are null."""
+        starts = [clean.validation_start(panel, n, spec).scalar() for n in (2 * n_val, n_val)]
+        fit = panel.where(F.col(spec.time) < starts[0])
+        span = fit.agg(F.struct(F.min(spec.time).alias("lo"), F.max(spec.time).alias("hi"))).scalar()
+        rows, names = self.design(clean.scale(panel, list(covariates), fit), calendar, span, covariates, spec)
+        rows = stage(rows, "design")
+        dates = rows.select(spec.time).distinct().agg(F.sort_array(F.collect_list(spec.time)).alias("d")).scalar()
+        y = F.col(spec.target).cast("double")
+
+        def forecasts(i: int) -> DataFrame:
+            out, exponent = self._fit(rows, starts[i], names, spec)
+            until = F.col(spec.time) < starts[1] if i == 0 else F.lit(True)
+            position = F.array_position(dates, F.col(spec.time)) - F.array_position(dates, starts[i]) + 1
+            predicted = F.col("_level") * F.exp(exponent)
+            out = out.where((F.col(spec.time) >= starts[i]) & until)
+            return out.select(*spec.keys, spec.time, position.cast("int").alias("step"), y.alias("actual"), predicted.alias("predicted"), "_size")
+
+        before = stage(forecasts(0).withColumn("_r", (F.col("actual") - F.col("predicted")) / F.col("_size")), "errors")
+        tail = (1 - self.coverage) / 2
+        limits = quantile_columns(before, "_r", {"_lo": tail, "_hi": 1 - tail}, ["step"])
+        out = forecasts(1).join(F.broadcast(stage(limits, "limits")), "step", "left")
+        return out.select(
+            *spec.keys, spec.time, "step", "actual", "predicted",
+            (F.col("predicted") + F.col("_lo") * F.col("_size")).alias("lower"),
+            (F.col("predicted") + F.col("_hi") * F.col("_size")).alias("upper"),
+        )
+
+
 # --- differenced autoregression -----------------------------------------------------------
 
 
