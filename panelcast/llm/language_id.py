@@ -20,7 +20,6 @@ are predicted one by one; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,7 +43,6 @@ AT_ONCE = 8_192
 #: rarer ones of the samples are kept apart.
 ALPHABET = 80
 
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(key: Column) -> Column:
@@ -116,6 +114,11 @@ def transitions(symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return table.dense[:states], np.array(rare, np.int64).reshape(-1, 3)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is of a letter category; number forms are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -185,7 +188,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        which = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        which = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for lo in range(0, len(which), 512):
             part = which[lo : lo + 512]
             points = [code_points(texts[i]) for i in part]
@@ -234,16 +237,17 @@ def fit(sample: tuple[tuple[str, str], ...], sample_chars: int = SAMPLE_CHARS) -
 
 
 def sample_rows(docs: DataFrame, key: str, text: str, lang: str, learn: Column, seed: int = 7) -> tuple[tuple[str, str], ...]:
-    """A bounded sample per language, the same on every run: the rows with the
-    smallest hashes of id and length."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).alias("lang"), F.xxhash64(F.lit(seed), F.col(key), F.length(text)).alias("h")
-    )
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = stage(rows.withColumn("n", order).where(F.col("n") <= SAMPLE_DOCS).select(F.col("lang").alias("of"), F.col("h").alias("at")), "sample")
-    h = F.xxhash64(F.lit(seed), F.col(key), F.length(text))
-    texts = docs.where(learn).join(small_side(chosen), (F.col(lang) == F.col("of")) & (h == F.col("at")))
-    found = texts.select("of", "at", F.substring(F.col(text), 1, DOC_CHARS).alias("text")).dropDuplicates(["of", "at"])
+    """A bounded sample per language, the same on every run: a passage of each of the
+    distinct texts with the smallest hashes."""
+    h = F.xxhash64(F.lit(seed), F.col(text))
+    known = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
+    rows = known.select(F.col(lang).alias("of"), h.alias("at")).distinct()
+    order = F.row_number().over(Window.partitionBy("of").orderBy("at"))
+    chosen = stage(rows.withColumn("n", order).where(F.col("n") <= SAMPLE_DOCS).select("of", "at"), "sample")
+    texts = known.join(small_side(chosen), (F.col(lang) == F.col("of")) & (h == F.col("at")))
+    room = F.greatest(F.length(text) - DOC_CHARS, F.lit(0)) + 1
+    passage = F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(seed + 1), "at"), room) + 1).cast("int"), F.lit(DOC_CHARS))
+    found = texts.select("of", "at", passage.alias("text")).dropDuplicates(["of", "at"])
     return tuple((r.of, r.text) for r in found.orderBy("of", "at").collect())
 
 
