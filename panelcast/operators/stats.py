@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -136,21 +137,29 @@ def predictive_gain(
     """R² of the target on its own two lags, and with two lags of a feature.
 
     The data is reduced to one covariance matrix per feature. Eliminating the
-    regressors from it one by one leaves the target's unexplained variance.
+    regressors from it one by one leaves the target's unexplained variance. A lag is
+    the row before on which target and feature are known: all features take theirs
+    from one window over the series, and no row is copied per feature. The
+    co-moments are merged with their means, so a large offset costs no digits.
     """
-    long = df.select(*keys, time, F.col(target).cast("double").alias("y"), *features)
-    long = long.unpivot([*keys, time, "y"], list(features), "feature", "x")
-    long = long.where("x is not null and y is not null")
-    w = W.partitionBy("feature", *keys).orderBy(time)
-    lags = {f"{c}{k}": F.lag(c, k).over(w) for c in ("y", "x") for k in (1, 2)}
-    rows = long.select("feature", "y", *[e.alias(n) for n, e in lags.items()]).dropna()
-    names = ["y", *lags]
-    cov = [
-        F.covar_pop(a, b).alias(_cell(a, b)) for i, a in enumerate(names) for b in names[i:]
-    ]
-    spread = [F.var_pop(v).alias(f"v_{v}") for v in names]
-    table = rows.groupBy("feature").agg(F.count("*").alias("n"), *cov, *spread)
-    table = table.where(F.col("n") + 2 > least)
+    y, names, wide, structs = F.col(target).cast("double"), ["y", "y1", "y2", "x1", "x2"], {}, []
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        wide[f"_{i}_y"], wide[f"_{i}_x"] = F.when(x.isNotNull(), y), F.when(y.isNotNull(), x)
+    rows = df.select(*keys, time, *[c.alias(n) for n, c in wide.items()])
+    rows = rows.select("*", *[_lag_known(c, k, keys, time).alias(f"{c}{k}") for c in wide for k in (1, 2)])
+    for i, f in enumerate(features):
+        full = reduce(Column.__and__, [F.col(f"_{i}_{n}").isNotNull() for n in names])
+        cell = {n: F.when(full, F.col(f"_{i}_{n}")) for n in names}
+        structs.append(
+            F.struct(
+                F.lit(f).alias("feature"),
+                F.count_if(full).alias("n"),
+                *[F.covar_pop(cell[a], cell[b]).alias(_cell(a, b)) for j, a in enumerate(names) for b in names[j:]],
+                *[F.var_pop(cell[n]).alias(f"v_{n}") for n in names],
+            )
+        )
+    table = _as_rows(rows, (), structs).where(F.col("n") + 2 > least)
     own = eliminate(eliminate(table, names, "y1"), names[:1] + names[2:], "y2")
     own = own.withColumn("r2_without", 1 - S.ratio(F.col(_cell("y", "y")), F.col("v_y")))
     both = eliminate(eliminate(own, ["y", "x1", "x2"], "x1"), ["y", "x2"], "x2")
@@ -161,6 +170,12 @@ def predictive_gain(
     )
 
 
+def _lag_known(col: str, k: int, keys: Sequence[str], time: str) -> Column:
+    """The k-th known value before a row of its series."""
+    by = ", ".join(f"`{c}`" for c in keys)
+    return F.expr(f"lag(`{col}`, {k}) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{time}`)")
+
+
 def _cell(a: str, b: str) -> str:
     return f"c_{min(a, b)}_{max(a, b)}"
 

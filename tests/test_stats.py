@@ -154,3 +154,34 @@ def test_findings_respect_subject_and_higher_threshold(spark):
         ("risk", "High Forecast Error", "n", "High"),
     }
     assert insight.with_text(found).where(F.col("text").contains("importance of promo_total is 0.850")).count() == 2
+
+
+def test_predictive_gain_skips_unknown_rows_and_keeps_digits(spark, week):
+    """Lags are the rows before on which both are known; an offset of 1e9 costs nothing."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(3):
+        x, z = rng.normal(0, 1, 90), rng.normal(0, 1, 90)
+        y = np.zeros(90)
+        for t in range(2, 90):
+            y[t] = 0.4 * y[t - 1] + 0.5 * x[t - 1] + rng.normal(0, 0.5)
+        rows += [(s, week(t), None if t % 17 == 3 else float(y[t]), None if t % 7 == s else float(x[t]), float(z[t]), 1.0) for t in range(90)]
+    df = spark.createDataFrame(rows, "store int, date date, y double, x double, z double, flat double")
+    got = {r.feature: r for r in stats.predictive_gain(df, "y", ["x", "z", "flat"], ["store"], "date").collect()}
+    for name, at in (("x", 3), ("z", 4)):
+        full = []
+        for s in range(3):
+            own = [(r[2], r[at]) for r in rows if r[0] == s and r[2] is not None and r[at] is not None]
+            full += [(own[i][0], own[i - 1][0], own[i - 2][0], own[i - 1][1], own[i - 2][1]) for i in range(2, len(own))]
+        table = np.array(full)
+        for width, value in ((2, got[name].r2_without), (4, got[name].r2_with)):
+            a = np.column_stack([np.ones(len(table)), table[:, 1 : 1 + width]])
+            left = table[:, 0] - a @ np.linalg.lstsq(a, table[:, 0], rcond=None)[0]
+            assert value == pytest.approx(1 - left.var() / table[:, 0].var(), abs=1e-9)
+        assert got[name].n == len(table)
+    assert got["x"].significant and not got["z"].significant and got["flat"].gain == pytest.approx(0, abs=1e-12)
+    far = df.withColumns({"y": F.col("y") + 1e9, "x": F.col("x") + 1e9})
+    moved = stats.predictive_gain(far, "y", ["x"], ["store"], "date").first()
+    assert moved.r2_with == pytest.approx(got["x"].r2_with, abs=1e-6)
+    plan = stats.predictive_gain(df, "y", ["x", "z", "flat"], ["store"], "date")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Window ") == 1
