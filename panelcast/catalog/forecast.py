@@ -1327,12 +1327,11 @@ def json_report(data: Data) -> DataFrame:
     return data.spark.read.text(path)
 
 
-@query(
-    "s4_json_metrics",
-    "SELECT model, model_type, n FROM scores",
-)
+@query("s4_json_metrics", "SELECT * FROM scores", r4=_SCORES, r6="r2")
 def json_metrics(data: Data) -> DataFrame:
-    """Metrics as one JSON document per model, parsed again."""
-    documents = sinks.to_json_documents(evaluate.accuracy(results(data)), "model")
-    parsed = F.from_json("document", "model_type string, n bigint")
-    return documents.select("model", parsed["model_type"].alias("model_type"), parsed["n"].alias("n"))
+    """Every metric, as one JSON document per model, parsed again."""
+    scores = evaluate.accuracy(results(data))
+    documents = sinks.to_json_documents(scores, "model")
+    fields = [f for f in scores.schema.fields if f.name != "model"]
+    parsed = F.from_json("document", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
+    return documents.select("model", *[parsed[f.name].alias(f.name) for f in fields])

@@ -11,6 +11,7 @@ from panelcast.operators import clean, profile, rollup
 from panelcast.operators import features as FE
 from panelcast.operators.joins import lookup_join
 from panelcast.operators.quantiles import exact_quantiles
+from panelcast.session import stage
 from panelcast.sources import panel as P
 from panelcast.spec import DEFAULT
 
@@ -325,26 +326,27 @@ def rollup_store_date(data: Data) -> DataFrame:
     return rollup.rollup_panel(data.panel(), ["store", "date"], promo="mean")
 
 
+_RESAMPLED = [*DEFAULT.covariates, DEFAULT.event]
+
+
 @query(
     "a16_weekly_resample",
-    """WITH x AS (SELECT store, dept, date + (7 - isodow(date))::INT AS date, sum(weekly_sales) AS y,
-      avg(temperature) AS temperature, max(CAST(is_holiday AS DOUBLE)) AS is_holiday FROM panel GROUP BY 1, 2, 3),
+    f"""WITH x AS (SELECT store, dept, date + (7 - isodow(date))::INT AS date, sum(weekly_sales) AS y,
+      {", ".join(f"avg({c}) AS {c}" for c in DEFAULT.covariates)}, max(CAST(is_holiday AS DOUBLE)) AS is_holiday FROM panel GROUP BY 1, 2, 3),
     g AS (SELECT store, dept, CAST(unnest(generate_series(min(date), max(date), INTERVAL 7 DAY)) AS DATE) AS date
       FROM x GROUP BY store, dept),
-    j AS (SELECT g.*, x.y, x.temperature, x.is_holiday FROM g LEFT JOIN x USING (store, dept, date)),
+    j AS (SELECT g.*, x.* EXCLUDE (store, dept, date) FROM g LEFT JOIN x USING (store, dept, date)),
     f AS (SELECT store, dept, date, coalesce(y, 0) AS weekly_sales,
-      coalesce(last_value(temperature IGNORE NULLS) OVER a, first_value(temperature IGNORE NULLS) OVER b) AS temperature,
-      coalesce(last_value(is_holiday IGNORE NULLS) OVER a, first_value(is_holiday IGNORE NULLS) OVER b) AS is_holiday
+      {", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER a, first_value({c} IGNORE NULLS) OVER b) AS {c}" for c in _RESAMPLED)}
       FROM j WINDOW a AS (PARTITION BY store, dept ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
       b AS (PARTITION BY store, dept ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT store, dept, date, weekly_sales,
-      coalesce(temperature, (SELECT quantile_cont(temperature, 0.5) FROM x)) AS temperature,
-      coalesce(is_holiday, (SELECT quantile_cont(is_holiday, 0.5) FROM x)) AS is_holiday FROM f""",
-    r4="temperature",
+      {", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM x)) AS {c}" for c in _RESAMPLED)} FROM f""",
+    r4=" ".join(DEFAULT.covariates),
 )
 def weekly_resample(data: Data) -> DataFrame:
     return rollup.resample_weekly(
-        data.staged_panel(), DEFAULT, ["store", "dept"], ["weekly_sales"], ["temperature"], ["is_holiday"]
+        data.staged_panel(), DEFAULT, ["store", "dept"], ["weekly_sales"], list(DEFAULT.covariates), ["is_holiday"]
     )
 
 
@@ -435,6 +437,24 @@ def histogram_log(data: Data) -> DataFrame:
     return profile.histogram(logs, "l", 30)
 
 
+for _column in DEFAULT.covariates:
+
+    def _histogram(data: Data, column: str = _column) -> DataFrame:
+        return profile.histogram(data.staged_panel(), column, 30)
+
+    query(f"a22_histogram_{_column}", histogram_sql("panel", _column, 30), r4="left_edge")(_histogram)
+
+
+@query(
+    "a22_histogram_departments",
+    histogram_sql("(SELECT sum(weekly_sales) AS total FROM train GROUP BY dept)", "total", 20),
+    r4="left_edge",
+)
+def histogram_departments(data: Data) -> DataFrame:
+    totals = data.train().groupBy("dept").agg(F.sum("weekly_sales").alias("total"))
+    return profile.histogram(stage(totals, "totals"), "total", 20)
+
+
 @query("a22_histogram_size", histogram_sql("panel", "size", 20), r4="left_edge")
 def histogram_size(data: Data) -> DataFrame:
     return profile.histogram(data.staged_panel(), "size", 20)

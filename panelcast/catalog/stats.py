@@ -100,7 +100,7 @@ def promo_matrix(data: Data) -> DataFrame:
     return stats.correlation_matrix(data.panel(), PROMOS)
 
 
-MATRIX = ["weekly_sales", *COVARIATES, "size", "markdown1"]
+MATRIX = ["weekly_sales", *COVARIATES, "size", *PROMOS]
 
 
 @query(

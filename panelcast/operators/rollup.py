@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import windows as WF
 from panelcast.operators.quantiles import exact_quantiles
+from panelcast.session import stage
 from panelcast.spec import DEFAULT, PanelSpec
 
 
@@ -38,19 +39,25 @@ def resample_weekly(
     week_end = F.next_day(F.date_sub(spec.time, 1), "SUN")
     aggs = [F.sum(c).alias(c) for c in sums] + [F.avg(c).alias(c) for c in means]
     aggs += [F.max(F.col(c).cast("double")).alias(c) for c in flags]
-    weeks = df.groupBy(*by, week_end.alias(spec.time)).agg(*aggs)
+    gaps = [*means, *flags]
+    # Written once: the grid, its span and all medians read it.
+    weeks = stage(df.groupBy(*by, week_end.alias(spec.time)).agg(*aggs), "weeks")
     span = weeks.groupBy(*by).agg(F.min(spec.time).alias("lo"), F.max(spec.time).alias("hi"))
     steps = F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias(spec.time)
     grid = span.select(*by, steps).join(weeks, [*by, spec.time], "left")
     w, back = WF.series_window(by, spec.time), WF.reverse_window(by, spec.time)
     filled = grid.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in sums})
-    gaps = [*means, *flags]
     filled = filled.withColumns(
         {c: F.coalesce(WF.fill_forward(F.col(c), w), WF.fill_backward(F.col(c), back)) for c in gaps}
     )
-    # Only a column without any value in its series is still empty here.
-    medians = {c: exact_quantiles(weeks, c, [0.5]).select("value").scalar() for c in gaps}
-    return filled.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in gaps})
+    if not gaps:
+        return filled
+    # Only a column without any value in its series is still empty here. All medians
+    # are found together.
+    long = weeks.unpivot([], gaps, "column", "value")
+    medians = exact_quantiles(long, "value", [0.5], ["column"])
+    found = medians.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in gaps])).scalar()
+    return filled.withColumns({c: F.coalesce(F.col(c), found[c]) for c in gaps})
 
 
 def level_of(grouping_id: Column, spec: PanelSpec = DEFAULT) -> Column:
