@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.session import stage
 
 BROADCAST_ROWS = 100_000
-HOT_SHARE = 1_000
 
 
 def lookup_join(
@@ -29,44 +26,14 @@ def lookup_join(
     join do not compute it twice.
 
     A larger right side is shuffled. Adaptive execution then splits the tasks of
-    a hot key; where a session has switched that off, hot keys are joined apart.
+    a hot key.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"a lookup cannot serve a {how} join")
     right = stage(right, "lookup") if computed else right
     if right.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(right), on, how)
-    conf = left.sparkSession.conf
-    switches = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    if all(conf.get(s, "true") == "true" for s in switches):
-        return left.join(right, on, how)
-    return split_hot_join(left, right, on, how)
-
-
-def split_hot_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", fraction: float = 0.01
-) -> DataFrame:
-    """Equi join that keeps hot keys out of the shuffle.
-
-    Keys with more than 1/1000 of the rows number under a thousand, so their
-    right rows (one per key) are broadcast; all other keys are shuffled. A
-    sample finds the hot keys: it decides where a row is joined, not whether.
-    """
-    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in on])
-    counts = left.where(known).select(*on).sample(fraction, seed=7).groupBy(*on).count()
-    total = counts.agg(F.sum("count")).scalar()
-    hot = stage(counts.where(F.col("count") * HOT_SHARE > total).select(*on), "hot")
-    few = F.broadcast(hot)
-    hot_rows = left.join(few, on, "left_semi")
-    hot_side = F.broadcast(right.join(few, on, "left_semi"))
-    parts = hot_rows.join(hot_side, on, how)
-    rest = left.where(known).join(few, on, "left_anti").join(right, on, how)
-    parts = parts.unionByName(rest)
-    if how == "left":
-        # Rows without a key match nothing and need no join.
-        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in on]
-        parts = parts.unionByName(left.where(~known).select("*", *empty))
-    return parts
+    return left.join(right, on, how)
 
 
 def scalars(df: DataFrame, **aggs: Column) -> Column:

@@ -23,26 +23,12 @@ def skewed(spark):
     return spark.range(60_000).select(key.cast("int").alias("k"), (F.col("id") * 37 % 1009).cast("double").alias("v"))
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_split_hot_join_equals_plain_join(spark, skewed, how):
-    right = spark.range(4000).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("x"))
-    got = joins.split_hot_join(skewed, right, ["k"], how)
-    want = skewed.join(right, "k", how)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
 def test_lookup_join_beyond_the_limit_still_matches(spark, skewed):
     right = spark.range(5000).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("x"))
     small, large = (joins.lookup_join(skewed, right, ["k"], "left", max_rows=n) for n in (10_000, 10))
     assert small.exceptAll(large).count() == 0
     with pytest.raises(ValueError):
         joins.lookup_join(skewed, right, ["k"], "full")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
-    try:
-        apart = joins.lookup_join(skewed, right, ["k"], "left", max_rows=10)
-        assert small.exceptAll(apart).count() == 0
-    finally:
-        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
 @pytest.mark.parametrize("ordered_rows", [2_000_000, 50])
