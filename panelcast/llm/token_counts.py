@@ -37,11 +37,13 @@ KEPT, LONG = 300_000, 64
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a model file, in the order of ids."""
+    """Pieces and scores of a model file, in the order of ids, without those that text
+    never matches: control, unknown, byte and unused pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    apart = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not apart(i)]
 
 
 class Counter:
