@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -121,9 +122,16 @@ def test_parity_words_bound_the_difference():
             assert len(np.intersect1d(jaccard.meeting_words(a, common), jaccard.meeting_words(b, common)))
 
 
+def all_pieces():
+    """Pieces of the model in the order of ids: the library falls back to the byte
+    pieces among them. None of the texts here holds such a piece by its name."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+
+
 def test_token_counts(docs, empty):
     vocabulary = token_counts.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    exact = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    exact = Tokenizer(models.Unigram(all_pieces(), unk_id=0, byte_fallback=True))
     exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
     want = Counter((r.doc_id, len(exact.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
     assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, vocabulary).collect()) == want
@@ -135,7 +143,7 @@ def test_token_counts(docs, empty):
 
 def test_token_counts_of_runs_of_spaces():
     vocabulary = token_counts.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
-    exact = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    exact = Tokenizer(models.Unigram(all_pieces(), unk_id=0, byte_fallback=True))
     exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=False)
     counter = token_counts.Counter(vocabulary)
     assert counter.text("a        b")[0] == 3
