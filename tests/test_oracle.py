@@ -14,7 +14,7 @@ SECTIONS = (
     "a15_rollup_date a17_hierarchy_totals a23_exact_quantiles w1_lags w3_rolling w8_interpolate "
     "w9_fill_global k5_validation_start c1_impute_series c5_folds t1_correlations t9_decompose t11_acf "
     "m4_ensemble h3_ols_reconciliation h6_coherence_verdict v1_v2_accuracy v11_error_profile "
-    "i7_key_drivers i8_findings"
+    "i7_key_drivers i8_findings c5_backtest f3_given_grid k6_model_store m8_hannan_rissanen w1_lags_calendar"
 ).split()
 NAMES = list(ORACLES) if os.environ.get("PANELCAST_ALL") else SECTIONS
 
