@@ -78,23 +78,30 @@ def in_groups(docs: DataFrame) -> DataFrame:
     also in the group before it (``extra``), in descending order, cyclically."""
     cuts = F.percentile_approx("doc_id", [i / CUTS for i in range(1, CUTS)], 10_000)
     r = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), cuts.alias("cuts")).first()
+    steps = max(1, -(-r.n // (GROUP * CUTS)))
     if r.lo is None:
         group = F.lit(0).cast("long")
     else:
-        edges = sorted({r.lo, *r.cuts, r.hi + 1})
-        steps = max(1, -(-r.n // (GROUP * CUTS)))
+        edges = sorted({r.lo, *r.cuts, r.hi})
         edge = F.array(*[F.lit(e).cast("long") for e in edges])
         i = F.size(F.filter(edge, lambda e: e <= F.col("doc_id")))
-        lo, hi = F.get(edge, F.greatest(F.least(i, F.lit(len(edges) - 1)), F.lit(1)) - 1), F.get(edge, F.least(i, F.lit(len(edges) - 1)))
-        within = F.floor((F.col("doc_id") - lo) / F.greatest(hi - lo, F.lit(1)) * steps)
+        # As doubles, differences of ids can't overflow and keep their order.
+        at = lambda n: F.get(edge, n).cast("double")
+        lo, hi = at(F.greatest(F.least(i, F.lit(len(edges) - 1)), F.lit(1)) - 1), at(F.least(i, F.lit(len(edges) - 1)))
+        within = F.floor((F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * steps)
         group = F.coalesce(i.cast("long") * steps + F.least(within, F.lit(steps - 1)), F.lit(-1).cast("long"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"tie": F.xxhash64("text"), "group": group})
     # Greater means earlier; a null id is the least.
     first = rows.groupBy("group").agg(F.max(F.struct("doc_id", "tie")).alias("first"))
-    by_group = Window.orderBy("group")
+    # A group's next one is in its own range of ids, or the first of the next range;
+    # of ranges there are no more than cut points.
+    first = stage(first.withColumn("range", F.floor(F.col("group") / steps)), "group_heads")
+    ranges = first.groupBy(F.col("range").alias("of")).agg(F.min("group").alias("head"))
+    after = F.coalesce(F.lead("head").over(Window.orderBy("of")), F.min("head").over(Window.partitionBy()))
+    in_range = Window.partitionBy("range").orderBy("group")
     firsts = stage(
-        first.select(
-            F.coalesce(F.lead("group").over(by_group), F.min("group").over(Window.partitionBy())).alias("to"),
+        first.join(F.broadcast(ranges.select("of", after.alias("after"))), F.col("range") == F.col("of")).select(
+            F.coalesce(F.lead("group").over(in_range), F.col("after")).alias("to"),
             F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"),
         ),
         "firsts",
@@ -106,7 +113,8 @@ def in_groups(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is the
-    beginning of the next document, with their likeness and the next one's."""
+    beginning of the next document, with their likeness and the next one's, and the
+    places of the kept grams of the text."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     order = Window.partitionBy("group").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -119,7 +127,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .withColumn("next_text", F.lead("text").over(order))
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.when(~F.col("extra"), edited))
-        .withColumn("kept", hashes(winnow(F.col("text"))))
+        .withColumn("found", winnow(F.col("text")))
+        .withColumn("kept", hashes(F.col("found")))
         .withColumn("edited_kept", F.when(F.col("edited").isNotNull(), hashes(winnow(F.col("edited")))))
         .withColumn("next_kept", F.lead("kept").over(order))
         .where(~F.col("extra"))
@@ -129,4 +138,5 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         as_text(F.col("kept")).alias("fingerprint"), as_text(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
         likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        F.array_join(positions(F.col("found")), " ").alias("positions"),
     )
