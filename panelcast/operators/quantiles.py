@@ -7,6 +7,9 @@ other rows only add to a count, combined on the map side. Where the brackets
 still hold many values, they are cut into slices again and again, until the slices
 with the wanted ranks hold few. The slices divide the bits of the values, not their
 range, so a heavy tail or a far outlier doesn't leave all values in one slice.
+
+Groups of at most ``ACCURACY`` values need neither sketch nor brackets: they are
+shuffled and ordered once, and all quantiles are read off by position.
 """
 
 from __future__ import annotations
@@ -37,6 +40,35 @@ def exact_quantiles(
     """Linear-interpolated quantiles: rows ``(by..., prob, value)``."""
     by = list(by)
     rows = df.select(*by, F.col(col).cast("double").alias("_v")).where("_v is not null")
+    for c in by:
+        rows = rows.where(F.col(c).isNotNull())
+    if by:
+        sizes = stage(rows.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")
+        large = sizes.where(F.col("_n") > accuracy)
+        if large.isEmpty():
+            return _ordered(rows, probs, by)
+        sized = lookup_join(rows, large, by)
+        small = _ordered(sized.where("_n is null").drop("_n"), probs, by)
+        return small.unionByName(_bracketed(sized.where("_n is not null").drop("_n"), probs, by, accuracy, ordered_rows))
+    return _bracketed(rows, probs, by, accuracy, ordered_rows)
+
+
+def _ordered(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    """Quantiles of groups of few values, by their position in the group's order."""
+    group = W.partitionBy(*by)
+    placed = rows.withColumn("_r", F.row_number().over(group.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(group))
+    ends, cells = [], []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        ends += [F.max(F.when(F.col("_r") == at(h), F.col("_v"))).alias(f"{name}{i}") for name, at in (("_a", F.floor), ("_b", F.ceil))]
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        cells.append(F.struct(F.lit(float(p)).alias("prob"), (a + (b - a) * (h - F.floor(h))).alias("value")))
+    found = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    return found.select(*by, F.inline(F.array(*cells)))
+
+
+def _bracketed(rows: DataFrame, probs: Sequence[float], by: list[str], accuracy: int, ordered_rows: int) -> DataFrame:
+    """Quantiles of groups of many values."""
     brackets = _brackets(rows, probs, by, accuracy)
     if by:
         marked = lookup_join(rows, brackets, by, "inner", computed=True)

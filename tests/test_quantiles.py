@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelcast.operators import quantiles
 from panelcast.operators.quantiles import exact_quantiles, order_key
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
@@ -62,3 +63,22 @@ def test_keys_order_as_doubles_do(spark):
     assert (keys == np.where(values < 0, -whole, whole)).all()
     nan = spark.range(1).select(order_key(F.lit(float("nan"))).alias("k"), order_key(F.lit(float("inf"))).alias("inf")).first()
     assert nan.k > nan.inf
+
+
+def test_small_groups_need_no_brackets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    named = {f"small{i}": rng.normal(0, 10, 1 + i).round(1) for i in range(60)} | {"large": rng.normal(0, 1, 500)}
+    bracketed, brackets = [], quantiles._brackets
+
+    def seen(rows, *more):
+        bracketed.extend(r.kind for r in rows.select("kind").distinct().collect())
+        return brackets(rows, *more)
+
+    monkeypatch.setattr(quantiles, "_brackets", seen)
+    rows = [(k, float(v)) for k, values in named.items() for v in values] + [("small1", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "kind string, v double").cache()
+    for most, large in ((100, ["large"]), (1_000, [])):
+        bracketed.clear()
+        got = {(r.kind, r.prob): r.value for r in exact_quantiles(df, "v", PROBS, ["kind"], accuracy=most).collect()}
+        assert bracketed == large and len(got) == len(named) * len(PROBS)
+        assert all(v == pytest.approx(np.quantile(named[k], p), rel=1e-12, abs=1e-12) for (k, p), v in got.items())
